@@ -11,7 +11,7 @@ def grid_sql(profile: str, step: int, prefix: str = "") -> str:
     p = prefix
     return f"""
 {p}slots AS (SELECT {profile} AS profile_id, {CODE} AS code, epoch_us(ts) // {step * 1000000} AS slot,
-             round(avg(value), 6) AS value FROM events GROUP BY ALL),
+             round(avg(value), CAST(6 AS INTEGER)) AS value FROM events GROUP BY ALL),
 {p}span AS (SELECT profile_id, min(slot) s0, max(slot) s1 FROM {p}slots GROUP BY 1),
 {p}vars AS (SELECT DISTINCT profile_id, code FROM {p}slots),
 {p}grid AS (SELECT profile_id, code, s0, unnest(generate_series(s0, s1)) AS slot FROM {p}vars JOIN {p}span USING (profile_id)),
@@ -140,3 +140,37 @@ s4 AS (SELECT *, least(100, greatest(0, 0.30 * sample_score + 0.25 * missing_sco
 scored AS (SELECT *, (['NotReady', 'PartiallyReady_Low', 'PartiallyReady_High', 'Ready_Low', 'Ready_High', 'FullyReady'])[1 + least(
   CASE WHEN score < 20 THEN 0 WHEN score < 40 THEN 1 WHEN score < 60 THEN 2 WHEN score < 75 THEN 3 WHEN score < 90 THEN 4 ELSE 5 END,
   CASE WHEN is_tv THEN 5 WHEN is_static THEN 4 WHEN tier LIKE 'Tier2%' THEN 3 WHEN tier LIKE 'Tier1%' THEN 2 ELSE 1 END)] AS label FROM s4)"""
+
+
+def chi2_tail_sql(x: str, df: str, terms: int = 300) -> str:
+    """Upper chi-square tail by the ascending series in log space."""
+    return (f"CASE WHEN ({x}) IS NOT NULL THEN greatest(0.0, 1 - list_sum(list_transform(range(0, {terms}), lambda i_: "
+            f"exp((({df}) / 2.0 + i_) * ln(greatest(({x}) / 2.0, 1e-300)) - ({x}) / 2.0 - lgamma(({df}) / 2.0 + i_ + 1))))) END")
+
+
+def norm_tail_sql(z: str) -> str:
+    return chi2_tail_sql(f"({z}) * ({z})", "1")
+
+
+def _beta_series(a: str, b: str, x: str, terms: int) -> str:
+    return (f"exp(({a}) * ln({x}) + ({b}) * ln(1 - ({x})) + lgamma(({a}) + ({b})) - lgamma(({a}) + 1) - lgamma({b})) * (1 + list_sum(list_transform(range(0, {terms}), "
+            f"lambda i_: exp(lgamma(({a}) + ({b}) + i_ + 1) - lgamma(({a}) + ({b})) - lgamma(({a}) + i_ + 2) + lgamma(({a}) + 1) + (i_ + 1) * ln({x})))))")
+
+
+def beta_sql(a: str, b: str, x: str, terms: int = 1500) -> str:
+    """Regularized incomplete beta by its ascending series on the faster side."""
+    low, high = f"least(greatest({x}, 1e-300), 1 - 1e-15)", f"least(greatest(1 - ({x}), 1e-300), 1 - 1e-15)"
+    return (f"CASE WHEN ({x}) < (({a}) + 1) / (({a}) + ({b}) + 2) THEN {_beta_series(a, b, low, terms)} "
+            f"ELSE 1 - {_beta_series(b, a, high, terms)} END")
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    return beta_sql(f"({df}) / 2.0", "0.5", f"({df}) / (({df}) + ({t}) * ({t}))")
+
+
+def f_tail_sql(f: str, d1: str, d2: str) -> str:
+    return beta_sql(f"({d2}) / 2.0", f"({d1}) / 2.0", f"({d2}) / (({d2}) + ({d1}) * ({f}))")
+
+
+SUMMARY_COLS = """round(avg(value), 6) mean, round(stddev_samp(value), 6) sd, round(median(value), 6) median, round(min(value), 6) "min", round(max(value), 6) "max",
+round(CASE WHEN count(value) >= 4 THEN quantile_cont(value, 0.75) - quantile_cont(value, 0.25) ELSE max(value) - min(value) END, 6) iqr, round(mad(value), 6) mad"""

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lagweave.operators.series import BY_SERIES, SERIES, longest_gap
+from lagweave.operators.series import by_series, SERIES, longest_gap
 
 
 @dataclass(frozen=True)
@@ -57,8 +57,8 @@ def coerce_numeric(raw: DataFrame, max_lost: float = 0.25) -> DataFrame:
     """Text values to finite doubles; variables with more than `max_lost` newly null rows are dropped."""
     from lagweave.functions.scores import finite
 
-    lost = (F.avg(F.col("value").isNull().cast("double")).over(BY_SERIES)
-            - F.avg(F.col("raw_value").isNull().cast("double")).over(BY_SERIES))
+    lost = (F.avg(F.col("value").isNull().cast("double")).over(by_series())
+            - F.avg(F.col("raw_value").isNull().cast("double")).over(by_series()))
     return (raw.withColumn("value", finite(F.col("raw_value")))
             .withColumn("non_numeric_rate", F.greatest(F.lit(0.0), lost))
             .where(F.col("non_numeric_rate") <= max_lost))
@@ -121,8 +121,8 @@ def infer_type() -> Column:
 
 def outlier_share(obs: DataFrame, z: float = LIMITS.outlier_z) -> DataFrame:
     """Share with |0.6745 (x - median) / MAD| >= z; null under 8 values, 0 for a flat series."""
-    dev = obs.where(F.col("value").isNotNull()).withColumn("dev", F.abs(F.col("value") - F.percentile("value", 0.5).over(BY_SERIES)))
-    scaled = dev.withColumn("mad", F.percentile("dev", 0.5).over(BY_SERIES))
+    dev = obs.where(F.col("value").isNotNull()).withColumn("dev", F.abs(F.col("value") - F.percentile("value", 0.5).over(by_series())))
+    scaled = dev.withColumn("mad", F.percentile("dev", 0.5).over(by_series()))
     out = scaled.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("n"), F.max("mad").alias("mad"),
         F.avg((0.6745 * F.col("dev") >= z * F.col("mad")).cast("double")).alias("share"))

@@ -7,14 +7,26 @@ windows per (profile, variable) stay small even when one profile holds a third o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec
 from pyspark.sql import functions as F
 
 SERIES = ["profile_id", "code"]
-BY_SERIES = W.partitionBy(*SERIES)
-IN_ORDER = BY_SERIES.orderBy("t_index")
-UP_TO_HERE = IN_ORDER.rowsBetween(W.unboundedPreceding, 0)
-FROM_HERE = IN_ORDER.rowsBetween(0, W.unboundedFollowing)
+
+
+def by_series() -> WindowSpec:
+    return W.partitionBy(*SERIES)
+
+
+def in_order() -> WindowSpec:
+    return by_series().orderBy("t_index")
+
+
+def up_to_here() -> WindowSpec:
+    return in_order().rowsBetween(W.unboundedPreceding, 0)
+
+
+def from_here() -> WindowSpec:
+    return in_order().rowsBetween(0, W.unboundedFollowing)
 
 
 def to_grid(raw: DataFrame, step_seconds: int) -> DataFrame:
@@ -23,7 +35,7 @@ def to_grid(raw: DataFrame, step_seconds: int) -> DataFrame:
         raw.withColumn("slot", F.floor(F.unix_micros("ts") / (step_seconds * 1_000_000)))
         .groupBy("profile_id", "code", "slot").agg(F.round(F.avg("value"), 6).alias("value"))
     )
-    by_profile, by_slot = W.partitionBy("profile_id"), BY_SERIES.orderBy("slot")
+    by_profile, by_slot = W.partitionBy("profile_id"), by_series().orderBy("slot")
     runs = (
         slots.withColumn("first_slot", F.min("slot").over(by_profile))
         .withColumn("last_slot", F.max("slot").over(by_profile))
@@ -105,7 +117,7 @@ def filled_times(obs: DataFrame) -> DataFrame:
 
 def longest_gap(obs: DataFrame) -> DataFrame:
     """Longest run of nulls per series; the count of values so far is constant inside a run of nulls."""
-    runs = obs.withColumn("run", F.count("value").over(UP_TO_HERE)).where(F.col("value").isNull())
+    runs = obs.withColumn("run", F.count("value").over(up_to_here())).where(F.col("value").isNull())
     gaps = runs.groupBy(*SERIES, "run").agg(F.count(F.lit(1)).alias("n")).groupBy(*SERIES).agg(F.max("n").alias("gap"))
     return obs.select(*SERIES).distinct().join(gaps, SERIES, "left").select(
         *SERIES, F.coalesce("gap", F.lit(0)).alias("max_consecutive_missing"))
@@ -116,7 +128,7 @@ def effective_n(obs: DataFrame, lag: int = 1) -> DataFrame:
     truncated lower quartile of the per-variable counts."""
     present = obs.select(
         *SERIES, "t_index", F.col("value").isNotNull().alias("now"),
-        F.coalesce(F.lag("value", lag).over(IN_ORDER).isNotNull(), F.lit(False)).alias("before"))
+        F.coalesce(F.lag("value", lag).over(in_order()).isNotNull(), F.lit(False)).alias("before"))
     per_var = present.groupBy(*SERIES).agg(F.sum((F.col("now") & F.col("before")).cast("long")).alias("n_eff"))
     quart = per_var.groupBy("profile_id").agg(
         F.floor(F.percentile("n_eff", 0.25)).alias("n_eff_q25"), F.count(F.lit(1)).alias("k"))
@@ -128,11 +140,11 @@ def effective_n(obs: DataFrame, lag: int = 1) -> DataFrame:
 def observed_sequence(obs: DataFrame) -> DataFrame:
     """Non-null values with consecutive positions `seq` (0-based) and the series length `n`."""
     seen = obs.where(F.col("value").isNotNull())
-    return seen.withColumn("seq", F.row_number().over(IN_ORDER) - 1).withColumn("n", F.count(F.lit(1)).over(BY_SERIES))
+    return seen.withColumn("seq", F.row_number().over(in_order()) - 1).withColumn("n", F.count(F.lit(1)).over(by_series()))
 
 
 def autocorr1(obs: DataFrame) -> DataFrame:
-    seen = obs.where(F.col("value").isNotNull()).withColumn("before", F.lag("value").over(IN_ORDER))
+    seen = obs.where(F.col("value").isNotNull()).withColumn("before", F.lag("value").over(in_order()))
     pairs = seen.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("n"), F.corr(F.when(F.col("before").isNotNull(), F.col("value")), F.col("before")).alias("r"))
     return pairs.select(*SERIES, F.when(F.col("n") >= 3, F.nanvl("r", F.lit(None))).alias("autocorr_lag1"))
@@ -141,10 +153,10 @@ def autocorr1(obs: DataFrame) -> DataFrame:
 def ljung_box(obs: DataFrame) -> DataFrame:
     """Q at lag min(10, max(2, n div 6)) for n >= lag + 8; ten lag products per value, in one window pass."""
     seen = observed_sequence(obs)
-    dev = F.col("value") - F.avg("value").over(BY_SERIES)
+    dev = F.col("value") - F.avg("value").over(by_series())
     devs = seen.select(*SERIES, "t_index", "n", dev.alias("d"))
     lags = list(range(1, 11))
-    prods = devs.select(*SERIES, "n", "d", *[(F.col("d") * F.lag("d", k).over(IN_ORDER)).alias(f"p{k}") for k in lags])
+    prods = devs.select(*SERIES, "n", "d", *[(F.col("d") * F.lag("d", k).over(in_order())).alias(f"p{k}") for k in lags])
     sums = prods.groupBy(*SERIES, "n").agg(F.sum(F.col("d") * F.col("d")).alias("c0"), *[F.sum(f"p{k}").alias(f"c{k}") for k in lags])
     m = F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.col("n") / 6)))
     q = sum(F.when(F.lit(k) <= m, F.pow(F.coalesce(F.col(f"c{k}"), F.lit(0.0)) / F.col("c0"), 2) / (F.col("n") - k)).otherwise(0.0) for k in lags)
@@ -164,15 +176,15 @@ def interpolate(obs: DataFrame, by: str = "t_index") -> DataFrame:
     """Fill nulls on the line between the neighbours (`by` t_index or ts); ends take the nearest value."""
     x = F.col("t_index").cast("double") if by == "t_index" else F.unix_micros("ts").cast("double")
     at = F.when(F.col("value").isNotNull(), x)
-    pv, px = F.last("value", True).over(UP_TO_HERE), F.last(at, True).over(UP_TO_HERE)
-    nv, nx = F.first("value", True).over(FROM_HERE), F.first(at, True).over(FROM_HERE)
+    pv, px = F.last("value", True).over(up_to_here()), F.last(at, True).over(up_to_here())
+    nv, nx = F.first("value", True).over(from_here()), F.first(at, True).over(from_here())
     line = F.when(nx > px, pv + (nv - pv) * (x - px) / (nx - px))
     return obs.withColumn("filled", F.coalesce("value", line, pv, nv))
 
 
 def ffill_bfill(obs: DataFrame) -> DataFrame:
     return obs.withColumn("filled", F.coalesce(
-        F.last("value", True).over(UP_TO_HERE), F.first("value", True).over(FROM_HERE)))
+        F.last("value", True).over(up_to_here()), F.first("value", True).over(from_here())))
 
 
 def impute(obs: DataFrame, types: DataFrame, regularity: DataFrame, model_fill: DataFrame | None = None) -> DataFrame:
@@ -180,7 +192,7 @@ def impute(obs: DataFrame, types: DataFrame, regularity: DataFrame, model_fill:
 
     Without a model table the model branch falls back to time interpolation, as when the model fit fails.
     """
-    counts = F.count("value").over(BY_SERIES), F.count(F.lit(1)).over(BY_SERIES)
+    counts = F.count("value").over(by_series()), F.count(F.lit(1)).over(by_series())
     missing = 1 - counts[0] / counts[1]
     # No fill under 8 values, up to 2 % or over 85 % missing; model from 20 values and up to 60 %.
     policy = (
@@ -215,14 +227,14 @@ def calendar_features(obs: DataFrame) -> DataFrame:
     return (
         obs.withColumn("weekday", F.weekday("ts")).withColumn("weekend", F.col("weekday") >= 5)
         .withColumn("hour", hour).withColumn("day_part", part)
-        .withColumn("weekday_ok", seen.over(BY_SERIES) >= WEEKDAY_MIN)
-        .withColumn("hour_ok", (seen.over(BY_SERIES) >= HOUR_MIN) & (seen.over(W.partitionBy(*SERIES, "hour")) >= PER_BIN_MIN))
+        .withColumn("weekday_ok", seen.over(by_series()) >= WEEKDAY_MIN)
+        .withColumn("hour_ok", (seen.over(by_series()) >= HOUR_MIN) & (seen.over(W.partitionBy(*SERIES, "hour")) >= PER_BIN_MIN))
         .withColumn("part_ok", seen.over(W.partitionBy(*SERIES, "day_part")) >= PER_BIN_MIN))
 
 
 def zscore(obs: DataFrame, value: str = "value") -> DataFrame:
-    sd = F.stddev_pop(value).over(BY_SERIES)
-    return obs.withColumn("z", (F.col(value) - F.avg(value).over(BY_SERIES)) / F.when(sd < 1e-12, 1.0).otherwise(sd))
+    sd = F.stddev_pop(value).over(by_series())
+    return obs.withColumn("z", (F.col(value) - F.avg(value).over(by_series())) / F.when(sd < 1e-12, 1.0).otherwise(sd))
 
 
 def rolling_coupling(obs: DataFrame, roles: DataFrame, window: int) -> DataFrame:
