@@ -79,3 +79,10 @@ def fraction_from_hash(*cols: Column) -> Column:
     """
     digits = F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]).cast("binary")), 20, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))
+
+
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: Pearson correlation of complete pairs; null (never an error) when a side is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lagweave.core.ranking import top_n
+from lagweave.functions.scores import corr
 from lagweave.functions.tails import p_norm
 from lagweave.operators.series import by_series, in_order, SERIES, observed_sequence
 
@@ -49,9 +50,9 @@ def correlation_matrix(obs: DataFrame, method: str = "pearson", min_periods: int
             return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*by, c)) - 1) / 2
 
         pairs = pairs.withColumns({"rx": mid("x"), "ry": mid("y")}).select(*by, F.col("rx").alias("x"), F.col("ry").alias("y"))
-    r = F.corr("x", "y")
+    r = corr("x", "y")
     out = pairs.groupBy("profile_id", "a", "b").agg(F.count(F.lit(1)).alias("n"), r.alias("r"))
-    return out.select("profile_id", "a", "b", "n", F.when(F.col("n") >= max(3, min_periods), F.nanvl("r", F.lit(None))).alias("r"))
+    return out.select("profile_id", "a", "b", "n", F.when(F.col("n") >= max(3, min_periods), F.col("r")).alias("r"))
 
 
 def ols_trend(obs: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec
 from pyspark.sql import functions as F
 
+from lagweave.functions.scores import corr
+
 SERIES = ["profile_id", "code"]
 
 
@@ -146,8 +148,8 @@ def observed_sequence(obs: DataFrame) -> DataFrame:
 def autocorr1(obs: DataFrame) -> DataFrame:
     seen = obs.where(F.col("value").isNotNull()).withColumn("before", F.lag("value").over(in_order()))
     pairs = seen.groupBy(*SERIES).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(F.when(F.col("before").isNotNull(), F.col("value")), F.col("before")).alias("r"))
-    return pairs.select(*SERIES, F.when(F.col("n") >= 3, F.nanvl("r", F.lit(None))).alias("autocorr_lag1"))
+        F.count(F.lit(1)).alias("n"), corr("value", "before").alias("r"))
+    return pairs.select(*SERIES, F.when(F.col("n") >= 3, F.col("r")).alias("autocorr_lag1"))
 
 
 def ljung_box(obs: DataFrame) -> DataFrame:

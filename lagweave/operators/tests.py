@@ -120,11 +120,11 @@ def omnibus_test(rows: DataFrame, by: list[str], group: str, bounded: bool = Tru
         parts = groups.withColumn("between", F.col("n") * F.pow(F.col("mean") - grand, 2)).withColumn("within", (F.col("n") - 1) * F.col("var"))
         return parts.groupBy(*by).agg(
             F.count(F.lit(1)).alias(f"{p}k"), F.sum("n").alias(f"{p}n"), F.min("n").alias(f"{p}min"),
-            ((F.sum("between") / (F.count(F.lit(1)) - 1)) / (F.sum("within") / (F.sum("n") - F.count(F.lit(1))))).alias(f"{p}f"))
+            F.try_divide(F.try_divide(F.sum("between"), F.count(F.lit(1)) - 1), F.try_divide(F.sum("within"), F.sum("n") - F.count(F.lit(1)))).alias(f"{p}f"))
 
     normal = mom.groupBy(*by).agg(F.bool_and(_jb_normal(F.col("n"), F.col("s"), F.col("k"))).alias("normal"))
     ranks = mid_ranks(rows, by, "value", bounded)
-    ties = ranks.groupBy(*by).agg((1 - F.sum(F.pow("n_at", F.lit(3)) - F.col("n_at")) / F.max(F.pow("n_total", F.lit(3)) - F.col("n_total"))).alias("tie"))
+    ties = ranks.groupBy(*by).agg((1 - F.try_divide(F.sum(F.pow("n_at", F.lit(3)) - F.col("n_at")), F.max(F.pow("n_total", F.lit(3)) - F.col("n_total")))).alias("tie"))
     rank_sums = rows.join(ranks.select(*by, "value", "mid_rank"), [*by, "value"]).groupBy(*by, group).agg(
         F.sum("mid_rank").alias("rs"), F.count(F.lit(1)).alias("n"))
     kw = rank_sums.groupBy(*by).agg(F.sum("n").alias("N"), F.sum(F.col("rs") * F.col("rs") / F.col("n")).alias("ss"))
@@ -155,8 +155,8 @@ def two_group_test(rows: DataFrame, by: list[str], is_b: str, bounded: bool = Tr
     out = wide.where((F.col("a_n") >= 2) & (F.col("b_n") >= 2)).join(ties, by).join(ra, by)
     na, nb = F.col("a_n"), F.col("b_n")
     va, vb = F.col("a_var") / na, F.col("b_var") / nb
-    t = (F.col("a_mean") - F.col("b_mean")) / F.sqrt(va + vb)
-    dof = (va + vb) * (va + vb) / (va * va / (na - 1) + vb * vb / (nb - 1))
+    t = F.try_divide(F.col("a_mean") - F.col("b_mean"), F.sqrt(va + vb))
+    dof = F.try_divide((va + vb) * (va + vb), va * va / (na - 1) + vb * vb / (nb - 1))
     u = F.col("ra") - na * (na + 1) / 2
     n = na + nb
     sd = F.sqrt(na * nb / 12 * (n + 1 - F.col("t3") / (n * (n - 1))))
@@ -199,7 +199,7 @@ def friedman(scores: DataFrame, block: str, treatment: str, value: str) -> DataF
     stat = sums.agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.max("n").alias("n_blocks"), F.sum("t").alias("ties"), F.count(F.lit(1)).alias("k")).where(
         (F.col("k") == k) & (F.col("n_blocks") >= 5))
     n = F.col("n_blocks")
-    chi = (12 / (n * k * (k + 1)) * F.col("rr") - 3 * n * (k + 1)) / (1 - F.col("ties") / (n * (k ** 3 - k)))
+    chi = F.try_divide(12 / (n * k * (k + 1)) * F.col("rr") - 3 * n * (k + 1), 1 - F.col("ties") / (n * (k ** 3 - k)))
     out = stat.withColumn("statistic", chi)
     return out.select("n_blocks", "statistic", p_chi2(F.col("statistic"), F.lit(2.0)).alias("p_value"))
 
@@ -223,7 +223,7 @@ def wilcoxon(diffs: DataFrame) -> DataFrame:
         F.sum(F.pow("n_at", F.lit(3)) - F.col("n_at")).alias("t3"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("t3") / 48)
-    out = agg.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / sd)
+    out = agg.withColumn("z", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, sd))
     med = quantiles(diffs, ["a", "b"], "diff", {"median_diff": 0.5})
     full = all_n.join(med, ["a", "b"]).join(out, ["a", "b"], "left")
     full = full.withColumn("statistic", F.least("w_plus", n * (n + 1) / 2 - F.col("w_plus"))).withColumn("z", F.when(F.col("n_blocks") >= 5, F.col("z")))
