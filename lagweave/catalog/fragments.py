@@ -120,7 +120,7 @@ ready AS (SELECT s.*, tier, variant,
        WHEN tier LIKE 'Tier2%' OR tier LIKE 'Tier1%' THEN coalesce(drop_level <> 'hard', true) AND n >= 10 AND n_unique >= 2 ELSE false END AS ready
   FROM stats s JOIN tiers USING (profile_id)),
 basis AS (SELECT *, CASE WHEN bool_or(ready) OVER (PARTITION BY profile_id) THEN ready ELSE coalesce(drop_level <> 'hard', true) END in_base,
-  least(100, greatest(0, 100 - CASE WHEN dominance >= 0.95 THEN 30 WHEN dominance >= 0.92 THEN 15 ELSE 0 END - coalesce(least(35, 100 * outlier_pct), 0)
+  least(100, greatest(0, 100 - CASE WHEN dominance >= 0.95 THEN 30 WHEN dominance >= 0.92 THEN 15 ELSE 0 END - CASE WHEN outlier_pct IS NULL THEN 0 ELSE least(35, 100 * outlier_pct) END
    - CASE WHEN n_unique <= 2 THEN 20 ELSE 0 END - CASE WHEN long_gap THEN 10 ELSE 0 END - CASE WHEN zero_infl THEN 8 ELSE 0 END)) quality FROM ready),
 agg AS (SELECT profile_id, count(*) n_candidates, CAST(sum(CAST(ready AS INT)) AS BIGINT) n_ready, CAST(sum(CAST(in_base AS INT)) AS BIGINT) n_base,
   coalesce(avg(missing_pct) FILTER (in_base), 1.0) mean_missing, coalesce(avg(quality) FILTER (in_base), 0.0) quality_score,

@@ -273,7 +273,7 @@ def rank_lists(spark, d):
 
     per = table(spark, d, "orders").groupBy(
         (F.col("o_custkey") % 50).alias("profile_id"), F.year("o_orderdate").alias("run_id"), F.concat_ws(" / ", "o_orderpriority", "o_orderstatus").alias("path")
-    ).agg((F.round(F.avg("o_totalprice") + 1e-9, 4)).alias("score"))
+    ).agg((F.round(F.avg("o_totalprice") + 1e-7, 4)).alias("score"))
     return top_n(per, ["profile_id", "run_id"], [F.desc("score"), F.col("path")], 10)
 
 

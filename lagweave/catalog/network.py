@@ -39,7 +39,7 @@ def segment_coefs(spark: SparkSession, d: str) -> DataFrame:
     idx = F.least(F.lit(5), F.floor(F.col("t_index") / 20)).cast("int")
     n, r = F.count(F.lit(1)), corr("y", "z")
     out = pairs.groupBy("profile_id", idx.alias("time_index"), "dst", "src").agg(
-        r.alias("beta"), corr("y", "x").alias("pcorr"), (r - 1 / F.sqrt(n)).alias("ci_low"), (r + 1 / F.sqrt(n)).alias("ci_high"), (F.round(F.avg("y") + 1e-9, 4)).alias("intercept"))
+        r.alias("beta"), corr("y", "x").alias("pcorr"), (r - 1 / F.sqrt(n)).alias("ci_low"), (r + 1 / F.sqrt(n)).alias("ci_high"), (F.round(F.avg("y") + 1e-7, 4)).alias("intercept"))
     return cut_lineage(rounded(out).withColumn("t", F.col("time_index") / 5))
 
 

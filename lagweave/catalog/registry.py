@@ -13,11 +13,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-TIE_BREAK = 1e-9
+def tie_break(digits: int) -> float:
+    """A shift far below the last kept digit and far above summation noise."""
+    return float(f"1e-{digits + 3}")
 
 
 def break_ties(sql: str) -> str:
-    """Shift every literal `round(x, n)` by TIE_BREAK, as `rounded` does, so that exact halves round alike."""
+    """Shift every literal `round(x, n)` as `rounded` does, so that exact halves round alike."""
     out, i = [], 0
     while (start := sql.find("round(", i)) >= 0:
         depth, j = 1, start + 6
@@ -27,7 +29,7 @@ def break_ties(sql: str) -> str:
         body = sql[start + 6:j - 1]
         head, comma, digits = body.rpartition(", ")
         if comma and digits.strip().isdigit() and int(digits) >= 4:
-            out.append(sql[i:start] + f"round({break_ties(head)} + {TIE_BREAK}, {digits})")
+            out.append(sql[i:start] + f"round({break_ties(head)} + {tie_break(int(digits))}, {digits})")
         else:
             out.append(sql[i:start] + f"round({break_ties(body)})")
         i = j
@@ -49,7 +51,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double, so that the order of summation does not show in a comparison."""
     doubles = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-    return df.select(*[(F.round(F.col(c) + TIE_BREAK, digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(c)
+    return df.select(*[(F.round(F.col(c) + tie_break(digits), digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(c)
                        for c in df.columns])
 
 

@@ -73,3 +73,16 @@ def mid_ranks(df: DataFrame, keys: list[str], value: str, bounded: bool = False)
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """Best n rows per key. Catalyst limits each map task to n rows per key before the shuffle."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+
+
+def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "pos", chunk: int = 100_000, ties: list[str] | None = None) -> DataFrame:
+    """0-based position of each row in its group by a non-negative integer column, without sorting a group whole:
+    rows are numbered inside chunks of the order column and shifted by the rows in earlier chunks."""
+    df = df.withColumns({"_all": F.lit(0), "_chunk": F.floor(F.col(order) / chunk)})
+    on = ["_all", *keys]
+    sizes = df.groupBy(*on, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*on).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    shift = sizes.select(*on, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = W.partitionBy(*on, "_chunk").orderBy(order, *(ties or []))
+    return df.withColumn("_rn", F.row_number().over(inside)).join(shift, [*on, "_chunk"]).withColumn(
+        name, F.col("_rn") - 1 + F.col("_shift")).drop("_all", "_chunk", "_rn", "_shift")

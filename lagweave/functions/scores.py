@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def clamp01(c: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    """Clamp to [0, 1]; null stays null (least and greatest alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
 
 
 def norm_score(c: Column, mode: str = "milli") -> Column:

@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 from lagweave.functions.paths import normalize_path, path_segments
 
-# Suffixes dropped by the light stemmer, longest first, and the shortest stem kept.
-SUFFIXES = ["ations", "ation", "ingly", "ments", "ment", "ness", "ings", "ing", "ies", "edly", "ed", "ly", "es", "s"]
+# Suffixes of the light stemmer in the order they are tried; a stem keeps more than two letters.
+SUFFIXES = [
+    "ingly", "edly", "ably",
+    "ments", "ment",
+    "able", "ibly",
+    "ation", "tions", "tion",
+    "ness", "less", "ful",
+    "ing", "ed",
+    "ies", "es", "s",
+    "ive", "ity", "al",
+    "er", "or",
+]
 MIN_STEM = 3
 
 
@@ -17,7 +27,11 @@ def words(c: Column) -> Column:
 
 
 def stem(t: Column) -> Column:
-    return F.regexp_replace(t, "^(.{" + str(MIN_STEM) + ",}?)(" + "|".join(SUFFIXES) + ")$", "$1")
+    """Drop the first suffix of the list that leaves a stem; "ies" becomes "y"."""
+    out = F
+    for s in SUFFIXES:
+        out = out.when(t.endswith(s) & (F.length(t) >= len(s) + MIN_STEM), F.concat(F.substr(t, F.lit(1), F.length(t) - len(s)), F.lit("y" if s == "ies" else "")))
+    return out.otherwise(t)
 
 
 def fold_label(c: Column) -> Column:
@@ -30,7 +44,7 @@ def tokenize(c: Column, mode: str = "plain") -> Column:
     """`plain`: alphanumerics longer than one character. `stem`: plain plus suffix stripping. `set`: distinct plain."""
     kept = F.filter(words(c), lambda t: F.length(t) > 1)
     if mode == "stem":
-        return F.transform(kept, lambda t: stem(t))
+        return F.filter(F.transform(kept, lambda t: stem(t)), lambda t: F.length(t) > 1)
     if mode == "set":
         return F.array_distinct(kept)
     if mode == "plain":

@@ -103,7 +103,7 @@ def predictor_impact(edges: DataFrame, node_recent: DataFrame, weights: DataFram
     toward = edges.join(weights, ["profile_id", "criterion"]).groupBy("profile_id", "predictor").agg(F.sum(F.col("criterion_weight") * F.col("edge_impact")).alias("edge_impact_to_criteria"))
     if importance is not None:
         cols = [c for c in ("delta_mse_criteria", "out_strength_criteria_mean", "nonzero_fraction_mean") if c in importance.columns]
-        toward = toward.join(importance.select("profile_id", "predictor", *[F.greatest(F.lit(0.0), F.col(c)).alias(c) if c == "delta_mse_criteria" else F.col(c) for c in cols]), ["profile_id", "predictor"], "left")
+        toward = toward.join(importance.select("profile_id", "predictor", *[F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.col(c))).alias(c) if c == "delta_mse_criteria" else F.col(c) for c in cols]), ["profile_id", "predictor"], "left")
     names = {"participation_coeff": "participation"}
     local = node_recent.select("profile_id", F.col("node").alias("predictor"), *[F.col(m).alias(f"local_{names.get(m, m)}") for m in NODE_METRICS if m != "in_strength_abs"])
     out = composite(toward.join(local, ["profile_id", "predictor"]), ["profile_id"], [(PRED_BASE, SHARES[0]), (PRED_LOCAL, SHARES[1])], "predictor_impact")

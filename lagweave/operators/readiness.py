@@ -306,7 +306,7 @@ def quality_score() -> Column:
     c = F.col
     score = (
         F.lit(100.0) - F.when(c("dominance") >= 0.95, 30.0).when(c("dominance") >= LIMITS.dominance, 15.0).otherwise(0.0)
-        - F.coalesce(F.least(F.lit(35.0), 100 * c("outlier_pct")), F.lit(0.0))
+        - F.when(c("outlier_pct").isNull(), 0.0).otherwise(F.least(F.lit(35.0), 100 * c("outlier_pct")))
         - F.when(c("n_unique") <= 2, 20.0).otherwise(0.0) - F.when(_long_gap(), 10.0).otherwise(0.0)
         - F.when(F.coalesce(_zero_inflated(), F.lit(False)), 8.0).otherwise(0.0))
     return _clip(score)

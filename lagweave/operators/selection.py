@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lagweave.core.ranking import top_n
+from lagweave.core.ranking import number_rows, top_n
+from lagweave.core.session import small_side
 from lagweave.functions import paths as P
 from lagweave.functions.scores import clamp01, fraction_from_hash, norm_score
 from lagweave.operators.joins import jaccard_candidates, path_similarity_join, subsequence_match
@@ -78,7 +79,7 @@ def head_tail_sample(items: DataFrame, cluster: str, order: str, n: int, extra:
 
 
 def priority_band(score: Column) -> Column:
-    return (F.when(score >= 0.70, "very_high").when(score >= 0.50, "high").when(score >= 0.30, "medium").when(score >= 0.10, "low").otherwise("minimal"))
+    return (F.when(score >= 0.70, "very_high").when(score >= 0.50, "high").when(score >= 0.30, "medium").when(score >= 0.10, "low").otherwise("very_low"))
 
 
 def select_targets(impact: DataFrame, k: int, min_impact: float, keep: int = 3, lone: float = 0.25) -> DataFrame:
@@ -110,14 +111,9 @@ def apply_count_policy(ranked: DataFrame, low: int, high: int, preferred: int) -
     return kept.withColumn("reasons", reasons).drop("own")
 
 
-def batches(df: DataFrame, key: str, n: int, chunk: int = 100_000) -> DataFrame:
-    """Batch numbers of n items in the order of a non-negative integer key; positions are numbered inside key chunks
-    and shifted by the items in earlier chunks."""
-    c = df.withColumn("_chunk", F.floor(F.col(key) / chunk))
-    sizes = c.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.select("_chunk", F.coalesce(F.sum("_n").over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    pos = c.withColumn("_rn", F.row_number().over(W.partitionBy("_chunk").orderBy(key)))
-    return pos.join(shift, "_chunk").withColumn("batch", F.floor((F.col("_rn") - 1 + F.col("_shift")) / n)).drop("_chunk", "_rn", "_shift")
+def batches(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Batch numbers of n items in the order of a non-negative integer key."""
+    return number_rows(df, [], key, "_pos").withColumn("batch", F.floor(F.col("_pos") / n)).drop("_pos")
 
 
 def ontology_candidates(leaves: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -151,7 +147,7 @@ def bfs_scores(leaves: DataFrame, mapping: DataFrame, hyde: DataFrame, anchors:
     dom = L.withColumn("domain", P.domain_key(F.col("leaf"))).join(known, "domain").select(BY, "leaf", F.lit(1.0).alias("domain_bonus"))
     out = ms.join(hs, [BY, "leaf"], "full_outer").join(an, [BY, "leaf"], "full_outer").join(dom, [BY, "leaf"], "full_outer").fillna(0.0)
     total = clamp01(0.45 * F.col("mapping_score") + 0.25 * F.col("hyde_score") + 0.20 * F.col("anchor_score") + 0.10 * F.col("domain_bonus"))
-    return out.withColumn("score", F.round(total, 6)).withColumn("domain", P.domain_key(F.col("leaf")))
+    return out.withColumn("score", F.round(total, 9)).withColumn("domain", P.domain_key(F.col("leaf")))
 
 
 def fuse_model(cands: DataFrame, criteria: DataFrame, predictors: DataFrame, relevance: DataFrame, impact: DataFrame, mapping: DataFrame, readiness: DataFrame) -> DataFrame:
@@ -241,20 +237,28 @@ def barrier_scores(targets: DataFrame, mapping: DataFrame, n: int, min_sim: floa
     return top_n(c, [BY, "predictor"], [F.desc("contribution"), F.col("barrier"), F.col("predictor_path")], n)
 
 
-def text_barrier_scores(texts: DataFrame, mapping: DataFrame) -> DataFrame:
-    """texts(profile_id, text), mapping(entity, barrier, score): score * (.25 + .75 Jaccard), best per barrier; an empty
-    text gives .30 * score. Entities without a common token count at similarity 0, so they need no pairing with texts."""
+def text_barrier_scores(texts: DataFrame, mapping: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """texts(profile_id, text), mapping(entity, barrier, score): score * (.25 + .75 Jaccard), best per barrier; an
+    empty text gives .30 * score.
+
+    Every barrier has such a score, but without a common token it is only a constant share of the barrier's best
+    mapping score. Rows are given for barriers that share a token, for `wanted(profile_id, barrier)`, and for the k
+    barriers with the best constant part; no other barrier can enter a top k.
+    """
     from lagweave.functions.text import tokenize
 
     t = texts.withColumn("tt", tokenize(F.col("text"), "set"))
     e = mapping.select("entity").distinct().withColumn("et", tokenize(F.col("entity"), "set"))
     cand = jaccard_candidates(t.select(BY, "tt"), BY, "tt", e, "entity", "et", 1e-9).join(t.select(BY, "tt"), BY).join(e, "entity")
-    sims = cand.select(BY, "entity", P.jaccard(F.col("tt"), F.col("et")).alias("sim")).where("sim > 0")
+    sims = cand.select(BY, "entity", P.jaccard(F.col("tt"), F.col("et")).alias("sim"))
     hit = sims.join(mapping, "entity").groupBy(BY, "barrier").agg(F.max(norm_score(F.col("score")) * (0.25 + 0.75 * F.col("sim"))).alias("hit"))
-    floor = mapping.groupBy("barrier").agg(F.max(norm_score(F.col("score"))).alias("base"))
-    every = t.select(BY, F.when(F.trim("text") == "", 0.30).otherwise(0.25).alias("f"), F.explode(F.array(F.lit(1))).alias("one"))
-    grid = every.join(floor.withColumn("one", F.lit(1)), "one").drop("one")
-    return grid.join(hit, [BY, "barrier"], "left").select(BY, "barrier", F.round(clamp01(F.greatest(F.col("f") * F.col("base"), F.coalesce("hit", F.lit(0.0)))), 9).alias("score"))
+    base = mapping.groupBy("barrier").agg(F.max(norm_score(F.col("score"))).alias("base"))
+    best = [r["barrier"] for r in base.orderBy(F.desc("base"), "barrier").limit(k).collect()]
+    common = t.select(BY, F.explode(F.array(*[F.lit(x) for x in best])).alias("barrier"))
+    keys = hit.select(BY, "barrier").union(wanted.select(BY, "barrier")).union(common).distinct()
+    share = t.select(BY, F.when(F.trim("text") == "", 0.30).otherwise(0.25).alias("f"))
+    full = keys.join(small_side(base), "barrier").join(share, BY).join(hit, [BY, "barrier"], "left")
+    return full.select(BY, "barrier", F.round(clamp01(F.greatest(F.col("f") * F.col("base"), F.coalesce("hit", F.lit(0.0)))), 9).alias("score"))
 
 
 def combine_barriers(evidence: DataFrame, complaint: DataFrame, k: int) -> DataFrame:
@@ -280,24 +284,39 @@ def coping_scores(barriers: DataFrame, mapping: DataFrame, per_barrier: int = 12
     return kept.groupBy(BY, "coping").agg(F.max("contribution").alias("score"), F.count_distinct("barrier").alias("n_barriers"))
 
 
+# The sd at which a predictor or a criterion counts as fully variable.
+SD_SCALE = {"P": 0.15, "C": 0.90}
+
+
 def quality_scores(stats: DataFrame, ready: Column) -> DataFrame:
-    """.55 (1 - missing) + .20 sd relative to the profile's largest sd + .25 ready."""
-    top = F.max("sd").over(W.partitionBy(BY))
-    ratio = F.when(top > 0, F.least(F.lit(1.0), F.coalesce("sd", F.lit(0.0)) / top)).otherwise(0.0)
-    return stats.withColumn("quality", clamp01(0.55 * (1 - F.col("missing_pct")) + 0.20 * ratio + 0.25 * ready.cast("double")))
+    """.55 (1 - missing) + .20 sd over the role's scale + .25 ready."""
+    scale = F.when(F.col("code").startswith("P"), SD_SCALE["P"]).otherwise(SD_SCALE["C"])
+    ratio = clamp01(F.abs(F.coalesce("sd", F.lit(0.0))) / scale)
+    return stats.withColumn("quality", clamp01(0.55 * clamp01(1 - F.col("missing_pct")) + 0.20 * ratio + 0.25 * ready.cast("double")))
+
+
+def next_cycle_criteria(criteria: DataFrame, low: int, high: int, preferred: int) -> DataFrame:
+    """criteria(profile_id, code, retained, quality, severity): all retained ones, then the best others up to the
+    preferred number, at most `high`; order by quality, severity, code descending."""
+    n = max(low, min(high, preferred))
+    order = W.partitionBy(BY).orderBy(F.desc("retained"), F.desc("quality"), F.desc("severity"), F.desc("code"))
+    kept = F.sum(F.col("retained").cast("int")).over(W.partitionBy(BY))
+    return criteria.withColumn("position", F.row_number().over(order)).withColumn("_n", F.least(F.lit(high), F.greatest(kept, F.lit(n)))).where("position <= _n").drop("_n")
 
 
-def next_cycle_variables(predictors: DataFrame, wanted: DataFrame, low: int, high: int) -> DataFrame:
+def next_cycle_variables(predictors: DataFrame, wanted: DataFrame, low: int, high: int, preferred: int) -> DataFrame:
     """predictors(profile_id, code, path, impact, target_score, priority, quality) and wanted(profile_id, path, rank):
-    .35 impact + .25 target + .15 priority + .10 quality + .15 path match (similarity over rank); best `high`, at least
-    `low`, positive scores first."""
-    sims = path_similarity_join(predictors, "path", wanted.select(F.col("path").alias("want")), "want", 1e-9)
+    .35 best token similarity over rank + .25 impact + .15 target + .10 priority + .15 quality; the best of the
+    preferred number, kept within the bounds."""
+    pt = predictors.select("path").distinct().withColumn("pt", P.path_tokens(F.col("path")))
+    wt = wanted.select(F.col("path").alias("want")).distinct().withColumn("wt", P.path_tokens(F.col("want")))
+    cand = jaccard_candidates(pt, "path", "pt", wt, "want", "wt", 1e-9).join(pt, "path").join(wt, "want")
+    sims = cand.select("path", "want", P.jaccard(F.col("pt"), F.col("wt")).alias("similarity"))
     m = predictors.select(BY, "code", "path").join(sims, "path").join(wanted.select(BY, F.col("path").alias("want"), "rank"), [BY, "want"]).groupBy(BY, "code").agg(F.max(F.col("similarity") / F.col("rank")).alias("match"))
     s = lambda c: clamp01(F.coalesce(F.col(c), F.lit(0.0)))
     j = predictors.join(m, [BY, "code"], "left")
-    j = j.withColumn("score", F.round(0.35 * s("impact") + 0.25 * s("target_score") + 0.15 * s("priority") + 0.10 * s("quality") + 0.15 * s("match"), 9))
-    top = top_n(j, [BY], [F.desc("score"), F.col("code")], high)
-    return top.where((F.col("score") > 0) | (F.col("rank") <= low))
+    j = j.withColumn("score", F.round(0.35 * s("match") + 0.25 * s("impact") + 0.15 * s("target_score") + 0.10 * s("priority") + 0.15 * s("quality"), 9))
+    return top_n(j, [BY], [F.desc("score"), F.desc_nulls_last("impact"), F.desc_nulls_last("priority"), F.desc("code")], max(low, min(high, preferred)))
 
 
 def guardrail(scores: DataFrame, weights: dict[str, float], threshold: float) -> DataFrame:
