@@ -52,18 +52,23 @@ def subsequence_match(mapping: DataFrame, leaves: DataFrame) -> DataFrame:
 def _token_prefixes(df: DataFrame, key: str, tokens: str, freq: DataFrame, min_sim: float) -> DataFrame:
     ranked = df.select(key, F.explode(tokens).alias("tok")).join(freq, "tok").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n_tok", "tok"))).alias("r"))
     need = F.greatest(F.lit(1), F.ceil(min_sim * F.size("r") - 1e-9)).cast("int")
-    return ranked.select(key, F.size("r").alias("n"), F.explode(F.slice("r", F.lit(1), F.size("r") - need + 1)).alias("t")).select(key, "n", F.col("t.tok").alias("tok"))
+    return ranked.select(key, F.size("r").alias("n"), F.posexplode(F.slice("r", F.lit(1), F.size("r") - need + 1)).alias("i", "t")).select(key, "n", "i", F.col("t.tok").alias("tok"))
 
 
 def jaccard_candidates(a: DataFrame, ka: str, ta: str, b: DataFrame, kb: str, tb: str, min_sim: float) -> DataFrame:
-    """A superset of the pairs with Jaccard >= min_sim (> 0): rare-first prefix and length filters. Token columns
-    hold distinct tokens."""
+    """A superset of the pairs with Jaccard >= min_sim (> 0): rare-first prefix, length and position filters. Token
+    columns hold distinct tokens.
+
+    All common tokens of a pair stand at or after its first common one, so a match at positions (i, j) leaves room for
+    at most min(na - i, nb - j) common tokens; frequent tokens stand last and fail this test for most pairs.
+    """
     both = a.select(F.explode(ta).alias("tok")).unionAll(b.select(F.explode(tb).alias("tok")))
     freq = both.groupBy("tok").agg(F.count(F.lit(1)).alias("n_tok"))
-    pa = _token_prefixes(a, ka, ta, freq, min_sim).withColumnRenamed("n", "na")
-    pb = _token_prefixes(b, kb, tb, freq, min_sim).withColumnRenamed("n", "nb")
+    pa = _token_prefixes(a, ka, ta, freq, min_sim).withColumnsRenamed({"n": "na", "i": "ia"})
+    pb = _token_prefixes(b, kb, tb, freq, min_sim).withColumnsRenamed({"n": "nb", "i": "ib"})
     slack = 1 + 1e-9
-    return pa.join(pb, "tok").where((F.col("nb") * slack >= min_sim * F.col("na")) & (F.col("na") * slack >= min_sim * F.col("nb"))).select(ka, kb).distinct()
+    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    return pa.join(pb, "tok").where(room * slack >= min_sim / (1 + min_sim) * (F.col("na") + F.col("nb"))).where((F.col("nb") * slack >= min_sim * F.col("na")) & (F.col("na") * slack >= min_sim * F.col("nb"))).select(ka, kb).distinct()
 
 
 def jaccard_join(a: DataFrame, ka: str, ta: str, b: DataFrame, kb: str, tb: str, min_sim: float) -> DataFrame:

@@ -234,9 +234,13 @@ def fused_rank(queries: DataFrame, docs: DataFrame, k: int, scope: str) -> DataF
 def rank_predictors(paths: DataFrame, inferred: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """Per (profile, criterion): candidate clusters' predictors merged by best score and re-ranked.
 
-    paths(profile_id, criterion, path_id), inferred(path_id, cluster_id), edges(cluster_id, predictor, score).
+    paths(profile_id, criterion, path_id), inferred(path_id, cluster_id), edges(cluster_id, predictor, score). A
+    predictor of the merged top k is in the top k of the cluster that gives its best score, so clusters are cut first.
     """
-    best = paths.join(inferred.where(F.col("cluster_id").isNotNull()).select("path_id", "cluster_id"), "path_id").join(edges, "cluster_id")
+    once = edges.groupBy("cluster_id", "predictor").agg(F.max("score").alias("score"))
+    head = top_n(once, ["cluster_id"], [F.desc("score"), F.col("predictor")], k).drop("rank")
+    named = paths.join(inferred.where(F.col("cluster_id").isNotNull()).select("path_id", "cluster_id"), "path_id")
+    best = named.select("profile_id", "criterion", "cluster_id").distinct().join(head, "cluster_id")
     merged = best.groupBy("profile_id", "criterion", "predictor").agg(F.max("score").alias("score"))
     return top_n(merged, ["profile_id", "criterion"], [F.desc("score"), F.col("predictor")], k)
 
