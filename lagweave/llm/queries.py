@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lagweave.llm import quality_rules, url_filter
+from lagweave.llm import chat_format, decontaminate, importance, license_scan, packing, quality_rules, resharding, url_filter
 from lagweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,89 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict of the longest fitting rule for every page."""
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, folder, "pages"), rules)
+
+
+def _tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens; document count and attention cost are bounded by the tokens alone."""
+    return packing.pack_documents(table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+OLD_SHARDS, SHARDS = 6, 8
+
+
+@query("op6_min_cost_resharding")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """From six shards by source (uneven, as sources are) to eight of equal bytes, moving as few bytes as possible."""
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
+    placed = resharding.reshard(table(spark, folder, "documents"), old, SHARDS, "bytes")
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ITEM_WORDS = rf"regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION_SQL = rf"""
+WITH dw AS (SELECT doc_id, {ITEM_WORDS} AS ws FROM documents),
+bw AS (SELECT item_id, ws, least(len(ws), 10) AS m FROM (SELECT item_id, {ITEM_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS w FROM bw, unnest(range(1, len(ws) - m + 2)) AS u(i)),
+lens AS (SELECT DISTINCT m FROM win),
+grams AS (SELECT doc_id, i, m, array_to_string(ws[i:i + m - 1], ' ') AS w FROM dw, lens, unnest(range(1, len(ws) - m + 2)) AS u(i)),
+hits AS (SELECT doc_id, i, m, item_id FROM grams JOIN win USING (m, w)),
+n AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(m)) AS v(k) GROUP BY doc_id),
+its AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+@query("op9_decontamination", DECONTAMINATION_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows found in every document."""
+    return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
+
+
+# Fixed value: the conversation that the contract adds.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+x AS (SELECT *, length(replace(text, '\', '\\')) + 2 * len(regexp_extract_all(text, '###|</turn>|<\|endoftext\|>')) AS nt,
+  length(replace(role, '\', '\\')) + 2 * len(regexp_extract_all(role, '###|</turn>|<\|endoftext\|>')) AS nr FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sum(4 + nr + 2 + nt + 9)::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id"""
+
+
+@query("op10_chat_formatting", CHAT_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations formatted as tokens and read back from them."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, t, r, CONTROL_TEXT) for t, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    path = _tokenizer("byte_bpe_50k.json")
+    return chat_format.read_back(chat_format.format_turns(rows.unionByName(extra), path), path)
+
+
+@query("op1_importance_resampling")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight and verdict of every document; the target is what labels call good and not toxic."""
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    found = importance.resample(table(spark, folder, "documents"), table(spark, folder, "labels"), good)
+    return found.withColumns({c: F.round(c, 6) for c in ("log_weight", "sample_key")})
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in every document."""
+    return license_scan.scan(table(spark, folder, "documents")).withColumn("containment", F.round("containment", 6))
