@@ -118,7 +118,7 @@ def ngram_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndar
     counts = np.diff(bounds)
     if not len(words):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    whole = sum_of = None
+    sum_of = None
     full = max(len(words) - n + 1, 0)
     for j in range(n):
         part = words[j:j + full] * np.uint64(STEPS[j % len(STEPS)] + 2 * (j // len(STEPS)))
@@ -130,10 +130,10 @@ def ngram_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndar
     short = np.repeat(counts < n, grams)
     whole = np.zeros(len(at), np.uint64)
     whole[~short] = sum_of[at[~short]]
-    for i in np.flatnonzero((counts > 0) & (counts < n)):
-        h = np.uint64(counts[i])
-        for j in range(bounds[i], bounds[i + 1]):
-            h = (h + words[j]) * np.uint64(STEPS[0])
+    for i in np.flatnonzero((counts > 0) & (counts < n)).tolist():
+        h = int(counts[i])
+        for w in words[bounds[i]:bounds[i + 1]].tolist():
+            h = (h + w) * STEPS[0] & 0xFFFFFFFFFFFFFFFF
         whole[out_bounds[i]] = mixed(np.array([h], np.uint64))[0]
     return whole, out_bounds
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import chat_format, decontaminate, importance, license_scan, packing, quality_rules, resharding, url_filter
+from lagweave.llm import chat_format, decontaminate, importance, license_scan, ngram_join, packing, quality_rules, resharding, suffix_dedup, url_filter
 from lagweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,28 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """License notices in every document."""
     return license_scan.scan(table(spark, folder, "documents")).withColumn("containment", F.round("containment", 6))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes of an earlier one."""
+    return suffix_dedup.repeat_report(table(spark, folder, "documents"))
+
+
+JACCARD_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) AS u(i)
+  UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON r.other = l.a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id)"""
+
+
+@query("op7_ngram_jaccard", JACCARD_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingle count and link component of every document."""
+    return ngram_join.ngram_components(table(spark, folder, "documents"))
