@@ -64,7 +64,7 @@ def o03(spark, d):
     return O.nodes_at_level(leaf_arrays(spark, d), 3)
 
 
-SIZES = f"""{NODES}, sz AS (SELECT a.node, a.depth, count(*) n_nodes, CAST(sum(CAST(b.is_leaf AS INT)) AS BIGINT) n_leaves FROM no a JOIN no b ON b.node = a.node OR starts_with(b.node, a.node || ' / ') GROUP BY ALL)"""
+SIZES = f"""{NODES}, sz AS (SELECT a.node, a.depth, count(*) n_nodes, CAST(sum(CAST(b.is_leaf AS INT)) AS BIGINT) n_leaves FROM no a JOIN (SELECT array_to_string(string_split(node, ' / ')[1:k], ' / ') up, is_leaf FROM no, unnest(range(1, depth + 1)) u(k)) b ON b.up = a.node GROUP BY ALL)"""
 
 
 @query("O04_subtree_size", f"WITH {SIZES} SELECT * FROM sz")

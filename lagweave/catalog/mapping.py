@@ -125,6 +125,11 @@ def a13(spark, d):
     return rounded(G.topk_mapping(pair_rows(spark, d), "predictor_id", "cluster_id", "left", (size(spark, d, "part"), size(spark, d, "supplier"))))
 
 
+@query("A13_pairs", f"WITH {PAIRS} SELECT predictor_id, cluster_id, round(score, 6) score FROM pr")
+def a13p(spark, d):
+    return rounded(G.topk_mapping(pair_rows(spark, d), "predictor_id", "cluster_id", "pairs", (0, 0)))
+
+
 @query("A13_by_cluster_with_ids", f"""WITH {PAIRS}, ids AS (SELECT p_partkey predictor_id FROM part WHERE p_size <= 25), cl AS (SELECT s_suppkey cluster_id FROM supplier UNION SELECT s_suppkey + 1000000 FROM supplier),
 f AS (SELECT * FROM pr WHERE predictor_id IN (SELECT predictor_id FROM ids)), g AS (SELECT cluster_id, avg(score) u, coalesce(sum(score), 0) / (SELECT count(*) FROM ids) c, count(*) n, (SELECT count(*) FROM ids) - count(score) m FROM f GROUP BY 1)
 SELECT cluster_id, round(u, 6) avg_uncorrected, round(coalesce(c, 0), 6) avg_corrected, coalesce(n, 0) pairs_present, coalesce(m, (SELECT count(*) FROM ids)) missing_total FROM cl LEFT JOIN g USING (cluster_id)""")

@@ -212,7 +212,7 @@ def g02(spark, d):
     return rounded(G.node_strength(*graph_of(spark, d)))
 
 
-ROUNDS = 25
+ROUNDS = 100
 
 
 def _rounds(start: str, step, norm: str | None, name: str, rounds: int = ROUNDS) -> str:

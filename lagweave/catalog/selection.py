@@ -385,14 +385,12 @@ def texts_of(spark, d):
 
 TOKS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) > 1))"
 TSCORE = f"""{CONTR}, {TEXTS}, tk AS (SELECT profile_id, txt, {TOKS.format('txt')} t FROM tx), en AS (SELECT predictor_path, {TOKS.format('predictor_path')} e FROM (SELECT DISTINCT predictor_path FROM bm)), al AS (SELECT profile_id, barrier, max(CASE WHEN trim(txt) = '' THEN 0.3 * score ELSE score * (0.25 + 0.75 * CASE WHEN len(t) > 0 AND len(e) > 0 THEN len(list_intersect(t, e)) / (len(t) + len(e) - len(list_intersect(t, e))) ELSE 0 END) END) s, max(CASE WHEN trim(txt) <> '' AND len(list_intersect(t, e)) > 0 THEN 1 ELSE 0 END) h FROM tk, bm JOIN en USING (predictor_path) GROUP BY ALL),
-wt AS (SELECT DISTINCT profile_id, barrier FROM bt), bb AS (SELECT barrier FROM bm GROUP BY 1 ORDER BY max(score) DESC, barrier LIMIT 15), ts AS (SELECT profile_id, barrier, round(s, 9) score FROM al WHERE h = 1 OR barrier IN (SELECT barrier FROM bb) OR (profile_id, barrier) IN (SELECT (profile_id, barrier) FROM wt))"""
+ts AS (SELECT profile_id, barrier, round(s, 9) score FROM al)"""
 
 
 @query("C15_text_barrier_scores", f"WITH {TSCORE} SELECT profile_id, barrier, round(score, 6) score FROM ts")
 def c15t(spark, d):
-    wanted = Z.barrier_scores(targets_of(spark, d), barrier_map(spark, d), 10).select("profile_id", "barrier").distinct()
-    mapping = barrier_map(spark, d).withColumnRenamed("predictor_path", "entity")
-    return rounded(Z.text_barrier_scores(texts_of(spark, d), mapping, wanted, 15))
+    return rounded(Z.text_barrier_scores(texts_of(spark, d), barrier_map(spark, d).withColumnRenamed("predictor_path", "entity")))
 
 
 COMB = f"""{TSCORE}, pe AS (SELECT profile_id, barrier, max(contribution) p FROM bt GROUP BY ALL), ev AS (SELECT profile_id, barrier, coalesce(p, 0) ps, coalesce(score, 0) xs FROM pe FULL JOIN ts USING (profile_id, barrier)), cb AS (SELECT profile_id, barrier, round(least(1, 0.60 * ps + 0.20 * xs + 0.05 * coalesce(CASE WHEN len(t) > 0 THEN len(list_intersect(t, {TOKS.format('barrier')})) / (len(t) + len({TOKS.format('barrier')}) - len(list_intersect(t, {TOKS.format('barrier')}))) ELSE 0 END, 0)), 9) total FROM ev LEFT JOIN tk USING (profile_id)),
@@ -402,7 +400,7 @@ tb AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY total DESC,
 def combined(spark, d):
     bars = cut_lineage(Z.barrier_scores(targets_of(spark, d), barrier_map(spark, d), 10))
     pred = bars.groupBy("profile_id", "barrier").agg(F.max("contribution").alias("predictor_score"))
-    text = Z.text_barrier_scores(texts_of(spark, d), barrier_map(spark, d).withColumnRenamed("predictor_path", "entity"), pred, 15).withColumnRenamed("score", "profile_score")
+    text = Z.text_barrier_scores(texts_of(spark, d), barrier_map(spark, d).withColumnRenamed("predictor_path", "entity")).withColumnRenamed("score", "profile_score")
     ev = pred.join(text, ["profile_id", "barrier"], "full_outer").withColumn("context_score", F.lit(0.0))
     return Z.combine_barriers(ev, texts_of(spark, d), 8)
 

@@ -215,7 +215,7 @@ def ranks_sql(g: str) -> str:
     return f"""mo AS (SELECT {COLS}, {g} g, count(*) n, avg(value) m, var_samp(value) v, median(value) md FROM base GROUP BY ALL),
 ct AS (SELECT b.*, value - m AS c, abs(value - md) AS dv, mo.n gn FROM (SELECT *, {g} g FROM base) b JOIN mo USING (profile_id, code, g)),
 nm AS (SELECT {COLS}, g, count(*) n, avg(c * c) m2, avg(c * c * c) m3, avg(c * c * c * c) m4, avg(dv) dm, var_samp(dv) dvv FROM ct GROUP BY ALL),
-nrm AS (SELECT {COLS}, bool_and(n >= 3 AND n <= 5000 AND coalesce(CASE WHEN m2 > 0 THEN exp(-n / 12.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)) ELSE 0 END >= 0.05, false)) normal FROM nm GROUP BY ALL),
+nrm AS (SELECT {COLS}, bool_and(n >= 3 AND coalesce(CASE WHEN m2 > 0 THEN exp(-n / 12.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)) ELSE 0 END >= 0.05, false)) normal FROM nm GROUP BY ALL),
 gt AS (SELECT {COLS}, count(*) k, sum(n) n, min(n) mn, sum(n * m) / sum(n) gm FROM mo GROUP BY ALL),
 gd AS (SELECT {COLS}, sum(n * dm) / sum(n) gm FROM nm GROUP BY ALL),
 an AS (SELECT {COLS}, (sum(mo.n * pow(m - gm, 2)) / (max(k) - 1)) / (sum((mo.n - 1) * v) / (max(gt.n) - max(k))) f FROM mo JOIN gt USING (profile_id, code) GROUP BY ALL),

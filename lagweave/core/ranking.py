@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from lagweave.core.session import cut_lineage
+
 BINS = 256
 
 
@@ -48,6 +50,19 @@ def _at_rank(value: str, rank: Column) -> Column:
     return F.max(F.when((F.col("n_below") <= rank) & (rank < F.col("n_below") + F.col("n_at")), F.col(value)))
 
 
+def running_total(df: DataFrame, order: str, amount: str, rows_per_range: int = 50_000) -> DataFrame:
+    """`n_below`: total of `amount` over all rows with a smaller `order` (unique, sortable). Rows are dealt to ranges;
+    one window runs over the few range totals and one inside each range."""
+    n = max(1, df.count() // rows_per_range)
+    ranged = cut_lineage(df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(F.sum(amount).alias("_t"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shift = totals.select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_shift"))
+    inside = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return ranged.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(shift, "_range").withColumn(
+        "n_below", F.col("_in") + F.col("_shift")).drop("_range", "_in", "_shift")
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bounded: bool = False) -> DataFrame:
     """Linear-interpolated quantiles per key, named by `probs`. `bounded` groups use the built-in aggregate."""
     if bounded:

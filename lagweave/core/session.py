@@ -1,13 +1,10 @@
-"""Session helpers: lineage cuts in the shared folder and size-checked broadcasts."""
+"""Session helper: lineage cuts in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 50_000
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -26,12 +23,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint; survives the loss of executors."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side is small.
-
-    Above the bound the plain frame is returned and the join shuffles (AQE splits skewed partitions).
-    """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df

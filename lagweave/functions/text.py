@@ -61,5 +61,5 @@ def leaf_text(path: Column, mode: str = "full") -> Column:
         return F.array_join(tokenize(normalize_path(path)), " ")
     if mode == "context":
         back = F.reverse(segs)
-        return F.concat_ws(" | ", F.get(back, F.lit(0)), F.array_join(F.slice(back, 2, 99), " < "))
+        return F.concat_ws(" | ", F.get(back, F.lit(0)), F.array_join(F.slice(back, F.lit(2), F.size(back)), " < "))
     raise ValueError(mode)

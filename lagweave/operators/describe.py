@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -125,9 +127,10 @@ def highlights(progress_table: DataFrame, trend: DataFrame, tests: DataFrame, k:
 def detect_nominal(rows: DataFrame, columns: dict[str, str], max_text: int = 12, max_numeric: int = 6) -> DataFrame:
     """Columns (name -> 'text' or 'numeric') with 2 to 12 (text) or 2 to 6 (numeric) levels; P*/C* variables are no factors.
 
-    A sketch discards wide columns first, then only the candidates are counted exactly.
+    A sketch first discards columns that it puts above three times the larger limit (36 levels as given), far beyond its
+    error; the others are counted exactly.
     """
-    names = [c for c in columns if not c.startswith(("P0", "C0"))]
+    names = [c for c in columns if not re.match(r"[PC]\d", c)]
     rough = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in names]).first().asDict()
     near = [c for c in names if rough[c] <= 3 * max_text]
     # Each column is at most 3 * max_text values wide by the sketch.

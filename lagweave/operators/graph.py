@@ -1,11 +1,12 @@
 """Graph metrics on keyed edge tables: every graph is a (profile_id, time_index) key, all graphs advance at once.
 
 A graph has as many nodes as its profile has variables (at most a few dozen by the model policy), so the number of
-keys is what grows. Shortest paths cost nodes^3 rows per key; the node bound is checked before they run.
+keys is what grows. Shortest paths cost up to nodes^3 rows per key, spread over (key, middle node).
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -15,7 +16,6 @@ from lagweave.core.session import cut_lineage
 from lagweave.functions.scores import corr
 
 KEY = ["profile_id", "time_index"]
-MAX_PATH_NODES = 200
 TIE = 1e-9
 
 
@@ -107,8 +107,6 @@ def spectral_centrality(edges: DataFrame, nodes: DataFrame, alpha: float = 0.1,
 def shortest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """All-pairs distances by min-plus squaring; rounds follow from the largest graph."""
     largest = nodes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    if largest > MAX_PATH_NODES:
-        raise ValueError(f"a graph with {largest} nodes is beyond the shortest-path bound of {MAX_PATH_NODES}")
     d = cut_lineage(edges.groupBy(*KEY, "src", "dst").agg(F.min("dist").alias("d")))
     for _ in range(math.ceil(math.log2(max(2, largest - 1))) or 1):
         left = d.select(*KEY, "src", F.col("dst").alias("mid"), F.col("d").alias("d1"))
@@ -207,19 +205,26 @@ def components(und: DataFrame, nodes: DataFrame) -> DataFrame:
         label = new.drop("old")
 
 
-def communities(und: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFrame:
+def communities(und: DataFrame, nodes: DataFrame, together: int = 8) -> DataFrame:
     """Weighted label propagation: each node takes the label with the largest weight among its neighbours, its own
-    label counting with its mean incident weight; ties take the smaller name."""
+    label counting with its mean incident weight; ties take the smaller name.
+
+    All nodes move at once for `together` rounds. After that a node waits for neighbours of smaller name that want to
+    move too: each move then raises the weight inside modules (or lowers a name at equal weight), so a fixed point is
+    reached and two-cycles cannot go on."""
     own = und.groupBy(*KEY, F.col("src").alias("node")).agg(F.avg("aw").alias("self"))
     label = cut_lineage(nodes.join(own, [*KEY, "node"], "left").fillna(0.0, ["self"]).withColumn("module", F.col("node")))
     ends = und.select(*KEY, F.col("src").alias("nb"), F.col("dst").alias("node"), "aw")
-    for _ in range(rounds):
+    for turn in itertools.count():
         votes = ends.join(label.select(*KEY, F.col("node").alias("nb"), "module"), [*KEY, "nb"]).select(*KEY, "node", "module", "aw").unionAll(label.select(*KEY, "node", "module", "self"))
         best = votes.groupBy(*KEY, "node", "module").agg(F.round(F.sum("aw"), 9).alias("v")).groupBy(*KEY, "node").agg(F.min(F.struct((-F.col("v")).alias("v"), "module"))["module"].alias("new"))
-        moved = cut_lineage(label.join(best, [*KEY, "node"]).select(*KEY, "node", "self", F.col("new").alias("module"), (F.col("new") != F.col("module")).alias("moved")))
-        label = moved.drop("moved")
-        if moved.where("moved").limit(1).count() == 0:
+        wish = cut_lineage(label.join(best, [*KEY, "node"]).withColumn("moved", F.col("new") != F.col("module")))
+        if wish.where("moved").limit(1).count() == 0:
             break
+        if turn >= together:
+            first = ends.join(wish.where("moved").select(*KEY, F.col("node").alias("nb")), [*KEY, "nb"]).groupBy(*KEY, "node").agg(F.min("nb").alias("ahead"))
+            wish = wish.join(first, [*KEY, "node"], "left").withColumn("moved", F.col("moved") & F.coalesce(F.col("ahead") > F.col("node"), F.lit(True)))
+        label = cut_lineage(wish.select(*KEY, "node", "self", F.when(F.col("moved"), F.col("new")).otherwise(F.col("module")).alias("module")))
     return label.select(*KEY, "node", "module")
 
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lagweave.core.ranking import number_rows, quantiles, top_n
+from lagweave.core.ranking import number_rows, quantiles, running_total, top_n
 from lagweave.core.session import cut_lineage
 
-MAX_DEPTH = 40
-
 
 def flatten_hierarchy(docs: DataFrame) -> DataFrame:
     """docs(doc_id, json): one row per node with path, parent, depth and leaf flag, level by level for all documents."""
     level = docs.select("doc_id", F.array().cast("array<string>").alias("path"), F.col("json").alias("v"))
     out = None
-    for depth in range(1, MAX_DEPTH + 1):
+    for depth in itertools.count(1):
         kids = F.from_json("v", "map<string,string>")
         level = level.select("doc_id", "path", F.explode(kids).alias("k", "v")).select("doc_id", F.concat("path", F.array("k")).alias("path"), "v")
         level = cut_lineage(level)
@@ -28,7 +28,7 @@ def flatten_hierarchy(docs: DataFrame) -> DataFrame:
     return out
 
 
-def parse_tree_lines(lines: DataFrame, indent: int = 2, max_depth: int = 13) -> DataFrame:
+def parse_tree_lines(lines: DataFrame, indent: int = 2) -> DataFrame:
     """lines(doc_id, line_no, text): `[SECTION]` lines and indented nodes, leaves carrying `(ID:n)` -> leaves with id,
     label, section and first branch.
 
@@ -44,6 +44,7 @@ def parse_tree_lines(lines: DataFrame, indent: int = 2, max_depth: int = 13) ->
     w = W.partitionBy("doc_id").orderBy("line_no")
     parsed = parsed.withColumn("_no", F.row_number().over(w))
     seen = w.rowsBetween(W.unboundedPreceding, 0)
+    max_depth = (parsed.agg(F.max("depth")).first()[0] or 0) + 1
     at = {f"_a{d}": F.last(F.when((F.col("depth") == d) & F.col("leaf_id").isNull(), F.struct("_no", "name")), True).over(seen) for d in range(max_depth)}
     tagged = parsed.withColumns(at).where(F.col("leaf_id").isNotNull())
     chain = []
@@ -77,8 +78,8 @@ def nodes_at_level(paths: DataFrame, n: int) -> DataFrame:
     Ids are numbered inside a parent and shifted by the nodes of earlier parents.
     """
     at = paths.where(F.size("path") >= n).select(F.array_join(F.slice("path", 1, n - 1), " / ").alias("parent"), F.array_join(F.slice("path", 1, n), " / ").alias("node")).distinct()
-    sizes = at.groupBy("parent").agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.select("parent", F.coalesce(F.sum("_n").over(W.orderBy("parent").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    sizes = at.groupBy("parent").agg(F.count(F.lit(1)).alias("n_at"))
+    shift = running_total(sizes, "parent", "n_at").select("parent", F.col("n_below").alias("_s"))
     inside = F.row_number().over(W.partitionBy("parent").orderBy("node"))
     return at.withColumn("_r", inside).join(shift, "parent").select("parent", "node", (F.col("_r") - 1 + F.col("_s")).alias("id"))
 
@@ -144,7 +145,7 @@ def clean_hierarchy(paths: DataFrame, protected: list[str], root: str | None = N
     segs = F.filter("path", lambda s: ~canon(s).contains("criteria"))
     if root is not None:
         bare = "".join(ch for ch in root.lower() if ch.isalnum())
-        segs = F.when(canon(F.get(segs, F.lit(0))) == bare, F.slice(segs, 2, MAX_DEPTH)).otherwise(segs)
+        segs = F.when(canon(F.get(segs, F.lit(0))) == bare, F.slice(segs, F.lit(2), F.size(segs))).otherwise(segs)
     kept = paths.where(~F.exists("path", prevalence)).select(segs.alias("path"))
     low = F.transform("path", lambda s: F.when(s.isin(protected), s).otherwise(F.lower(s)))
     return kept.select(low.alias("path")).where(F.size("path") > 0).distinct()
@@ -155,7 +156,7 @@ def root_paths(parents: DataFrame) -> DataFrame:
     nodes = parents.select(F.col("child").alias("node")).union(parents.select("parent")).where("node is not null").distinct()
     one = parents.where("parent is not null").groupBy("child").agg(F.min("parent").alias("parent"))
     walk = cut_lineage(nodes.select("node", F.array("node").alias("path"), F.lit(False).alias("done")))
-    for _ in range(MAX_DEPTH):
+    while True:
         step = walk.join(one, F.get("path", F.lit(0)) == F.col("child"), "left")
         stop = F.col("done") | F.col("parent").isNull() | F.array_contains("path", F.col("parent"))
         walk = cut_lineage(step.select("node", F.when(stop, F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path"), stop.alias("done")))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.core.session import small_side
 from lagweave.functions import paths as P
 from lagweave.functions.scores import fuzzy_ratio
 
@@ -23,7 +22,7 @@ def expand_to_leaves(mapping: DataFrame, leaves: DataFrame, by: list[str]) -> Da
     segs = leaves.select("leaf").distinct().withColumn("s", P.lower_segments(F.col("leaf")))
     up = segs.select("leaf", F.explode(F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1)))).alias("depth"), "s").select(
         "leaf", "depth", F.array_join(F.slice("s", F.lit(1), F.col("depth")), " / ").alias("prefix"))
-    hit = up.join(small_side(m), "prefix")
+    hit = up.join(m, "prefix")
     return hit.groupBy(*by, "leaf").agg(F.max(F.struct("depth", "score", "prefix")).alias("b")).select(
         *by, "leaf", F.col("b.prefix").alias("matched_path"), F.col("b.depth").alias("matched_depth"), F.col("b.score").alias("score"))
 

@@ -27,9 +27,9 @@ def load_edges(raw: DataFrame) -> DataFrame:
 
 def attach_hierarchy(edges: DataFrame, hierarchy: DataFrame, path: str | None = None) -> DataFrame:
     """Domains by predictor id, else parsed from the edge's own path, else UNKNOWN_*. The hierarchy is reduced to one
-    row per id first, so the join cannot multiply edges."""
+    row per id first (the first in order of its domains, taken whole), so the join cannot multiply edges."""
     levels = ["primary", "secondary", "tertiary"]
-    one = hierarchy.groupBy("predictor_id").agg(*[F.min(c).alias(c) for c in levels])
+    one = hierarchy.groupBy("predictor_id").agg(F.min(F.struct(*levels)).alias("_h")).select("predictor_id", *[F.col(f"_h.{c}").alias(c) for c in levels])
     joined = edges.join(one, "predictor_id", "left")
     parsed = F.transform(F.split(F.coalesce(F.col(path), F.lit("")), ">"), lambda s: F.trim(s)) if path else F.array().cast("array<string>")
     for i, c in enumerate(levels):
@@ -109,7 +109,8 @@ def topk_mapping(raw: DataFrame, left: str, right: str, rollup: str, shape: tupl
                  left_ids: DataFrame | None = None, right_ids: DataFrame | None = None) -> DataFrame:
     """Corrected (missing pairs are zero) and uncorrected means.
 
-    rollup: `left` one row per left id over the right side, `right` the reverse, `both` one overall row, `pairs` none.
+    rollup: `left` one row per left id over the right side, `right` the reverse, `both` one overall row, `pairs` none (all
+    pairs, or the k best).
     `shape` is the size of the full matrix; given id lists (one column) replace their side and get zero rows.
     """
     if left_ids is not None:
@@ -125,8 +126,7 @@ def topk_mapping(raw: DataFrame, left: str, right: str, rollup: str, shape: tupl
     if rollup == "both":
         return pairs.agg(*stats(n_left * n_right)).withColumn("pairs_total", F.lit(n_left * n_right))
     if rollup == "pairs":
-        order = [F.desc_nulls_last("score"), F.col(left), F.col(right)]
-        return top_n(pairs.withColumn("_g", F.lit(0)), ["_g"], order, k or 100).drop("_g")
+        return pairs if k is None else pairs.orderBy(F.desc_nulls_last("score"), left, right).limit(k)
     key, ids, n_other = (left, left_ids, n_right) if rollup == "left" else (right, right_ids, n_left)
     out = pairs.groupBy(key).agg(*stats(n_other))
     if ids is not None:

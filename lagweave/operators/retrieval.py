@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lagweave.core.ranking import top_n
-from lagweave.core.session import cut_lineage, small_side
+from lagweave.core.session import cut_lineage
 
 # BM25 constants, fusion weights (vector, BM25, token, fuzzy), softmax temperatures, RRF constant.
 K1, B = 1.5, 0.75
@@ -120,14 +120,14 @@ def lexical_scores(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float
     n, avgdl = size["n"], size["avgdl"] or 1.0
     terms = queries.select("query_id", F.size(F.array_distinct("tokens")).alias("q_len"), F.explode("tokens").alias("term")).groupBy(
         "query_id", "q_len", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocab = small_side(terms.select("term").distinct())
+    vocab = terms.select("term").distinct()
     # Lengths travel inside the exploded array; beside it they would be derived again for every exploded token.
     n_tok = F.size("tokens")
     carried = F.arrays_zip(F.col("tokens").alias("term"), F.array_repeat(n_tok, n_tok).alias("dl"), F.array_repeat(F.size(F.array_distinct("tokens")), n_tok).alias("ul"))
     postings = docs.select("vec_id", F.explode(carried).alias("p")).select("vec_id", F.col("p.term").alias("term"), F.col("p.dl").alias("dl"), F.col("p.ul").alias("ul")).join(
         vocab, "term", "left_semi").groupBy("vec_id", "dl", "ul", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = small_side(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    j = postings.join(df, "term").join(small_side(terms), "term")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    j = postings.join(df, "term").join(terms, "term")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl))))
     return j.groupBy("query_id", "vec_id").agg(
@@ -155,7 +155,7 @@ def candidate_pool(queries: DataFrame, docs: DataFrame, pool: int = POOL) -> Dat
     by_lex = top_n(lex, ["query_id"], [F.desc("bm25"), F.col("vec_id")], pool).select("query_id", "vec_id")
     q = queries.select("query_id", F.col("text").alias("qt"), F.array_distinct("tokens").alias("qs"), F.col("embedding").alias("qe"))
     d = docs.select("vec_id", F.col("text").alias("dt"), F.array_distinct("tokens").alias("ds"), F.col("embedding").alias("de"))
-    pairs = by_vec.union(by_lex).distinct().join(small_side(q, 5000), "query_id").join(d, "vec_id")
+    pairs = by_vec.union(by_lex).distinct().join(q, "query_id").join(d, "vec_id")
     scored = pairs.select("query_id", "vec_id", cosine_columns(F.col("qe"), F.col("de")).alias("emb"), jaccard(F.col("qs"), F.col("ds")).alias("tok"),
                           fuzzy_ratio(F.lower(F.trim("qt")), F.lower("dt")).alias("fuz"))
     kept = top_n(scored, ["query_id"], [F.desc("emb"), F.col("vec_id")], pool).drop("rank")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lagweave.core.ranking import number_rows, top_n
-from lagweave.core.session import small_side
 from lagweave.functions import paths as P
 from lagweave.functions.scores import clamp01, fraction_from_hash, norm_score
 from lagweave.operators.joins import jaccard_candidates, path_similarity_join, subsequence_match
@@ -237,13 +236,12 @@ def barrier_scores(targets: DataFrame, mapping: DataFrame, n: int, min_sim: floa
     return top_n(c, [BY, "predictor"], [F.desc("contribution"), F.col("barrier"), F.col("predictor_path")], n)
 
 
-def text_barrier_scores(texts: DataFrame, mapping: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def text_barrier_scores(texts: DataFrame, mapping: DataFrame) -> DataFrame:
     """texts(profile_id, text), mapping(entity, barrier, score): score * (.25 + .75 Jaccard), best per barrier; an
     empty text gives .30 * score.
 
-    Every barrier has such a score, but without a common token it is only a constant share of the barrier's best
-    mapping score. Rows are given for barriers that share a token, for `wanted(profile_id, barrier)`, and for the k
-    barriers with the best constant part; no other barrier can enter a top k.
+    Every barrier has a score for every text; without a common token it is a constant share of the barrier's best
+    mapping score, so the result has one row for each text and barrier and that part needs no comparison of tokens.
     """
     from lagweave.functions.text import tokenize
 
@@ -253,11 +251,8 @@ def text_barrier_scores(texts: DataFrame, mapping: DataFrame, wanted: DataFrame,
     sims = cand.select(BY, "entity", P.jaccard(F.col("tt"), F.col("et")).alias("sim"))
     hit = sims.join(mapping, "entity").groupBy(BY, "barrier").agg(F.max(norm_score(F.col("score")) * (0.25 + 0.75 * F.col("sim"))).alias("hit"))
     base = mapping.groupBy("barrier").agg(F.max(norm_score(F.col("score"))).alias("base"))
-    best = [r["barrier"] for r in base.orderBy(F.desc("base"), "barrier").limit(k).collect()]
-    common = t.select(BY, F.explode(F.array(*[F.lit(x) for x in best])).alias("barrier"))
-    keys = hit.select(BY, "barrier").union(wanted.select(BY, "barrier")).union(common).distinct()
     share = t.select(BY, F.when(F.trim("text") == "", 0.30).otherwise(0.25).alias("f"))
-    full = keys.join(small_side(base), "barrier").join(share, BY).join(hit, [BY, "barrier"], "left")
+    full = share.crossJoin(base).join(hit, [BY, "barrier"], "left")
     return full.select(BY, "barrier", F.round(clamp01(F.greatest(F.col("f") * F.col("base"), F.coalesce("hit", F.lit(0.0)))), 9).alias("score"))
 
 

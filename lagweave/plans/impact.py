@@ -25,7 +25,7 @@ def node_table(coefs: DataFrame, threshold: float = 1e-10) -> DataFrame:
     return cut_lineage(out.join(times, G.KEY))
 
 
-def predictor_table(obs: DataFrame, bandwidth: float = 0.15, alpha: float = 0.05, draws: int = 20) -> DataFrame:
+def predictor_table(obs: DataFrame, bandwidth: float = 0.15, alpha: float = 0.05, draws: int = N.DRAWS) -> DataFrame:
     filled = T.interpolate(obs).select("profile_id", "code", "t_index", "ts", F.col("filled").alias("value"))
     z = cut_lineage(T.zscore(filled).select("profile_id", "code", "t_index", F.col("z").alias("value")))
     rows = cut_lineage(N.lag_rows(z))

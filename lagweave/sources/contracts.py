@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.core.session import small_side
 
 
 def filter_ids(df: DataFrame, col: str, ids: DataFrame | None) -> DataFrame:
     """Keep rows whose id is listed; no list means no filter."""
     if ids is None:
         return df
-    return df.join(small_side(ids.select(col).distinct()), col, "left_semi")
+    return df.join(ids.select(col).distinct(), col, "left_semi")
 
 
 def validate_contract(df: DataFrame, required: dict[str, str], rules: dict[str, Column]) -> DataFrame:

@@ -69,7 +69,3 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("cluster_id"), F.col("l_partkey").alias("predictor_id"),
         (F.col("l_quantity") * 20 + F.col("l_linenumber")).alias("score"))
-
-
-def domain_of(word: Column) -> Column:
-    return F.concat(F.lit("D"), word)
