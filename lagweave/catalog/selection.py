@@ -300,18 +300,20 @@ def fused(spark, d):
     preds = an.select("profile_id", F.col("anchor").alias("predictor"), F.col("anchor").alias("path"))
     imp = an.withColumn("criterion", two).select("profile_id", F.col("anchor").alias("predictor"), "criterion", F.col("impact").alias("value"))
     rel = imp.withColumn("value", F.col("value") * 0.5 + F.when(F.col("criterion") == "C1", 0.2).otherwise(0.0))
-    ready = profiles.withColumn("score", F.lit(60.0))
-    maps = mapping.withColumn("criterion_path", F.lit(""))
+    ready = profiles.withColumn("score", F.substring("profile_id", 2, 9).cast("int") % 9 * 12.5)
+    last = F.substring("path", -1, 1)
+    maps = mapping.withColumn("criterion_path", F.when(last.isin("1", "2"), "").when(last == "3", "BIO / AFRICA / sub").otherwise("PSYCHO / AMERICA"))
     return cut_lineage(Z.fuse_model(cands, criteria, preds, rel, imp, maps, ready)), imp
 
 
 FUSE = f"""{ANCH}, {MAPR}, cd AS (SELECT profile_id, path, score prior, lower(path) parent FROM hy), sp AS (SELECT *, CASE WHEN count(*) OVER w <= 1 THEN 1.0 ELSE 0.5 + 0.5 * greatest(1e-6, prior) / sum(greatest(1e-6, prior)) OVER w * count(*) OVER w END split FROM cd WINDOW w AS (PARTITION BY profile_id, parent)),
 xc AS (SELECT path, {SEGS.replace(' > ', ' / ').format('path')} sc, {PTOK.format('path')} tc FROM (SELECT DISTINCT path FROM cd)), xa AS (SELECT anchor, {SEGS.replace(' > ', ' / ').format('anchor')} sa, {PTOK.format('anchor')} ta FROM (SELECT DISTINCT anchor FROM an)), ca AS (SELECT path, anchor, {similarity_sql('sc', 'sa', 'tc', 'ta')} s FROM xc, xa),
 xm AS (SELECT path mpath, {SEGS.replace(' > ', ' / ').format('path')} sm, {PTOK.format('path')} tm FROM (SELECT DISTINCT path FROM mr)), cm AS (SELECT path, mpath, {similarity_sql('sc', 'sm', 'tc', 'tm')} s FROM xc, xm),
-kc AS (SELECT 'C0' criterion UNION ALL SELECT 'C1'), im AS (SELECT profile_id, anchor, criterion, impact v, impact * 0.5 + CASE WHEN criterion = 'C1' THEN 0.2 ELSE 0 END r FROM an, kc),
-tr AS (SELECT sp.profile_id, sp.path, criterion, sum(s * r) / sum(s) transfer, sum(s * v) / sum(s) ind FROM sp JOIN ca USING (path) JOIN im ON im.profile_id = sp.profile_id AND im.anchor = ca.anchor WHERE s > 0 GROUP BY ALL), mp AS (SELECT sp.profile_id, sp.path, max(mr.score * s * (0.35 + 0.65 * 0.45)) mpart FROM sp JOIN cm USING (path) JOIN mr ON mr.profile_id = sp.profile_id AND mr.path = cm.mpath WHERE s > 0.2 AND mr.score > 0 GROUP BY ALL),
-fu0 AS (SELECT sp.profile_id, sp.path, prior, split, criterion, coalesce(transfer, 0) transfer, coalesce(ind, 0) ind, coalesce(mpart, 0) mpart FROM sp CROSS JOIN kc LEFT JOIN tr USING (profile_id, path, criterion) LEFT JOIN mp USING (profile_id, path)),
-fu AS (SELECT *, least(1, 0.6 * mpart + 0.4 * transfer) grp, least(1, ind * split) idv, 0.4 * least(1, 0.6 * mpart + 0.4 * transfer) + 0.6 * least(1, ind * split) fused FROM fu0),
+kc AS (SELECT 'C' || r_regionkey criterion, 'BIO / ' || r_name kp FROM region WHERE r_regionkey < 2), mq AS (SELECT *, CASE WHEN right(path, 1) IN ('1', '2') THEN '' WHEN right(path, 1) = '3' THEN 'BIO / AFRICA / sub' ELSE 'PSYCHO / AMERICA' END qp FROM mr),
+xk AS (SELECT criterion, qp, {SEGS.replace(' > ', ' / ').format('kp')} sk, {PTOK.format('kp')} tk, {SEGS.replace(' > ', ' / ').format('qp')} sq, {PTOK.format('qp')} tq FROM kc, (SELECT DISTINCT qp FROM mq)), kq AS (SELECT criterion, qp, CASE WHEN qp = '' THEN 0.45 ELSE {similarity_sql('sk', 'sq', 'tk', 'tq')} END cs FROM xk), im AS (SELECT profile_id, anchor, criterion, impact v, impact * 0.5 + CASE WHEN criterion = 'C1' THEN 0.2 ELSE 0 END r FROM an, kc),
+tr AS (SELECT sp.profile_id, sp.path, criterion, sum(s * r) / sum(s) transfer, sum(s * v) / sum(s) ind FROM sp JOIN ca USING (path) JOIN im ON im.profile_id = sp.profile_id AND im.anchor = ca.anchor WHERE s > 0 GROUP BY ALL), mp AS (SELECT sp.profile_id, sp.path, criterion, max(mq.score * s * (0.35 + 0.65 * cs)) mpart FROM sp JOIN cm USING (path) JOIN mq ON mq.profile_id = sp.profile_id AND mq.path = cm.mpath JOIN kq USING (qp) WHERE s > 0.2 AND mq.score > 0 GROUP BY ALL),
+fu0 AS (SELECT sp.profile_id, sp.path, prior, split, criterion, coalesce(transfer, 0) transfer, coalesce(ind, 0) ind, coalesce(mpart, 0) mpart FROM sp CROSS JOIN kc LEFT JOIN tr USING (profile_id, path, criterion) LEFT JOIN mp USING (profile_id, path, criterion)),
+fu AS (SELECT *, least(1, 0.6 * mpart + 0.4 * transfer) grp, least(1, ind * split) idv, (1 - wi) * least(1, 0.6 * mpart + 0.4 * transfer) + wi * least(1, ind * split) fused FROM (SELECT *, 0.30 + 0.50 * (CAST(substr(profile_id, 2) AS INT) % 9 * 12.5 / 100) wi FROM fu0)),
 iw AS (SELECT profile_id, criterion, sum(v) v FROM im GROUP BY ALL), cw AS (SELECT profile_id, criterion, CASE WHEN sum(coalesce(v, 0)) OVER w <= 1e-12 THEN 0.5 ELSE v / sum(v) OVER w END cw FROM (SELECT DISTINCT profile_id, criterion FROM fu) LEFT JOIN iw USING (profile_id, criterion) WINDOW w AS (PARTITION BY profile_id)),
 rk AS (SELECT profile_id, path, least(1, sum(fused * cw)) fm, least(1, sum(grp * cw)) gm, least(1, sum(idv * cw)) im, max(prior) prior FROM fu JOIN cw USING (profile_id, criterion) GROUP BY ALL)"""
 

@@ -17,6 +17,11 @@ def _lookup(table: Column, key: Column) -> Column:
     return F.try_element_at(table, key)
 
 
+def _with_parts(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Segments and tokens of a path column, computed once per row before it meets others."""
+    return df.withColumns({f"{name}_s": P.lower_segments(F.col(path)), f"{name}_t": P.path_tokens(F.col(path))})
+
+
 def breadth_first_select(cands: DataFrame, n: int) -> DataFrame:
     """cands(profile_id, path, domain, score): best of each domain, then round-robin over the domains up to three
     times their number, then by score. The order is a closed sort key, so no loop runs.
@@ -154,24 +159,31 @@ def fuse_model(cands: DataFrame, criteria: DataFrame, predictors: DataFrame, rel
 
     cands(profile_id, path, prior), criteria(profile_id, criterion, path), predictors(profile_id, predictor, path),
     relevance and impact(profile_id, predictor, criterion, value), mapping(profile_id, path, criterion_path, score),
-    readiness(profile_id, score 0-100).
+    readiness(profile_id, score 0-100). Candidates meet the predictors and mapping rows of their own profile only.
     """
     share = F.greatest(F.lit(1e-6), F.col("prior"))
     group = W.partitionBy(BY, "parent")
     c = cands.withColumn("parent", P.parent_key(F.col("path"))).withColumn("size", F.count(F.lit(1)).over(group)).withColumn(
         "split", F.when(F.col("size") <= 1, 1.0).otherwise(0.5 + 0.5 * share / F.sum(share).over(group) * F.col("size"))).select(BY, "path", "prior", "split")
-    sims = path_similarity_join(c, "path", predictors.select(F.col("path").alias("pred_path")), "pred_path", 1e-9)
-    near = c.select(BY, "path").join(sims, "path").join(predictors.withColumnRenamed("path", "pred_path"), [BY, "pred_path"])
-    rel = relevance.where("value > 0").select(BY, "predictor", "criterion", F.col("value").alias("dense"))
+    c = _with_parts(c, "path", "c")
     s = F.col("similarity")
+    near = c.select(BY, "path", "c_s", "c_t").join(_with_parts(predictors.withColumnRenamed("path", "pred_path"), "pred_path", "p"), BY).withColumn(
+        "similarity", P.similarity_of_parts(F.col("c_s"), F.col("p_s"), F.col("c_t"), F.col("p_t"))).where(s > 0).select(BY, "path", "predictor", "similarity")
+    rel = relevance.where("value > 0").select(BY, "predictor", "criterion", F.col("value").alias("dense"))
     dense = near.join(rel, [BY, "predictor"]).groupBy(BY, "path", "criterion").agg((F.sum(s * F.col("dense")) / F.sum(s)).alias("transfer"))
-    own = near.join(impact.select(BY, "predictor", "criterion", F.greatest(F.lit(0.0), F.col("value")).alias("imp")), [BY, "predictor"]).groupBy(BY, "path", "criterion").agg((F.sum(s * F.col("imp")) / F.sum(s)).alias("individual_raw"))
-    ps = path_similarity_join(c, "path", mapping.select(F.col("path").alias("map_path")), "map_path", 0.2).where("similarity > 0.20").withColumnRenamed("similarity", "pred_sim")
-    cs = path_similarity_join(criteria, "path", mapping.select("criterion_path").where("criterion_path != ''"), "criterion_path", 1e-9).select(F.col("path").alias("crit_path"), "criterion_path", F.col("similarity").alias("crit_sim"))
-    m = c.select(BY, "path").join(ps, "path").join(mapping.where("score > 0").withColumnRenamed("path", "map_path"), [BY, "map_path"]).groupBy(BY, "path", "criterion_path").agg(F.max(F.col("score") * F.col("pred_sim")).alias("v"))
-    mc = m.join(criteria.select(BY, "criterion", F.col("path").alias("crit_path")), BY).join(cs, ["crit_path", "criterion_path"], "left")
-    crit_sim = F.when(F.coalesce("criterion_path", F.lit("")) == "", 0.45).otherwise(F.coalesce("crit_sim", F.lit(0.0)))
+    # A predictor without an impact row on a criterion counts with zero.
+    imp = impact.select(BY, "predictor", "criterion", F.greatest(F.lit(0.0), F.col("value")).alias("imp"))
+    full = near.join(criteria.select(BY, "criterion"), BY).join(imp, [BY, "predictor", "criterion"], "left").fillna(0.0, ["imp"])
+    own = full.groupBy(BY, "path", "criterion").agg((F.sum(s * F.col("imp")) / F.sum(s)).alias("individual_raw"))
+    maps = _with_parts(mapping.where("score > 0").withColumnRenamed("path", "map_path"), "map_path", "m")
+    m = c.select(BY, "path", "c_s", "c_t").join(maps, BY).withColumn(
+        "similarity", P.similarity_of_parts(F.col("c_s"), F.col("m_s"), F.col("c_t"), F.col("m_t"))).where(s > 0.20).groupBy(
+        BY, "path", F.coalesce("criterion_path", F.lit("")).alias("criterion_path")).agg(F.max(F.col("score") * s).alias("v"))
+    crit = _with_parts(criteria.select(BY, "criterion", F.col("path").alias("crit_path")), "crit_path", "k")
+    mc = _with_parts(m, "criterion_path", "q").join(crit, BY)
+    crit_sim = F.when(F.col("criterion_path") == "", 0.45).otherwise(P.similarity_of_parts(F.col("k_s"), F.col("q_s"), F.col("k_t"), F.col("q_t")))
     maps = mc.groupBy(BY, "path", "criterion").agg(F.max(F.col("v") * (0.35 + 0.65 * crit_sim)).alias("mapping_part"))
+    c = c.drop("c_s", "c_t")
     on = [BY, "path", "criterion"]
     grid = c.join(criteria.select(BY, "criterion"), BY).join(dense, on, "left").join(own, on, "left").join(maps, on, "left").fillna(0.0)
     weight = readiness.select(BY, clamp01(0.30 + 0.50 * clamp01(F.col("score") / 100)).alias("w_ind"))
