@@ -279,14 +279,14 @@ def r10s(spark, d):
     return X.solution_queries(sol, crit).select("profile_id", "criterion", "solution_id", "query_text")
 
 
-@query("J11_combine_evidence", """WITH a AS (SELECT l_partkey k, max(l_discount) s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey k, max(l_tax) s FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 40 GROUP BY 1), c AS (SELECT p_partkey k, p_size / 50 s FROM part WHERE p_size > 25)
+@query("J11_combine_evidence", """WITH a AS (SELECT l_partkey k, max(l_discount) s FROM lineitem GROUP BY 1), b AS (SELECT l_partkey k, max(l_tax) s FROM lineitem GROUP BY 1), c AS (SELECT p_partkey k, p_size / 50 s FROM part)
 SELECT coalesce(a.k, b.k, c.k) barrier, round(coalesce(a.s, 0), 6) predictor_score, round(coalesce(b.s, 0), 6) profile_score, round(coalesce(c.s, 0), 6) context_score FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k""")
 def j11(spark, d):
     li, part = table(spark, d, "lineitem"), table(spark, d, "part")
     return rounded(J.combine_evidence({
-        "predictor": li.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("barrier"), F.col("l_discount").alias("score")),
-        "profile": li.where("l_returnflag = 'N' and l_quantity > 40").select(F.col("l_partkey").alias("barrier"), F.col("l_tax").alias("score")),
-        "context": part.where("p_size > 25").select(F.col("p_partkey").alias("barrier"), (F.col("p_size") / 50).alias("score"))}, "barrier"))
+        "predictor": li.select(F.col("l_partkey").alias("barrier"), F.col("l_discount").alias("score")),
+        "profile": li.select(F.col("l_partkey").alias("barrier"), F.col("l_tax").alias("score")),
+        "context": part.select(F.col("p_partkey").alias("barrier"), (F.col("p_size") / 50).alias("score"))}, "barrier"))
 
 
 @query("J12_fuzzy_entity_match", """WITH fa AS (SELECT DISTINCT s_suppkey label_id, lower(s_name) || ' ' || s_nationkey ka FROM supplier), t AS (SELECT DISTINCT s_suppkey entity_id, lower(s_name) || ' ' || ((s_nationkey + s_suppkey) % 25) kb FROM supplier),
@@ -299,13 +299,13 @@ def j12(spark, d):
     return rounded(J.fuzzy_entity_match(labels, terms))
 
 
-@query("J13_resolve_layer", f"""WITH ix AS (SELECT lower(p_name) k, min({PRIM}) lo, max({PRIM}) hi FROM part WHERE p_size % 3 = 0 OR p_name NOT LIKE 'blue%' GROUP BY 1), r AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 5 = 0 THEN ' bio' WHEN p_partkey % 5 = 1 THEN 'other' END layer, CASE WHEN p_partkey % 7 = 0 THEN 'SOCIAL' WHEN p_partkey % 7 = 1 THEN 'zzz' END root FROM part)
+@query("J13_resolve_layer", f"""WITH ix AS (SELECT lower(p_name) k, min({PRIM}) lo, max({PRIM}) hi FROM part GROUP BY 1), r AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 5 = 0 THEN ' bio' WHEN p_partkey % 5 = 1 THEN 'other' END layer, CASE WHEN p_partkey % 7 = 0 THEN 'SOCIAL' WHEN p_partkey % 7 = 1 THEN 'zzz' END root FROM part)
 SELECT p_partkey, coalesce(CASE WHEN layer = ' bio' THEN 'BIO' END, CASE WHEN root = 'SOCIAL' THEN root END, CASE WHEN lo = hi THEN lo END, 'UNKNOWN') resolved_layer, CASE WHEN layer = ' bio' THEN 'explicit' WHEN root = 'SOCIAL' THEN 'path' WHEN lo = hi THEN 'leaf' ELSE 'none' END layer_source FROM r LEFT JOIN ix ON lower(p_name) = k""")
 def j13(spark, d):
     h = table(spark, d, "part").join(M.hierarchy(spark, d).withColumnRenamed("predictor_id", "p_partkey"), "p_partkey")
     k5, k7 = F.col("p_partkey") % 5, F.col("p_partkey") % 7
     rows = h.select("p_partkey", F.col("p_name").alias("label"), F.when(k5 == 0, " bio").when(k5 == 1, "other").alias("layer"), F.when(k7 == 0, "SOCIAL > a").when(k7 == 1, "zzz > b").alias("path"))
-    index = h.where((F.col("p_size") % 3 == 0) | ~F.col("p_name").startswith("blue")).select(F.col("p_name").alias("label"), F.col("primary").alias("layer"))
+    index = h.select(F.col("p_name").alias("label"), F.col("primary").alias("layer"))
     return J.resolve_layer(rows, index, M.PRIMARY).select("p_partkey", "resolved_layer", "layer_source")
 
 

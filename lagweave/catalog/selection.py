@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lagweave.catalog import fragments as S
 from lagweave.catalog.mapping import likert, weights_of, SCORES_SQL
 from lagweave.catalog.network import CUT, EDGES, K, segment_coefs
 from lagweave.catalog.registry import joined, query, rounded
@@ -333,23 +334,27 @@ def c13(spark, d):
     return rounded(Z.memory_fusion(ranked, prev).select("profile_id", "path", "fused_mean", "stability_bonus", "memory_score", "contradiction", "final_score"))
 
 
-@query("C14_parent_feasibility", f"""WITH {SCORES_SQL}, pd AS (SELECT lang || ' / ' || source parent_domain, count(*) n, avg(overall_suitability) sv, avg(best_method_risk) rv FROM su JOIN documents USING (doc_id) GROUP BY 1), pp AS (SELECT DISTINCT concat_ws(' / ', lang, source, 'q' || (doc_id % 5)) path FROM documents WHERE doc_id % 3 = 0),
+FEASIBLE = f"""{SCORES_SQL}, pd AS (SELECT lang || ' / ' || source parent_domain, count(*) n, avg(overall_suitability) sv, avg(best_method_risk) rv FROM su JOIN documents USING (doc_id) GROUP BY 1), pp AS (SELECT DISTINCT concat_ws(' / ', lang, source, 'q' || (doc_id % 5)) path FROM documents),
 x AS (SELECT path, {SEGS.replace(' > ', ' / ').format('path')} sa, {PTOK.format('path')} ta FROM pp), y AS (SELECT *, {SEGS.replace(' > ', ' / ').format('parent_domain')} sb, {PTOK.format('parent_domain')} tb FROM pd), s AS (SELECT path, parent_domain, {similarity_sql('sa', 'sb', 'ta', 'tb')} sim, sv, rv FROM x, y),
-f AS (SELECT *, round(least(1, greatest(0, 0.75 * sv + 0.25 * (1 - rv))) * sim, 9) fe FROM s WHERE sim >= 0.1) SELECT path, parent_domain, round(sim, 6) similarity, round(fe, 6) feasibility, row_number() OVER (PARTITION BY path ORDER BY fe DESC, parent_domain) AS rank FROM f QUALIFY rank <= 10""")
+f AS (SELECT *, round(least(1, greatest(0, 0.75 * sv + 0.25 * (1 - rv))) * sim, 9) fe FROM s WHERE sim >= 0.1)"""
+
+
+@query("C14_parent_feasibility", f"""WITH {FEASIBLE} SELECT path, parent_domain, round(sim, 6) similarity, round(fe, 6) feasibility, row_number() OVER (PARTITION BY path ORDER BY fe DESC, parent_domain) AS rank FROM f QUALIFY rank <= 10""")
 def c14(spark, d):
     from lagweave.catalog.mapping import feasibility_frame
 
-    docs = table(spark, d, "documents").where("doc_id % 3 = 0")
+    docs = table(spark, d, "documents")
     preds = docs.select(F.concat_ws(" / ", "lang", "source", F.concat(F.lit("q"), F.col("doc_id") % 5)).alias("path")).distinct()
     parents = cut_lineage(MP.parent_domain_scores(feasibility_frame(spark, d)))
     return rounded(Z.parent_feasibility(preds, parents, 10).select("path", "parent_domain", "similarity", "feasibility", "rank"))
 
 
-@query("C14_feasibility_bundle")
+@query("C14_feasibility_bundle", f"""WITH {FEASIBLE}, k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY path ORDER BY fe DESC, parent_domain) <= 10), b AS (SELECT parent_domain, max(fe) fe, max(sv) sv, max(rv) rv, count(*) n FROM k GROUP BY 1)
+SELECT parent_domain, round(fe, 6) feasibility, round(sv, 6) suitability, round(rv, 6) risk, n support FROM b ORDER BY fe DESC, sv DESC, rv, n DESC, parent_domain LIMIT 30""")
 def c14b(spark, d):
     from lagweave.catalog.mapping import feasibility_frame
 
-    docs = table(spark, d, "documents").where("doc_id % 3 = 0")
+    docs = table(spark, d, "documents")
     preds = docs.select(F.concat_ws(" / ", "lang", "source", F.concat(F.lit("q"), F.col("doc_id") % 5)).alias("path")).distinct()
     parents = cut_lineage(MP.parent_domain_scores(feasibility_frame(spark, d)))
     return rounded(Z.feasibility_bundle(Z.parent_feasibility(preds, parents, 10)))
@@ -420,7 +425,7 @@ def c16c(spark, d):
     return rounded(Z.coping_scores(cut_lineage(combined(spark, d).select("profile_id", "barrier", "total")), mapping))
 
 
-@query("C17_quality_scores")
+@query("C17_quality_scores", f"""WITH {S.ALL_OBS},{S.PROFILE_STATS} SELECT profile_id, code, round(least(1, 0.55 * least(1, greatest(0, 1 - missing_pct)) + 0.20 * least(1, abs(coalesce(sd, 0)) / CASE WHEN code LIKE 'P%' THEN 0.15 ELSE 0.90 END) + 0.25 * CAST(n >= 10 AS INT)), 6) quality FROM prof""")
 def c17q(spark, d):
     from lagweave.operators import readiness as R
 
