@@ -280,8 +280,9 @@ def global_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def clique_cover(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """Groups in which every pair is linked in pairs(a, b, score): rounds in which locally best seeds claim neighbours.
 
-    In a round a node is a seed when its (degree, id) beats all its open neighbours. A seed admits its neighbours one
-    at a time by the best link first, dropping those not linked to the newest member, so a group is a clique at every step.
+    In a round a node is a seed when its (degree, id) beats all its open neighbours. A seed admits its neighbours by
+    the best link first, each if it is linked to all members so far. A step admits every neighbour that is linked to all
+    better ones still open (those are sure to get in), then drops neighbours that are not linked to a new member.
     Seeds are never linked to each other; a node claimed twice goes to the stronger link, then the smaller seed.
     """
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "score").unionAll(pairs.select("b", "a", "score"))
@@ -298,10 +299,15 @@ def clique_cover(pairs: DataFrame, ids: DataFrame) -> DataFrame:
         cand = cand.groupBy("m").agg(F.max(F.struct("score", (-F.col("seed")).alias("ns"))).alias("b")).select("m", (-F.col("b.ns")).alias("seed"), F.col("b.score").alias("score"))
         cand, taken = cut_lineage(cand), cut_lineage(seeds.select(F.col("seed").alias("u"), F.col("seed").alias("group")))
         while cand.limit(1).count():
-            first = cand.groupBy("seed").agg(F.max(F.struct("score", (-F.col("m")).alias("nm")))["nm"].alias("nm")).select("seed", (-F.col("nm")).alias("new"))
-            taken = cut_lineage(taken.unionByName(first.select(F.col("new").alias("u"), F.col("seed").alias("group"))))
-            left = cand.join(first, "seed").where("m != new")
-            cand = cut_lineage(left.join(live.select(F.col("u").alias("new"), F.col("v").alias("m")), ["new", "m"]).select("m", "seed", "score"))
+            ranked = cut_lineage(cand.withColumn("r", F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "m"))))
+            inside = live.select(F.col("u").alias("m"), F.col("v").alias("o")).join(ranked.select("m", "seed", "r"), "m").join(
+                ranked.select(F.col("m").alias("o"), "seed", F.col("r").alias("ro")), ["seed", "o"]).select("seed", "m", "r", "o", "ro")
+            better = inside.where("ro < r").groupBy("seed", "m").agg(F.count(F.lit(1)).alias("k"))
+            new = cut_lineage(ranked.join(better, ["seed", "m"], "left").where(F.coalesce("k", F.lit(0)) == F.col("r") - 1).select("seed", "m"))
+            taken = cut_lineage(taken.unionByName(new.select(F.col("m").alias("u"), F.col("seed").alias("group"))))
+            met = inside.join(new.select("seed", F.col("m").alias("o")), ["seed", "o"]).groupBy("seed", "m").agg(F.count(F.lit(1)).alias("k"))
+            many = new.groupBy("seed").agg(F.count(F.lit(1)).alias("n_new"))
+            cand = cut_lineage(cand.join(new, ["seed", "m"], "left_anti").join(met, ["seed", "m"]).join(many, "seed").where("k = n_new").select("m", "seed", "score"))
         groups = taken if groups is None else groups.unionByName(taken)
         open_ = cut_lineage(open_.join(taken.select("u"), "u", "left_anti"))
     return groups.select(F.col("u").alias("id"), "group") if groups is not None else ids.select(F.col(ids.columns[0]).alias("id"), F.lit(None).cast("long").alias("group"))

@@ -29,11 +29,13 @@ MOMENTS = "profile_id string, codes array<string>, n_obs int, kind string, fold
 
 
 def lag_rows(obs: DataFrame) -> DataFrame:
-    """One row per (profile, slot) with the vectors now (y) and one slot before (z). `obs` has no nulls."""
+    """One row per (profile, slot) with the vectors now (y) and one slot before (z). `obs` has no nulls. Slots that lack
+    one of the profile's variables pair with nothing, so positions always mean the same variable."""
     packed = F.array_sort(F.collect_list(F.struct("code", "value")))
     vecs = t_norm(obs).groupBy("profile_id", "t_index", "t_norm").agg(packed.alias("v"))
     w = W.partitionBy("profile_id").orderBy("t_index")
-    rows = vecs.withColumn("before", F.lag("v").over(w)).where(F.col("before").isNotNull() & (F.size("v") == F.size("before")))
+    full = obs.groupBy("profile_id").agg(F.count_distinct("code").alias("n_codes"))
+    rows = vecs.withColumn("before", F.lag("v").over(w)).join(full, "profile_id").where((F.size("v") == F.col("n_codes")) & (F.size("before") == F.col("n_codes")))
     return rows.select(
         "profile_id", (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy("profile_id")).cast("int").alias("n_obs"),
         F.col("t_norm").alias("t"), F.transform("v", lambda s: s["code"]).alias("codes"), F.transform("v", lambda s: s["value"]).alias("y"), F.transform("before", lambda s: s["value"]).alias("z"))

@@ -57,11 +57,10 @@ def coerce_numeric(raw: DataFrame, max_lost: float = 0.25) -> DataFrame:
     """Text values to finite doubles; variables with more than `max_lost` newly null rows are dropped."""
     from lagweave.functions.scores import finite
 
-    lost = (F.avg(F.col("value").isNull().cast("double")).over(by_series())
-            - F.avg(F.col("raw_value").isNull().cast("double")).over(by_series()))
-    return (raw.withColumn("value", finite(F.col("raw_value")))
-            .withColumn("non_numeric_rate", F.greatest(F.lit(0.0), lost))
-            .where(F.col("non_numeric_rate") <= max_lost))
+    values = raw.withColumn("value", finite(F.col("raw_value")))
+    null_rate = lambda c: F.avg(F.col(c).isNull().cast("double"))
+    rates = values.groupBy(*SERIES).agg(F.greatest(F.lit(0.0), null_rate("value") - null_rate("raw_value")).alias("non_numeric_rate"))
+    return values.join(rates.where(F.col("non_numeric_rate") <= max_lost), SERIES)
 
 
 def infer_time_columns(rows: DataFrame, columns: list[str], order: str, chunk: Column) -> DataFrame:

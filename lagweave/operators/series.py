@@ -60,7 +60,8 @@ def order_by_time(rows: DataFrame, keys: list[str], ts: str, fallback: str, chun
 
     The timestamp orders rows when at least 80 % of the profile's stamps parse, else the numeric fallback
     column does. Positions are numbered inside calendar chunks and shifted by the rows in earlier chunks, so
-    that a profile with a third of all rows is spread over many tasks.
+    that a profile with a third of all rows is spread over many tasks. Rows without a stamp come last, in chunks of
+    the fallback column.
     """
     usable = rows.groupBy(*keys).agg(
         (F.avg(F.col(ts).isNotNull().cast("double")) >= 0.8).alias("by_time"))
@@ -69,12 +70,13 @@ def order_by_time(rows: DataFrame, keys: list[str], ts: str, fallback: str, chun
     keyed = keyed.withColumn("chunk", F.when(
         F.col("by_time"), F.floor(F.col("order_key") / (chunk_seconds * 1_000_000))
     ).otherwise(F.floor(F.col("order_key") / 100_000)))
-    sizes = keyed.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy(*keys).orderBy(F.col("chunk").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    inside = W.partitionBy(*keys, "chunk").orderBy("order_key", fallback)
+    keyed = keyed.withColumn("late", F.when(F.col("chunk").isNull(), F.floor(F.col(fallback).cast("long") / 100_000)))
+    sizes = keyed.groupBy(*keys, "chunk", "late").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy(*keys).orderBy(F.col("chunk").asc_nulls_last(), F.col("late").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "chunk", "late", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = W.partitionBy(*keys, "chunk", "late").orderBy("order_key", fallback)
     numbered = keyed.withColumn("_rn", F.row_number().over(inside))
-    on = [numbered[k] == sizes[k] for k in keys] + [numbered["chunk"].eqNullSafe(sizes["chunk"])]
+    on = [numbered[k] == sizes[k] for k in keys] + [numbered[c].eqNullSafe(sizes[c]) for c in ("chunk", "late")]
     return numbered.join(sizes, on).select(
         *[numbered[c] for c in rows.columns], "by_time", (F.col("_rn") - 1 + F.col("shift")).alias("seq"))
 

@@ -83,3 +83,39 @@ def test_running_total_over_ranges(spark):
     for i, (_, below) in enumerate(got):
         assert below == total
         total += i % 7
+
+
+def test_clique_cover_equals_one_at_a_time(spark):
+    import random
+
+    rng = random.Random(4)
+    score = {(a, b): rng.random() for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.35}
+    pairs = spark.createDataFrame([(a, b, s) for (a, b), s in score.items()], "a long, b long, score double")
+    got = {r.id: r.group for r in graph.clique_cover(pairs, spark.range(40)).collect()}
+    of = lambda a, b: score.get((min(a, b), max(a, b)))
+    open_, want = set(range(40)), {}
+    while open_:
+        near = {u: [v for v in open_ if v != u and of(u, v) is not None] for u in open_}
+        rank = {u: (len(near[u]), u) for u in open_}
+        seeds = [u for u in open_ if all(rank[v] < rank[u] for v in near[u])]
+        cand = {}
+        for m in open_ - set(seeds):
+            mine = [(of(m, s), -s) for s in seeds if of(m, s) is not None]
+            if mine:
+                cand.setdefault(-max(mine)[1], []).append(m)
+        for s in seeds:
+            members = [s]
+            for m in sorted(cand.get(s, []), key=lambda m: (-of(m, s), m)):
+                if all(of(m, x) is not None for x in members):
+                    members.append(m)
+            want |= {m: s for m in members}
+            open_ -= set(members)
+    assert got == want
+
+
+def test_slots_without_a_variable_give_no_lag_row(spark):
+    from lagweave.operators.network import lag_rows
+
+    rows = [("p", c, t, float(t)) for t in range(6) for c in ("P01", "C01") if (c, t) != ("P01", 2) and (c, t) != ("C01", 3)]
+    got = lag_rows(spark.createDataFrame(rows, "profile_id string, code string, t_index int, value double")).collect()
+    assert sorted(r.y[0] for r in got) == [1.0, 5.0] and all(r.codes == ["C01", "P01"] for r in got)
