@@ -17,6 +17,7 @@ Only the named columns are read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -30,10 +31,24 @@ from pyspark.sql import functions as F
 
 from lagweave.core.session import cut_lineage
 from lagweave.llm import kernels as K
+from lagweave.llm.worker import kept
 
 CAPACITY, END_ID = 2048, 0
 PIECES_PER_BLOCK = 20_000
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 500_000
+# Fixed value: the split pattern of the vocabulary file; below LATIN_END its lower-casing is that of each letter alone.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_END = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable, else the next free one."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
 # White space on which libraries differ; texts with it are encoded whole.
 ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -44,20 +59,39 @@ class WordEncoder:
     def __init__(self, path: str, end_id: int):
         import re
 
+        import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.odd = re.compile(ODD_SPACE)
+        self.split = regex.compile(WORD_PATTERN).findall
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
+        self.parts: dict[str, list[int]] = {}
         self.ids, self.starts = array("I", [self.end_id]), array("Q", [0, 1])
+        self.used = np.zeros(1, np.int64)
+
+    def _keep_frequent(self) -> None:
+        """Keep the more used half of the known words; their numbers follow the order of the dictionary."""
+        words, starts, ids = list(self.known), np.array(self.starts, np.int64), np.array(self.ids, np.uint32)
+        keep = np.sort(np.argsort(-self.used[1:], kind="stable")[:KNOWN_WORDS // 2] + 1)
+        keep = np.concatenate(([0], keep))
+        used = self.used[keep] // 2
+        self.forget()
+        self.known = {words[i]: k for k, i in enumerate(keep.tolist())}
+        size = starts[keep + 1] - starts[keep]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(starts[keep] - (ends - size), size)
+        self.ids, self.starts = array("I", ids[at].tobytes()), array("Q", np.concatenate(([0], ends)).astype(np.uint64).tobytes())
+        self.used = used
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text closed by the end id, and n + 1 offsets."""
         if len(self.known) > KNOWN_WORDS:
-            self.forget()
+            self._keep_frequent()
         words: list[str] = []
         counts = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
@@ -68,25 +102,39 @@ class WordEncoder:
             words.append("")
             counts[i + 1] = len(words)
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for at in range(0, len(new), 20_000):
-            for w, e in zip(new[at:at + 20_000], self.tokenizer.encode_batch_fast(new[at:at + 20_000], add_special_tokens=False)):
-                known[w] = len(self.starts) - 1
-                self.ids.extend(e.ids)
-                self.starts.append(len(self.ids))
+        self._learn([w for w in dict.fromkeys(words) if w not in known])
         index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        seen = np.bincount(index, minlength=len(known))
+        seen[:len(self.used)] += self.used
+        self.used = seen
         starts, ids = np.array(self.starts, np.int64), np.array(self.ids, np.uint32)
         size = starts[index + 1] - starts[index]
         ends = np.concatenate(([0], np.cumsum(size)))
         at = np.arange(ends[-1]) + np.repeat(starts[index] - ends[:-1], size)
         return ids[at], ends[counts]
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. A word in Latin letters is split as the vocabulary's pattern splits it, and each part goes
+        through the merges once; other words, and those that may spell a special token, go through the whole tokenizer."""
+        parts, merge = self.parts, self.tokenizer.model.tokenize
+        for word in words:
+            if (word.isascii() or max(word) < LATIN_END) and "<|" not in word:
+                for part in self.split(word.lower()):
+                    found = parts.get(part)
+                    if found is None:
+                        found = parts[part] = [t.id for t in merge(part.translate(BYTE_LETTERS) if part.isascii() else "".join(BYTE_LETTERS[x] for x in part.encode()))]
+                    self.ids.extend(found)
+            else:
+                self.ids.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            self.known[word] = len(self.starts) - 1
+            self.starts.append(len(self.ids))
+
 
 def piece_maker(path: str, capacity: int, end_id: int, with_ids: bool) -> Callable:
     """Task function: (doc_id, text) to pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, end_id)
+        encoder = kept(("words", path, end_id), lambda: WordEncoder(path, end_id))
         for batch in batches:
             for rows, _, _ in K.text_slices(batch, "text", 2 << 20):
                 texts = rows.column(1).fill_null("").to_pylist()
