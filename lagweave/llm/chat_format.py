@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from lagweave.llm.worker import kept, load_tokenizer
+
 # The template's control strings; their ids follow the vocabulary in this order.
 START, BODY, END = "### ", ":\n", " </turn>\n"
 CONTROL = ("###", "</turn>", "<|endoftext|>")
@@ -41,11 +43,7 @@ def unescape(text: str) -> str:
 
 
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return kept(("tokenizer", path), lambda: load_tokenizer(path))
 
 
 TURN = "conv_id long, turn long, role string, text string, ids array<int>, loss array<boolean>, n_chars long"
@@ -63,8 +61,8 @@ def turn_encoder(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
                 b = whole.iloc[at:at + BATCH_TURNS].copy()
                 roles, texts = b["role"].fillna("").tolist(), b["text"].fillna("").tolist()
                 escaped = [escape(x) for x in texts]
-                a = t.encode_batch([escape(x) for x in roles], add_special_tokens=False)
-                c = t.encode_batch(escaped, add_special_tokens=False)
+                a = [t.encode(escape(x), add_special_tokens=False) for x in roles]
+                c = [t.encode(x, add_special_tokens=False) for x in escaped]
                 ids, loss = [], []
                 for role, x, y in zip(roles, a, c):
                     row = np.array([start, *x.ids, body, *y.ids, end], np.int32)
@@ -96,8 +94,7 @@ def format_turns(conversations: DataFrame, path: str) -> DataFrame:
 def read_turn(t, size: int, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, str]:
     """Role, text and text under the mask of a formatted turn."""
     body = int(np.flatnonzero(ids == size + 1)[0])
-    role, text, trained = (unescape(x) for x in t.decode_batch(
-        [ids[1:body].tolist(), ids[body + 1:-1].tolist(), ids[loss].tolist()], skip_special_tokens=False))
+    role, text, trained = (unescape(t.decode(x.tolist(), skip_special_tokens=False)) for x in (ids[1:body], ids[body + 1:-1], ids[loss]))
     return role, text, trained
 
 
