@@ -160,7 +160,22 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents")).withColumn("containment", F.round("containment", 6))
 
 
-@query("op4_suffix_dedup")
+REPEAT_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS s FROM d, unnest(range(1, octet_length(b) - 48)) AS u(i)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+c AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > m),
+n AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true)::INT AS opens FROM c),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n) GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 1) AS x, a - 1 AS y FROM r
+  UNION ALL SELECT d.doc_id, coalesce(max(e), 1), any_value(octet_length(b)) FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT g.doc_id, string_agg(CASE WHEN y >= x THEN hex(array_slice(b, x, y)) ELSE '' END, '' ORDER BY x) AS h FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id),
+sums AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)"""
+
+
+@query("op4_suffix_dedup", REPEAT_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of every document that repeat 50 bytes of an earlier one."""
     return suffix_dedup.repeat_report(table(spark, folder, "documents"))
