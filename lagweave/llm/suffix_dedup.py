@@ -27,6 +27,7 @@ all input columns; its helper columns are renamed where they would clash.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from lagweave.llm import kernels as K
 from lagweave.llm.common import scratch
 
 SIZE, GRAM = 50, 20
-BLOCK_BYTES, BUCKET_BYTES, HEAVY_BLOCKS = 8 << 20, 24 << 20, 4096
+BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES, HEAVY_BLOCKS = 4 << 20, 2 << 20, 1 << 20, 4096
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -69,7 +70,8 @@ def _runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     many = np.diff(np.append(first, len(doc)))
-    return doc[first], start[first], many, anchor[first], h[anchor[first]]
+    # Least hashes crowd at the low end; mixed anew they spread over all buckets.
+    return doc[first], start[first], many, anchor[first], K.mixed(h[anchor[first]] + np.uint64(K.STEPS[4]))
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -90,7 +92,7 @@ def anchor_sender(block_column: str, text: str, size: int, gram: int, buckets: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for rows, data, offsets in K.text_slices(batch, text, 2 << 20):
+            for rows, data, offsets in K.text_slices(batch, text, SLICE_BYTES):
                 doc, _, _, _, h = _runs(data, offsets, size, gram)
                 block = rows.column(rows.schema.get_field_index(block_column)).to_numpy()[doc]
                 for b in np.unique(block).tolist():
@@ -156,6 +158,21 @@ def _message(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "block", "kind", "body"), cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))})
 
 
+def _pack(made: np.ndarray, text: bytes = b"") -> bytes:
+    """Rows of CONTEXT (column by column) and the bytes of their contexts, compressed."""
+    body = b"".join(np.ascontiguousarray(made[n]).tobytes() for n in CONTEXT.names)
+    return np.uint32(len(made)).tobytes() + zlib.compress(body + text, 1)
+
+
+def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    made = np.zeros(int(np.frombuffer(body, "<u4", 1)[0]), CONTEXT)
+    raw, at = zlib.decompress(body[4:]), 0
+    for n in CONTEXT.names:
+        made[n] = np.frombuffer(raw, CONTEXT[n], len(made), at)
+        at += len(made) * CONTEXT[n].itemsize
+    return made, np.frombuffer(raw, np.uint8, offset=at)
+
+
 def context_sender(ids: str, text: str, size: int, gram: int, buckets: int) -> Callable:
     """Group function over a block and the answers to it: contexts of repeated anchors by bucket (kind 0), and what is
     settled inside the block (kind 1)."""
@@ -166,11 +183,13 @@ def context_sender(ids: str, text: str, size: int, gram: int, buckets: int) -> C
             return _message([])
         table, doc_ids = _ordered(block, ids, text)
         data, offsets = K.text_bytes(table.column(text))
-        parts = []
-        for a, b in K.row_slices(np.diff(offsets), 2 << 20):
-            doc, start, many, place, h = _runs(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size, gram)
-            parts.append((doc + a, start + offsets[a], many, place + offsets[a], h))
-        doc, start, many, place, h = (np.concatenate(x) for x in zip(*parts))
+        slices, parts = list(K.row_slices(np.diff(offsets), SLICE_BYTES)), []
+        for a, b in slices:
+            part = data[offsets[a]:offsets[b]]
+            doc, start, many, place, h = _runs(part, offsets[a:b + 1] - offsets[a], size, gram)
+            content = K.mixed(K.span_hashes(K.prefix_hashes(part), start, start + many + size - 1) + many.astype(np.uint64))
+            parts.append((doc + a, start + offsets[a], many, place + offsets[a], h, content))
+        doc, start, many, place, h, content = (np.concatenate(x) for x in zip(*parts))
         seen = np.unique(h)
         flags = {b: (r, v) for b, r, v in zip(*(answers.column(c).to_pylist() for c in ("bucket", "repeated", "heavy")))}
         repeated, heavy = np.zeros(len(seen), bool), np.zeros(len(seen), bool)
@@ -183,17 +202,13 @@ def context_sender(ids: str, text: str, size: int, gram: int, buckets: int) -> C
         np.maximum.at(high, index, doc_ids[doc])
         repeated |= low < high
         keep = repeated[index]
-        doc, start, many, place, h, heavy = doc[keep], start[keep], many[keep], place[keep], h[keep], heavy[index[keep]]
-        if heavy.any():
-            many_heavy = many[heavy]
-            at = np.repeat(start[heavy], many_heavy) + np.arange(many_heavy.sum()) - np.repeat(np.cumsum(many_heavy) - many_heavy, many_heavy)
-            sums = K.prefix_hashes(data)
-            single = K.mixed(K.span_hashes(sums, at, at + size) + np.uint64(1))
-            doc, start, place, h = (np.concatenate((x[~heavy], y)) for x, y in ((doc, np.repeat(doc[heavy], many_heavy)), (start, at), (place, at), (h, single)))
-            many = np.concatenate((many[~heavy], np.ones(len(at), np.int64)))
+        heavy = heavy[index]
+        singles = [x for a, b in slices for x in _single_windows(data[offsets[a]:offsets[b]], offsets[a], keep & heavy & (doc >= a) & (doc < b), doc, start, many, size)]
+        keep &= ~heavy
+        parts = [(doc[keep], start[keep], many[keep], place[keep], h[keep], content[keep]), *singles]
+        doc, start, many, place, h, content = (np.concatenate(x) for x in zip(*parts))
         if not len(doc):
             return _message([])
-        content = K.mixed(K.span_hashes(K.prefix_hashes(data), start, start + many + size - 1) + many.astype(np.uint64))
         made = np.zeros(len(doc), CONTEXT)
         made["h"], made["c"], made["id"], made["row"] = h, content, doc_ids[doc], doc
         made["start"], made["windows"], made["place"] = start - offsets[doc], many, place - start
@@ -209,18 +224,28 @@ def context_sender(ids: str, text: str, size: int, gram: int, buckets: int) -> C
         same[1:] = (made["h"][1:] == made["h"][:-1]) & (made["c"][1:] == made["c"][:-1])
         extra = made[same]
         if len(extra):
-            rows += [(b, number, 2, extra[x:y].tobytes()) for b, x, y in _split(extra["h"], buckets)]
+            rows += [(b, number, 2, _pack(extra[x:y])) for b, x, y in _split(extra["h"], buckets)]
         made, start = made[~same], start[~same]
         width = made["windows"].astype(np.int64) + size - 1
         for b, x, y in _split(made["h"], buckets):
             w = width[x:y]
             at = np.repeat(start[x:y], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            rows.append((b, number, 0, np.uint32(y - x).tobytes() + made[x:y].tobytes() + data[at].tobytes()))
+            rows.append((b, number, 0, _pack(made[x:y], data[at].tobytes())))
         return _message(rows)
 
     return run
 
 
+def _single_windows(data: np.ndarray, shift: int, chosen: np.ndarray, doc: np.ndarray, start: np.ndarray, many: np.ndarray, size: int) -> list[tuple]:
+    """The windows of the chosen runs, each as a run of its own whose anchor is the window itself."""
+    if not chosen.any():
+        return []
+    n = many[chosen]
+    at = np.repeat(start[chosen] - shift, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    h = K.mixed(K.span_hashes(K.prefix_hashes(data), at, at + size) + np.uint64(1))
+    return [(np.repeat(doc[chosen], n), at + shift, np.ones(len(at), np.int64), at + shift, h, h)]
+
+
 def _covers(made: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(len(made), COVER)
     out["row"], out["start"], out["length"] = made["row"], made["start"], made["windows"].astype(np.int32) + size - 1
@@ -330,15 +355,14 @@ def _cover_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 def _sort_bucket(messages: list[tuple[int, int, bytes]], size: int) -> list[tuple[int, bytes]]:
     made, texts, blocks, extra, extra_blocks = [], [], [], [], []
     for block, kind, body in messages:
+        x, text = _unpack(body)
         if kind == 2:
-            x = np.frombuffer(body, CONTEXT)
             extra.append(x)
             extra_blocks.append(np.full(len(x), block))
             continue
-        n = int(np.frombuffer(body, "<u4", 1)[0])
-        made.append(np.frombuffer(body, CONTEXT, n, 4))
-        texts.append(np.frombuffer(body, np.uint8, offset=4 + n * CONTEXT.itemsize))
-        blocks.append(np.full(n, block))
+        made.append(x)
+        texts.append(text)
+        blocks.append(np.full(len(x), block))
     data = np.concatenate(texts)
     made, block = np.concatenate([*made, *extra]), np.concatenate([*blocks, *extra_blocks])
     width = made["windows"].astype(np.int64) + size - 1
