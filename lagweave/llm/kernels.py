@@ -15,7 +15,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C55
 INVERSE = pow(BASE, -1, 1 << 64)
 STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 SPACE_SEPARATED = np.ones(256, bool)
 SPACE_SEPARATED[[0x20, *range(0x09, 0x0E)]] = False
