@@ -13,28 +13,29 @@ from lagweave.operators import retrieval as X
 from lagweave.operators import selection as Z
 from lagweave.operators.hierarchy import parse_tree_lines
 
-LEAVES = ["BIO / Sleep / Sleep_Routines / Consistent_Bedtime", "BIO / Sleep / Sleep_Routines / Sleep_Window",
-          "PSYCHO / Activation / Behavioral_Activation / Values_Action", "PSYCHO / Activation / Behavioral_Activation / Activity_Scheduling", "SOCIAL / Support / Family / Checkins"]
+LEAVES = ["FIELD / Water / Canals / Gate_Height", "FIELD / Water / Canals / Night_Flow", "FIELD / Water / Wells / Pump_Hours",
+          "STABLE / Feed / Hay / Cut_Length", "STABLE / Feed / Hay / Dry_Weight", "MARKET / Price / Grain / Weekly_Quote"]
 
 
 def test_breadth_first_covers_domains_first(spark):
     leaves = spark.createDataFrame([(x,) for x in LEAVES], "leaf string")
-    mapping = spark.createDataFrame([("p", "BIO / Sleep / Sleep_Routines", 0.90), ("p", "PSYCHO / Activation / Behavioral_Activation", 0.85)], "profile_id string, path string, score double")
+    mapping = spark.createDataFrame([("q", "FIELD / Water / Canals", 0.71), ("q", "STABLE / Feed / Hay", 0.64), ("q", "MARKET / Price", 0.12)], "profile_id string, path string, score double")
     empty = spark.createDataFrame([], "profile_id string, path string, score double")
-    anchors = spark.createDataFrame([("p", LEAVES[0], 0.5)], "profile_id string, anchor string, impact double")
+    anchors = spark.createDataFrame([("q", LEAVES[3], 0.37)], "profile_id string, anchor string, impact double")
     scored = Z.bfs_scores(leaves, mapping, empty, anchors).withColumnRenamed("leaf", "path")
-    got = Z.breadth_first_select(scored.select("profile_id", "path", "domain", "score"), 5).orderBy("rank").collect()
-    assert [r["stage"] for r in got[:2]] == ["breadth_domain_coverage"] * 2 and got[0]["domain"] != got[1]["domain"]
-    assert all(0 <= r["score"] <= 1 for r in got)
+    got = Z.breadth_first_select(scored.select("profile_id", "path", "domain", "score"), 6).orderBy("rank").collect()
+    assert [r["stage"] for r in got[:3]] == ["breadth_domain_coverage"] * 3 and len({r["domain"] for r in got[:3]}) == 3
+    assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
 
 
 def test_target_selection(spark):
-    imp = spark.createDataFrame([("p", c, v) for c, v in (("P01", .82), ("P02", .65), ("P03", .31), ("P04", .05))], "profile_id string, predictor string, predictor_impact double")
-    got = Z.select_targets(imp, 10, 0.10).orderBy("rank").collect()
-    assert len(got) == 4 and [r["is_target"] for r in got] == [True, True, True, False]
-    assert [r["priority"] for r in got] == ["very_high", "high", "medium", "very_low"]
-    lone = Z.select_targets(imp, 10, 0.90).where("is_target").collect()
-    assert [r["predictor"] for r in lone] == ["P01"]
+    rows = [("q", "P11", .77), ("q", "P07", .58), ("q", "P03", .44), ("q", "P09", .41), ("q", "P02", .16), ("q", "P05", .02)]
+    imp = spark.createDataFrame(rows, "profile_id string, predictor string, predictor_impact double")
+    got = Z.select_targets(imp, 5, 0.40).orderBy("rank").collect()
+    assert [r["predictor"] for r in got] == ["P11", "P07", "P03", "P09", "P02"] and [r["is_target"] for r in got] == [True, True, True, False, False]
+    assert [r["priority"] for r in got] == ["very_high", "high", "medium", "medium", "low"]
+    assert [r["predictor"] for r in Z.select_targets(imp, 5, 0.95).where("is_target").collect()] == ["P11"]
+    assert Z.select_targets(imp.where("predictor_impact < 0.2"), 5, 0.95).where("is_target").count() == 0
 
 
 def test_recency_weights(spark):
@@ -49,16 +50,17 @@ def test_all_null_component_is_neutral(spark):
 
 
 def test_tree_lines(spark):
-    text = ["[BIO]", "└─ Sleep", "  └─ Bedtime (ID:11)", "  └─ Window (ID:12)", "[PSYCHO]", "└─ Values (ID:201)"]
-    got = parse_tree_lines(spark.createDataFrame([("d", i, t) for i, t in enumerate(text)], "doc_id string, line_no int, text string")).orderBy("leaf_id").collect()
-    assert [(r["leaf_id"], r["leaf"], r["primary"], r["secondary"]) for r in got] == [(11, "Bedtime", "BIO", "Sleep"), (12, "Window", "BIO", "Sleep"), (201, "Values", "PSYCHO", "UNKNOWN_SECONDARY")]
+    text = ["[FIELD]", "└─ Water", "  └─ Gate (ID:5)", "└─ Soil", "  └─ Salt (ID:41)", "  └─ Humus (ID:6)", "[MARKET]", "└─ Quote (ID:90)"]
+    got = parse_tree_lines(spark.createDataFrame([("t", i, x) for i, x in enumerate(text)], "doc_id string, line_no int, text string")).orderBy("leaf_id").collect()
+    assert [(r["leaf_id"], r["leaf"], r["primary"], r["secondary"]) for r in got] == [
+        (5, "Gate", "FIELD", "Water"), (6, "Humus", "FIELD", "Soil"), (41, "Salt", "FIELD", "Soil"), (90, "Quote", "MARKET", "UNKNOWN_SECONDARY")]
 
 
 def test_path_join_is_complete(spark):
     """The blocked join finds exactly the pairs of the full comparison, at several thresholds."""
     from lagweave.functions.paths import path_similarity
 
-    names = ["BIO", "Sleep", "Late_Nap", "Sleep_Late", "Nap", "Group"]
+    names = ["FIELD", "Water", "Low_Gate", "Water_Low", "Gate", "Yard"]
     paths = sorted({" / ".join((names[i % 6], names[(i * 5 + 1) % 6], names[(i * i) % 6])[: 1 + i % 3]) for i in range(60)})
     a = spark.createDataFrame([(p,) for p in paths], "pa string")
     b = a.withColumnRenamed("pa", "pb")
