@@ -8,13 +8,14 @@ from lagweave.catalog import fragments as S
 from lagweave.catalog.mapping import LISTS, SCORES_SQL, likert, rank_lists
 from lagweave.catalog.registry import joined, query, rounded
 from lagweave.catalog.retrieval import PRIM
-from lagweave.catalog.selection import CAND, candidates, paths_of
+from lagweave.catalog.selection import CAND, UHASH, candidates, paths_of
 from lagweave.core.ranking import top_n
 from lagweave.core.session import cut_lineage
 from lagweave.functions import paths as P
 from lagweave.functions import scores as C
 from lagweave.functions import text as X
 from lagweave.operators import hierarchy as O
+from lagweave.operators import selection as Z
 from lagweave.sources import contracts as Q
 from lagweave.sources import scans as I
 from lagweave.sources import tables as M
@@ -59,6 +60,12 @@ def o02(spark, d):
     return O.parse_tree_lines(tree_lines(spark, d))
 
 
+@query("K08_depth_aware_sample", f"""WITH {NODES}, w AS (SELECT node, depth, ln({UHASH.format("node || '|7'")}) / CASE WHEN depth <= 1 THEN 1e6 WHEN is_leaf THEN 2 ELSE 1 END s FROM no) SELECT node, depth, row_number() OVER (ORDER BY s DESC, node) AS rank FROM w QUALIFY rank <= 40""")
+def k08d(spark, d):
+    nodes = nodes_of(spark, d).select("node", "depth", "is_leaf")
+    return Z.weighted_sample(nodes, "node", Z.depth_aware_weights(F.col("depth"), F.col("is_leaf")), 40, 7).drop("is_leaf")
+
+
 @query("O03_nodes_at_level", f"""WITH {NODES} SELECT parent, node, row_number() OVER (ORDER BY parent, node) - 1 id FROM no WHERE depth = 3""")
 def o03(spark, d):
     return O.nodes_at_level(leaf_arrays(spark, d), 3)

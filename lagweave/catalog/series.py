@@ -185,6 +185,16 @@ def j04(spark, d):
     return T.assign_nearest_point(rows, F.col("t_norm"), 20).drop("t_norm")
 
 
+@query("J04_nearest_listed_point", f"""WITH {S.COHORT}, n AS (SELECT DISTINCT profile_id, t_index, (t_index - min(t_index) OVER w) / (max(t_index) OVER w - min(t_index) OVER w + 1e-12) t FROM obs WINDOW w AS (PARTITION BY profile_id)),
+g AS (SELECT i, i * i / 400.0 p FROM range(21) r(i))
+SELECT profile_id, t_index, CAST((SELECT arg_min(i, (round(abs(p - t), 9), i)) FROM g) AS INT) time_index FROM n""")
+def j04n(spark, d):
+    rows = T.t_norm(M.cohort_obs(spark, d)).select("profile_id", "t_index", "t_norm").distinct()
+    uneven = F.explode(F.array(*[F.struct(F.lit(i * i / 400).alias("at"), F.lit(i).alias("time_index")) for i in range(21)]))
+    points = rows.select("profile_id").distinct().withColumn("p", uneven).select("profile_id", "p.*")
+    return T.nearest_of(rows, points, ["profile_id"], "t_norm", "at").select("profile_id", "t_index", "time_index")
+
+
 @query("A02_series_summary", f"WITH {S.ALL_OBS} SELECT {COLS}, count(value) n, {S.SUMMARY_COLS} FROM obs WHERE value IS NOT NULL GROUP BY ALL")
 def a02(spark, d):
     return rounded(D.series_summary(M.all_obs(spark, d)))

@@ -282,9 +282,10 @@ def assign_nearest_point(rows: DataFrame, t: Column, m: int) -> DataFrame:
 
 
 def nearest_of(rows: DataFrame, points: DataFrame, keys: list[str], t: str, at: str) -> DataFrame:
-    """As-of by absolute distance against arbitrary points per key (a bounded list of estimation points)."""
+    """As-of by absolute distance (to nine digits; ties go to the lower index) against arbitrary points per key, a
+    bounded list of estimation points."""
     listed = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col("time_index")))).alias("_pts"))
-    best = F.array_min(F.transform("_pts", lambda p: F.struct(F.abs(p["at"] - F.col(t)).alias("d"), p["time_index"].alias("time_index"))))
+    best = F.array_min(F.transform("_pts", lambda p: F.struct(F.round(F.abs(p["at"] - F.col(t)), 9).alias("d"), p["time_index"].alias("time_index"))))
     return rows.join(listed, keys).withColumn("time_index", best["time_index"]).drop("_pts")
 
 
