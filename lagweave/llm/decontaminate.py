@@ -199,10 +199,15 @@ def finder(text: str, w: Windows, prefixes: list[Prefixes], names: tuple[str, st
     return run
 
 
+def added_names(docs: DataFrame) -> list[str]:
+    """Names of the three columns that `find_contamination` adds to these documents."""
+    return scratch(docs, "n_words", "spans", "items")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                        n: int = WINDOW, q: int = SHINGLE, part_bytes: int = PART_BYTES) -> DataFrame:
     """All rows and columns of `docs` with n_words, spans (hit words, end exclusive, merged) and items (sorted ids)."""
-    names = tuple(scratch(docs, "n_words", "spans", "items"))
+    names = tuple(added_names(docs))
     bench = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t")).where("t is not null")
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))

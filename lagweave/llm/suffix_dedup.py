@@ -482,13 +482,18 @@ def finisher(ids: str, text: str, block: str, names: tuple[str, ...], schema: pa
     return run
 
 
+def added_names(docs: DataFrame) -> list[str]:
+    """Names of the block column and of the four columns that `remove_repeats` adds to these documents."""
+    return scratch(docs, "block", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, cut: bool = True,
                    block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, heavy_blocks: int = HEAVY_BLOCKS) -> DataFrame:
     """All columns of `docs` with n_bytes, n_removed, n_spans, kept_sha256 (of the exact remaining bytes). With `cut` the
     text loses the removed spans, as far as whole characters lie in them."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    block, *names = scratch(docs, "block", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    block, *names = added_names(docs)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     buckets = max(1, -(-(total * 8 * 2 // (size - gram + 2)) // bucket_bytes))
