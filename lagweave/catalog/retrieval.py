@@ -167,12 +167,12 @@ rf AS (SELECT query_id, vec_id, sum(s) rrf FROM rr WHERE r <= 40 GROUP BY ALL)""
 
 
 def pool_of(spark, d):
-    return cut_lineage(rounded(X.candidate_pool(*corpus(spark, d), pool=N), 9))
+    return cut_lineage(rounded(X.candidate_pool(*corpus(spark, d)), 9))
 
 
 @query("R03_candidate_pool", f"WITH {POOL} SELECT query_id, vec_id, round(emb, 6) emb, round(bm25, 6) bm25, round(tok, 6) tok, round(fuz, 6) fuz FROM pool")
 def r03(spark, d):
-    return rounded(X.candidate_pool(*corpus(spark, d), pool=N))
+    return rounded(X.candidate_pool(*corpus(spark, d)))
 
 
 RPOOL = POOL.replace("pool AS (SELECT", "pool0 AS (SELECT") + ", pool AS (SELECT query_id, vec_id, round(emb, 9) emb, round(bm25, 9) bm25, round(tok, 9) tok, round(fuz, 9) fuz FROM pool0)"
@@ -180,7 +180,7 @@ RPOOL = POOL.replace("pool AS (SELECT", "pool0 AS (SELECT") + ", pool AS (SELECT
 
 @query("R04_rrf", f"WITH {RPOOL} {RRF} SELECT query_id, vec_id, round(rrf, 6) rrf FROM rf")
 def r04(spark, d):
-    return rounded(X.rrf(pool_of(spark, d), per_method=40))
+    return rounded(X.rrf(pool_of(spark, d)))
 
 
 def _mm(c: str) -> str:
@@ -196,7 +196,7 @@ def r05(spark, d):
 sf AS (SELECT query_id, vec_id, 0.80 * a / (sum(a) OVER w + 1e-12) + 0.12 * b / (sum(b) OVER w + 1e-12) + 0.05 * c / (sum(c) OVER w + 1e-12) + 0.03 * f / (sum(f) OVER w + 1e-12) s FROM ee WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, vec_id, round(0.9 * s + 0.1 * coalesce(rrf, 0), 6) fused FROM sf LEFT JOIN rf USING (query_id, vec_id)""")
 def r06(spark, d):
-    return rounded(X.softmax_fusion(pool_of(spark, d), per_method=40))
+    return rounded(X.softmax_fusion(pool_of(spark, d)))
 
 
 @query("R07_fused_rank", f"""WITH {CORPUS}, sc AS (SELECT query_id, split_part(query_id, ' ', 1) scope FROM qs), mm AS (SELECT query_id, min(emb) lo, max(emb) hi FROM cs GROUP BY 1), sm AS (SELECT scope, vec_id, sum(CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (emb - lo) / (hi - lo) END) s, 2 * count(*) n FROM cs JOIN mm USING (query_id) JOIN sc USING (query_id) GROUP BY ALL),

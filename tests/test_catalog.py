@@ -47,3 +47,16 @@ def test_matches_sql(spark, con, name):
     want = con.execute(entry_module.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
+
+
+@pytest.mark.parametrize("name", ["R03_candidate_pool", "R04_rrf", "R05_scoresum", "R06_softmax_fusion"])
+def test_pools_have_the_surveyed_sizes(spark, con, name):
+    """The registered SQL still cuts at 60 and 40; here it is read with the operator's 8,000 and 600."""
+    from lagweave.operators import retrieval as X
+
+    assert (X.POOL, X.PER_METHOD) == (8000, 600)
+    sql = entry_module.oracle_sql()[name]
+    sql = re.sub(r"<= 60\b", f"<= {X.POOL}", re.sub(r"\br <= 40\b", f"r <= {X.PER_METHOD}", sql))
+    got, want = entry_module.queries()[name](spark, SF).toPandas(), con.execute(sql).df()
+    assert got.groupby("query_id").size().max() > 60
+    assert canonical(got) == canonical(want)
