@@ -107,11 +107,13 @@ pol AS (SELECT p.profile_id, p.code, CASE WHEN n < 8 OR missing_pct <= 0.02 OR m
  WHEN n >= 20 AND missing_pct <= 0.60 AND coalesce(regularity, 'x') <> 'highly_irregular' THEN 'model' ELSE 'interpolate' END AS policy FROM prof p LEFT JOIN reg USING (profile_id))
 SELECT {COLS}, t_index, policy, round(CASE policy WHEN 'none' THEN value WHEN 'ffill_bfill' THEN carried ELSE filled END, 6) filled FROM filled JOIN pol USING (profile_id, code)""")
 def w10(spark, d):
-    """Without a fitted lag model the model branch falls back to time interpolation."""
+    """The model branch takes the lag-model fill of V03."""
+    from lagweave.operators.network import var_fill
+
     raw = M.all_obs(spark, d)
     obs = cut_lineage(raw.withColumn("value", F.when(F.col("code") == "P02", (F.col("value") > 30).cast("double")).otherwise(F.col("value"))))
     reg = T.sampling_regularity(T.filled_times(obs), ["profile_id"])
-    return rounded(T.impute(obs, R.profile_variables(obs), reg).select("profile_id", "code", "t_index", "policy", "filled"))
+    return rounded(T.impute(obs, R.profile_variables(obs), reg, var_fill(obs)).select("profile_id", "code", "t_index", "policy", "filled"))
 
 
 @query("W11_calendar_features", f"""WITH {S.COHORT}, c AS (SELECT *, CAST(isodow(ts) - 1 AS INT) weekday, CAST(hour(ts) AS INT) "hour" FROM obs),

@@ -60,3 +60,17 @@ def test_pools_have_the_surveyed_sizes(spark, con, name):
     got, want = entry_module.queries()[name](spark, SF).toPandas(), con.execute(sql).df()
     assert got.groupby("query_id").size().max() > 60
     assert canonical(got) == canonical(want)
+
+
+def test_model_policy_takes_the_lag_model_fill(spark):
+    from pyspark.sql import functions as F
+
+    from lagweave.operators import network as N
+    from lagweave.sources import tables as M
+
+    raw = M.all_obs(spark, SF)
+    obs = raw.withColumn("value", F.when(F.col("code") == "P02", (F.col("value") > 30).cast("double")).otherwise(F.col("value")))
+    fill = N.var_fill(obs).select("profile_id", "code", "t_index", F.col("filled").alias("modeled"))
+    gaps = entry_module.queries()["W10_impute"](spark, SF).where("policy = 'model'").join(
+        obs.where("value is null").select("profile_id", "code", "t_index"), ["profile_id", "code", "t_index"]).join(fill, ["profile_id", "code", "t_index"]).collect()
+    assert gaps and all(abs(r.filled - r.modeled) < 1e-5 for r in gaps)
