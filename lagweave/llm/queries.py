@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import chat_format, decontaminate, importance, license_scan, ngram_join, packing, quality_rules, resharding, suffix_dedup, url_filter
-from lagweave.llm.common import table
+from lagweave.llm import (chat_format, decontaminate, importance, license_scan, merkle, ngram_join, packing, quality_rules, ranked_search,
+                          resharding, suffix_dedup, token_files, url_filter)
+from lagweave.llm.common import ascii_lower, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +199,81 @@ FROM w LEFT JOIN n USING (doc_id)"""
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Shingle count and link component of every document."""
     return ngram_join.ngram_components(table(spark, folder, "documents"))
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids as read back from the files."""
+    place = shared_folder(spark, "token-files")
+    return token_files.file_digest_report(table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"), place)
+
+
+def _field_sql(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR))::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+# DuckDB has no CRC-32; the table gives the remainder of a byte after eight steps of the polynomial.
+MERKLE_SQL = rf"""
+WITH RECURSIVE steps(b, i, r) AS (SELECT b, 0, b::UBIGINT FROM range(256) AS x(b)
+  UNION ALL SELECT b, i + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END FROM steps WHERE i < 8),
+crc_table AS (SELECT b, r FROM steps WHERE i = 8),
+crc(doc_id, i, r) AS (SELECT doc_id, 0, 4294967295::UBIGINT FROM documents
+  UNION ALL SELECT c.doc_id, c.i + 1, xor(c.r >> 8, t.r) FROM crc c JOIN crc_table t
+    ON t.b = (xor(c.r, ascii(substr(c.doc_id::VARCHAR, c.i + 1, 1))::UBIGINT) & 255) WHERE c.i < length(c.doc_id::VARCHAR)),
+tampered AS (SELECT doc_id FROM crc WHERE i = length(doc_id::VARCHAR) AND xor(r, 4294967295::UBIGINT) % 3 = 0),
+head AS (SELECT doc_id, lang, text, {' || '.join(_field_sql(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} AS h FROM documents),
+leaves AS (SELECT doc_id, lang, sha256(h || {_field_sql('text')}) AS leaf,
+    sha256(h || {_field_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM head),
+lv(lang, level, idx, n, h) AS (SELECT lang, 0, idx, n, leaf FROM leaves
+  UNION ALL SELECT lang, level + 1, idx // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY idx)) FROM lv WHERE n > 1 GROUP BY lang, level, idx // 8),
+subroots AS (SELECT lang, level AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv(level, idx, n, h) AS (SELECT 0, idx, n, subroot FROM subroots
+  UNION ALL SELECT level + 1, idx // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY idx)) FROM tv WHERE n > 1 GROUP BY level, idx // 8),
+root AS (SELECT h AS root FROM tv WHERE n = 1),
+paths AS (
+  SELECT l.doc_id, v.level, v.idx, v.h, v.idx < l.idx // (8::BIGINT ** v.level)::BIGINT AS before
+  FROM leaves l JOIN lv v ON l.lang IS NOT DISTINCT FROM v.lang AND v.idx // 8 = l.idx // (8::BIGINT ** (v.level + 1))::BIGINT
+    AND v.idx <> l.idx // (8::BIGINT ** v.level)::BIGINT AND v.n > 1
+  UNION ALL SELECT l.doc_id, s.height + v.level, v.idx, v.h, v.idx < s.idx // (8::BIGINT ** v.level)::BIGINT
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN tv v ON v.idx // 8 = s.idx // (8::BIGINT ** (v.level + 1))::BIGINT
+    AND v.idx <> s.idx // (8::BIGINT ** v.level)::BIGINT AND v.n > 1),
+sides AS (SELECT doc_id, level, coalesce(string_agg(h, '' ORDER BY idx) FILTER (before), '') AS a, coalesce(string_agg(h, '' ORDER BY idx) FILTER (NOT before), '') AS b
+  FROM paths GROUP BY ALL),
+proofs AS (SELECT doc_id, string_agg(a || b, '' ORDER BY level) AS p FROM sides GROUP BY ALL),
+heights AS (SELECT l.doc_id, s.height + (SELECT max(level) FROM tv) AS height FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang),
+folds(doc_id, level, h) AS (SELECT doc_id, 0, CASE WHEN doc_id IN (SELECT doc_id FROM tampered) THEN changed ELSE leaf END FROM leaves
+  UNION ALL SELECT f.doc_id, f.level + 1, sha256(coalesce(a, '') || f.h || coalesce(b, '')) FROM folds f JOIN heights USING (doc_id)
+    LEFT JOIN sides s ON s.doc_id = f.doc_id AND s.level = f.level WHERE f.level < height)
+SELECT l.doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN root LEFT JOIN proofs p ON p.doc_id = l.doc_id
+  JOIN heights g ON g.doc_id = l.doc_id JOIN folds f ON f.doc_id = l.doc_id AND f.level = g.height"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Proof of every document, and what a changed text makes of the root."""
+    tamper = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.verification_report(table(spark, folder, "documents"), tamper, ascii_lower(F.col("text")))
+
+
+TERMS = rf"regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH_SQL = rf"""
+WITH t AS (SELECT doc_id, unnest({TERMS}) AS w FROM documents),
+q AS (SELECT item_id, w, count(*) AS r FROM (SELECT item_id, unnest({TERMS}) AS w FROM benchmark) GROUP BY ALL),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL),
+lens AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+total AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM lens),
+weight AS (SELECT w, floor(1000 * ln((2 * nd + 2) / (2 * df + 1)))::BIGINT AS wt FROM (SELECT w, count(*) AS df FROM tf GROUP BY w), total),
+m AS (SELECT doc_id, 75 + ((25 * n * nd) // l) AS m FROM lens, total),
+s AS (SELECT item_id, doc_id, sum(r * wt * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (w) JOIN weight USING (w) JOIN m USING (doc_id) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 20"""
+
+
+@query("op13_ranked_search", SEARCH_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
