@@ -22,12 +22,14 @@ import pyarrow as pa
 
 from lagweave.llm import kernels as K
 
-KNOWN, LONG_CHARS = 500_000, 64
+KNOWN, LONG_BYTES, LEARN, RECENT = 300_000, 64, 4096, 60_000
 
 # What the files of the two known kinds of pre-tokenizers say.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+# Text between stretches that are encoded in one call: a border on both sides, one id that no other character gives.
+BYTE_LEVEL_BREAK, WORD_BREAK = "\n", " \x01 "
 
 _SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
 _KIND = np.zeros(256, np.uint8)
@@ -84,6 +86,15 @@ def word_cuts(data: np.ndarray) -> np.ndarray:
     return cut
 
 
+def word_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that such a vocabulary sees, and which of them it drops: ASCII letters in lower case (where no other
+    character follows that could change them first), without ASCII white space."""
+    low = K.LOWER[data]
+    before_wide = np.flatnonzero(data[1:] >= 0x80)
+    low[before_wide] = data[before_wide]
+    return low, (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+
+
 def cuts_of(config: dict) -> Callable[[np.ndarray], np.ndarray] | None:
     """The safe cuts for a vocabulary file's normalizer and pre-tokenizer; None if they are of no known kind."""
     normalizer, split = config.get("normalizer"), config.get("pre_tokenizer") or {}
@@ -97,6 +108,72 @@ def cuts_of(config: dict) -> Callable[[np.ndarray], np.ndarray] | None:
     return None
 
 
+class Known:
+    """Stretches with their ids, numbered from 0, found by a hash of their bytes and confirmed by the bytes themselves. All
+    of it lies in flat arrays: the table is searched in two sorted parts, a large one and one of recent entries."""
+
+    def __init__(self) -> None:
+        self.text, self.ends = bytearray(), array("Q", [0])
+        self.ids, self.starts = array("I"), array("Q", [0])
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+        self.again = np.zeros(KNOWN, bool)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def find(self, data: np.ndarray, bounds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of stretches of `data` (-1: unknown), and which of them share their hash with another stretch."""
+        number = np.full(len(hashes), -1, np.int64)
+        for held, numbers in self.parts:
+            if len(held):
+                at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
+                same = held[at] == hashes
+                number[same] = numbers[at[same]]
+        hit = np.flatnonzero(number >= 0)
+        ends = np.frombuffer(self.ends, np.uint64).astype(np.int64)
+        size = np.diff(bounds)[hit]
+        wrong = np.diff(ends)[number[hit]] != size
+        right, size = hit[~wrong], size[~wrong]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        differs = np.frombuffer(self.text, np.uint8)[at + np.repeat(ends[number[right]], size)] != data[at + np.repeat(bounds[right], size)]
+        bad = np.concatenate((hit[wrong], right[np.unique(np.repeat(np.arange(len(right)), size)[differs])]))
+        number[bad] = -1
+        clash = np.zeros(len(hashes), bool)
+        clash[bad] = True
+        return number, clash
+
+    def add(self, texts: bytes, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        """Enters stretches that follow one another in `texts`; their ids are appended by the caller."""
+        first = len(self)
+        ends = len(self.text) + np.cumsum(sizes)
+        self.text += texts
+        self.ends.frombytes(ends.astype(np.uint64).tobytes())
+        large, recent = self.parts
+        hashes, numbers = np.concatenate((recent[0], hashes)), np.concatenate((recent[1], np.arange(first, first + len(sizes))))
+        if len(hashes) > RECENT:
+            hashes, numbers = np.concatenate((large[0], hashes)), np.concatenate((large[1], numbers))
+        order = np.argsort(hashes)
+        made = hashes[order], numbers[order]
+        self.parts = [large, made] if len(hashes) <= RECENT else [made, (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+    def fresh(self) -> Known:
+        """A table of what was met again since this one began, if that is less than half of what it may hold."""
+        out, keep = Known(), np.flatnonzero(self.again[:len(self)])
+        if len(keep) <= KNOWN // 2:
+            ends, starts = np.array(self.ends, np.int64), np.array(self.starts, np.int64)
+            at, _ = _spans(ends, keep)
+            texts = np.frombuffer(self.text, np.uint8)[at]
+            sizes = np.diff(ends)[keep]
+            out.add(texts.tobytes(), sizes, _hashes(texts, np.concatenate(([0], np.cumsum(sizes)))))
+            at, id_ends = _spans(starts, keep)
+            out.ids, out.starts = array("I", np.array(self.ids, np.uint32)[at].tobytes()), array("Q", id_ends.astype(np.uint64).tobytes())
+        return out
+
+
+def _hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return K.mixed(K.span_hashes(K.prefix_hashes(data), bounds[:-1], bounds[1:]))
+
+
 class ChunkEncoder:
     """Encodes slices of texts; `end_id` closes each text."""
 
@@ -110,45 +187,53 @@ class ChunkEncoder:
         self.added = [x["content"].encode() for x in config.get("added_tokens", [])]
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts = array("I"), array("Q", [0])
-        self.again = np.zeros(KNOWN, bool)
-
-    def _make_room(self) -> None:
-        """Keep what was met again since the last time, if that is less than half."""
-        again = np.flatnonzero(self.again[:len(self.known)])
-        words, starts, ids = list(self.known), np.array(self.starts, np.int64), np.array(self.ids, np.uint32)
-        self.forget()
-        if len(again) <= KNOWN // 2:
-            at, ends = _spans(starts, again)
-            self.known = {words[i]: k for k, i in enumerate(again.tolist())}
-            self.ids, self.starts = array("I", ids[at].tobytes()), array("Q", ends.astype(np.uint64).tobytes())
+        self.between = BYTE_LEVEL_BREAK if self.cuts is byte_level_cuts else WORD_BREAK
+        mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.mark = mark[0] if self.cuts is not None and len(mark) == 1 else None
+        self.known = Known()
 
     def _learn(self, parts: list[str]) -> None:
-        for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False):
-            self.ids.extend(x.ids)
-            self.starts.append(len(self.ids))
+        """Appends the ids of the parts, many encoded in a call with the text between them. It is a border on both sides
+        unless white space meets white space; such parts, and those that hold it, are encoded alone."""
+        sign, known = self.between.strip(" "), self.known
+        for a in range(0, len(parts), LEARN):
+            some = parts[a:a + LEARN]
+            joined = self.between.join(some)
+            if (self.mark is None or joined.count(sign) != len(some) - 1 or any(x.decode() in joined for x in self.added)
+                    or self.cuts is byte_level_cuts and any(map(_open_ended, some))):
+                for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                    known.ids.extend(x.ids)
+                    known.starts.append(len(known.ids))
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            ends = len(known.ids) + last - np.arange(len(last))
+            known.ids.frombytes(ids[ids != self.mark].tobytes())
+            known.starts.frombytes(ends.astype(np.uint64).tobytes())
 
-    def _numbers(self, parts: list[str]) -> np.ndarray:
+    def _numbers(self, parts: pa.LargeStringArray) -> np.ndarray:
         """The number of each stretch among the stored id lists. Those that are not remembered (long, or no room) are
         stored behind all others until the next call."""
         if len(self.known) > KNOWN // 2 and len(self.known) + len(parts) > KNOWN:
-            self._make_room()
-        known, before = self.known, len(self.known)
-        new = [p for p in parts if p not in known]
-        short = [p for p in new if len(p) <= LONG_CHARS][:KNOWN - before]
-        known.update(zip(short, range(before, before + len(short))))
-        self._learn(short)
-        here: dict[str, int] = {}
-        if len(short) < len(new):
-            rest = [p for p in new if p not in known]
-            here = dict(zip(rest, range(len(known), len(known) + len(rest))))
-            self._learn(rest)
-        numbers = np.fromiter((known[p] if p in known else here[p] for p in parts) if here else map(known.__getitem__, parts), np.int64, len(parts))
-        self.again[numbers[numbers < before]] = True
+            self.known = self.known.fresh()
+        data, bounds = K.text_bytes(parts)
+        hashes = _hashes(data, bounds)
+        numbers, clash = self.known.find(data, bounds, hashes)
+        self.known.again[numbers[numbers >= 0]] = True
+        new = np.flatnonzero(numbers < 0)
+        if not len(new):
+            return numbers
+        texts = parts.take(pa.array(new)).to_pylist()
+        size = np.diff(bounds)[new]
+        short = (size <= LONG_BYTES) & ~clash[new]
+        # Open-ended parts go last, so that they do not keep others from being encoded together.
+        turn = np.lexsort((np.fromiter(map(_open_ended, texts), bool, len(texts)), ~short))
+        n = min(int(short.sum()), KNOWN - len(self.known))
+        stay = new[turn[:n]]
+        at, _ = _spans(bounds, stay)
+        numbers[new[turn]] = len(self.known) + np.arange(len(new))
+        self.known.add(data[at].tobytes(), size[turn[:n]], hashes[stay])
+        self._learn([texts[i] for i in turn.tolist()])
         return numbers
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,28 +243,44 @@ class ChunkEncoder:
         cut = np.zeros(len(data) + 1, bool)
         if self.cuts is not None and len(data):
             cut[:-1] = self.cuts(data)
+            seen, dropped = word_bytes(data) if self.cuts is word_cuts else (data, np.zeros(len(data), bool))
             raw = data.tobytes()
             if any(x in raw for x in self.added):
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                     if any(x in raw[a:b] for x in self.added):
-                        cut[a:b] = False
+                        cut[a:b] = dropped[a:b] = False
+                        if seen is not data:
+                            seen[a:b] = data[a:b]
+            if dropped.any():
+                cut[edges] = True
+                before = np.concatenate(([0], np.cumsum(~dropped)))
+                seen, edges, marks = seen[~dropped], before[edges], before[np.flatnonzero(cut)]
+                cut = np.zeros(len(seen) + 1, bool)
+                cut[marks] = True
+            data = seen
         cut[edges] = True
         bounds = np.flatnonzero(cut)
         stretches = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
         coded = stretches.dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(bounds) > 1 else np.zeros(0, np.int64)
-        starts, ids = np.array(self.starts, np.int64), np.array(self.ids, np.uint32)
-        del self.starts[len(self.known) + 1:], self.ids[self.starts[-1]:]
+        numbers = self._numbers(coded.dictionary)[coded.indices.to_numpy()] if len(bounds) > 1 else np.zeros(0, np.int64)
+        known = self.known
+        starts, ids = np.array(known.starts, np.int64), np.array(known.ids, np.uint32)
+        del known.starts[len(known) + 1:], known.ids[known.starts[-1]:]
         at, ends = _spans(starts, numbers)
-        first = ends[np.searchsorted(bounds, edges)]
         out = np.full(len(at) + n, self.end_id, np.uint32)
+        per_text = ends[np.searchsorted(bounds, edges)] + np.arange(n + 1)
         inside = np.ones(len(out), bool)
-        per_text = first + np.arange(n + 1)
         inside[per_text[1:] - 1] = False
         out[inside] = ids[at]
         return out, per_text
 
 
+def _open_ended(part: str) -> bool:
+    """Whether white space at an end of the part could join with white space beside it. Texts rarely have such parts; they
+    are learnt after the others."""
+    return part[-1].isspace() or part[:2].isspace()
+
+
 def _spans(starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the elements of lists `numbers`, one list after another, and their n + 1 offsets."""
     size = starts[numbers + 1] - starts[numbers]

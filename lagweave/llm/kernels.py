@@ -156,3 +156,14 @@ def distinct_by_row(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
 
 def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system; a worker stays alive between tasks and shares its executor's memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it

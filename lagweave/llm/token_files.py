@@ -5,7 +5,7 @@ A file is, in this order:
     frames              each holds ids of one document (little-endian, 2 or 4 bytes an id) and the frame's content
                         checksum; a document has one frame for each `frame_ids` ids, so at least one
     skippable frame     document index: an Arrow stream (doc_id, n_tokens, n_frames), compressed; its schema says the
-                        bytes of an id and the first token's number in the file
+                        bytes of an id
     skippable frame     seek table of the public seekable format: for each frame its compressed size, its plain size and
                         a checksum (low 32 bits of XXH64 of the plain bytes), then the number of frames, a flag byte and
                         the magic number
@@ -68,7 +68,7 @@ def file_encoder(path: str, end_id: int, frame_ids: int, level: int) -> Callable
         compress = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True).compress
         step = frame_ids * width
         for batch in batches:
-            for rows, data, offsets in K.text_slices(batch, "text", 2 << 20):
+            for rows, data, offsets in K.text_slices(batch, "text"):
                 ids, bounds = encoder.encode(data, offsets)
                 raw, ends = memoryview(ids.astype(f"<u{width}").tobytes()), (bounds * width).tolist()
                 sizes, frames = [], []
@@ -81,6 +81,7 @@ def file_encoder(path: str, end_id: int, frame_ids: int, level: int) -> Callable
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(np.diff(bounds)), pa.array(sizes, size), pa.array(frames, pa.binary())],
                     names=["doc_id", "tie", "n_tokens", "sizes", "frames"])
+        K.release_memory()
 
     return run
 
@@ -143,6 +144,7 @@ def file_writer(folder: str, width: int) -> Callable:
             n_bytes = out.tell()
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens], "n_bytes": [n_bytes]})
+            K.release_memory()
 
     return run
 
