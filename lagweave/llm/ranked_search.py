@@ -20,7 +20,6 @@ an empty result. Only the named columns are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -161,8 +160,10 @@ def rank_batch(best: list[Best], block: Block, weights: np.ndarray, ids: pa.Arra
         group_bits = np.unpackbits(masks[order[at]], axis=1, bitorder="little")[:, :len(here)].astype(np.int64)
         bound = group_bits @ (gain * top[here])
         turn = np.argsort(-bound, kind="stable")
-        for a in range(0, len(turn), GROUPS_AT_ONCE):
-            now = turn[a:a + GROUPS_AT_ONCE]
+        a, step = 0, 1
+        while a < len(turn):
+            now = turn[a:a + step]
+            a, step = a + step, min(2 * step, GROUPS_AT_ONCE)
             now = now[bound[now] >= found.bar()]
             if not len(now):
                 break
