@@ -10,6 +10,7 @@ from lagweave.core.session import cut_lineage
 from lagweave.functions import paths as P
 from lagweave.functions.text import tokenize
 from lagweave.operators import joins as J
+from lagweave.operators import lexical as L
 from lagweave.operators import retrieval as X
 from lagweave.sources import tables as M
 from lagweave.sources.tables import table
@@ -132,53 +133,57 @@ def corpus(spark, d):
     return cut_lineage(queries), cut_lineage(docs)
 
 
-@query("R01_bm25", f"WITH {CORPUS} SELECT query_id, vec_id, round(bm25, 6) bm25 FROM lex")
+RESULTS = 200
+
+
+@query("R01_bm25", f"WITH {CORPUS} SELECT query_id, vec_id, round(round(bm25, 9), 6) bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, vec_id) AS rank FROM lex QUALIFY rank <= {RESULTS}")
 def r01(spark, d):
-    return rounded(X.bm25(*corpus(spark, d)))
+    return rounded(L.bm25(*corpus(spark, d), RESULTS))
 
 
 @query("R01_bm25_documents", f"""WITH dt AS (SELECT doc_id vec_id, {TOK.format('text')} toks FROM documents), qt AS (SELECT item_id query_id, {TOK.format('text')} toks FROM benchmark), st AS (SELECT count(*) n, avg(len(toks)) avgdl FROM dt),
 po AS (SELECT vec_id, dl, term, count(*) tf FROM (SELECT vec_id, len(toks) dl, unnest(toks) term FROM dt) GROUP BY ALL), dfr AS (SELECT term, count(*) df FROM po GROUP BY 1), qe AS (SELECT query_id, term, count(*) qtf FROM (SELECT query_id, unnest(toks) term FROM qt) GROUP BY ALL),
 lex AS (SELECT query_id, vec_id, sum(qtf * ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) s FROM po JOIN dfr USING (term) JOIN qe USING (term), st GROUP BY ALL)
-SELECT query_id, vec_id, round(s, 4) bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 4) DESC, vec_id) AS rank FROM lex QUALIFY rank <= 50""")
+SELECT query_id, vec_id, round(s, 4) bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM lex QUALIFY rank <= 50""")
 def r01d(spark, d):
-    from lagweave.core.ranking import top_n
-
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), tokenize(F.col("text")).alias("tokens"))
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tokenize(F.col("text")).alias("tokens"))
-    return top_n(rounded(X.bm25(queries, docs), 4), ["query_id"], [F.desc("bm25"), F.col("vec_id")], 50)
+    return rounded(L.bm25(queries, docs, 50), 4)
 
 
-@query("R02_overlap_cosine", f"WITH {CORPUS} SELECT query_id, vec_id, round(overlap, 6) overlap FROM lex")
+@query("R02_overlap_cosine", f"WITH {CORPUS} SELECT query_id, vec_id, round(overlap, 6) overlap, row_number() OVER (PARTITION BY query_id ORDER BY round(overlap, 9) DESC, vec_id) AS rank FROM lex QUALIFY rank <= {RESULTS}")
 def r02(spark, d):
-    return rounded(X.overlap_cosine(*corpus(spark, d)))
+    return rounded(L.overlap_cosine(*corpus(spark, d), RESULTS))
+
+
+def pool_sql(n: int) -> str:
+    """The pool with lists of n rows."""
+    return f"""{CORPUS}, ev AS (SELECT query_id, vec_id FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY emb DESC, vec_id) <= {n}), bl AS (SELECT query_id, vec_id, bm25 FROM lex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, vec_id) <= {n}),
+un AS (SELECT * FROM ev UNION SELECT query_id, vec_id FROM bl), kp AS (SELECT un.query_id, un.vec_id, emb FROM un JOIN cs USING (query_id, vec_id) QUALIFY row_number() OVER (PARTITION BY un.query_id ORDER BY emb DESC, un.vec_id) <= {n}),
+pool0 AS (SELECT query_id, vec_id, emb, coalesce(bm25, 0) bm25, len(list_intersect(qt.toks, dt.toks)) / (len(list_distinct(qt.toks)) + len(list_distinct(dt.toks)) - len(list_intersect(qt.toks, dt.toks))) tok,
+ 1 - levenshtein(lower(trim(qs.txt)), docs.txt) / greatest(length(qs.txt), length(docs.txt)) fuz FROM kp LEFT JOIN bl USING (query_id, vec_id) JOIN qs USING (query_id) JOIN docs USING (vec_id) JOIN qt USING (query_id) JOIN dt USING (vec_id)),
+pool AS (SELECT query_id, vec_id, round(emb, 9) emb, round(bm25, 9) bm25, round(tok, 9) tok, round(fuz, 9) fuz FROM pool0)"""
 
 
-N = 60
-POOL = f"""{CORPUS}, ev AS (SELECT query_id, vec_id FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY emb DESC, vec_id) <= {N}), bl AS (SELECT query_id, vec_id FROM lex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, vec_id) <= {N}),
-un AS (SELECT * FROM ev UNION SELECT * FROM bl), kp AS (SELECT un.query_id, un.vec_id, emb FROM un JOIN cs USING (query_id, vec_id) QUALIFY row_number() OVER (PARTITION BY un.query_id ORDER BY emb DESC, un.vec_id) <= {N}),
-pool AS (SELECT query_id, vec_id, emb, coalesce(bm25, 0) bm25, len(list_intersect(qt.toks, dt.toks)) / (len(list_distinct(qt.toks)) + len(list_distinct(dt.toks)) - len(list_intersect(qt.toks, dt.toks))) tok,
- 1 - levenshtein(lower(trim(qs.txt)), docs.txt) / greatest(length(qs.txt), length(docs.txt)) fuz FROM kp LEFT JOIN lex USING (query_id, vec_id) JOIN qs USING (query_id) JOIN docs USING (vec_id) JOIN qt USING (query_id) JOIN dt USING (vec_id))"""
-RRF = """, rr AS (SELECT query_id, vec_id, 0.80 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY emb DESC, vec_id)) s, row_number() OVER (PARTITION BY query_id ORDER BY emb DESC, vec_id) r FROM pool
-UNION ALL SELECT query_id, vec_id, 0.12 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, vec_id)), row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, vec_id) FROM pool WHERE bm25 > 0
-UNION ALL SELECT query_id, vec_id, 0.05 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY tok DESC, vec_id)), row_number() OVER (PARTITION BY query_id ORDER BY tok DESC, vec_id) FROM pool
-UNION ALL SELECT query_id, vec_id, 0.03 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY fuz DESC, vec_id)), row_number() OVER (PARTITION BY query_id ORDER BY fuz DESC, vec_id) FROM pool),
-rf AS (SELECT query_id, vec_id, sum(s) rrf FROM rr WHERE r <= 40 GROUP BY ALL)"""
+def rrf_sql(per_method: int) -> str:
+    ranks = " UNION ALL ".join(f"SELECT query_id, vec_id, {w} / (60 + row_number() OVER v) s, row_number() OVER v r FROM pool {cut} WINDOW v AS (PARTITION BY query_id ORDER BY {c} DESC, vec_id)"
+                               for c, w, cut in (("emb", 0.80, ""), ("bm25", 0.12, "WHERE bm25 > 0"), ("tok", 0.05, ""), ("fuz", 0.03, "")))
+    return f"rr AS ({ranks}), rf AS (SELECT query_id, vec_id, sum(s) rrf FROM rr WHERE r <= {per_method} GROUP BY ALL)"
+
+
+POOL, RRF = pool_sql(X.POOL), rrf_sql(X.PER_METHOD)
 
 
 def pool_of(spark, d):
     return cut_lineage(rounded(X.candidate_pool(*corpus(spark, d)), 9))
 
 
-@query("R03_candidate_pool", f"WITH {POOL} SELECT query_id, vec_id, round(emb, 6) emb, round(bm25, 6) bm25, round(tok, 6) tok, round(fuz, 6) fuz FROM pool")
+@query("R03_candidate_pool", f"WITH {POOL} SELECT query_id, vec_id, round(emb, 6) emb, round(round(bm25, 9), 6) bm25, round(tok, 6) tok, round(fuz, 6) fuz FROM pool0")
 def r03(spark, d):
     return rounded(X.candidate_pool(*corpus(spark, d)))
 
 
-RPOOL = POOL.replace("pool AS (SELECT", "pool0 AS (SELECT") + ", pool AS (SELECT query_id, vec_id, round(emb, 9) emb, round(bm25, 9) bm25, round(tok, 9) tok, round(fuz, 9) fuz FROM pool0)"
-
-
-@query("R04_rrf", f"WITH {RPOOL} {RRF} SELECT query_id, vec_id, round(rrf, 6) rrf FROM rf")
+@query("R04_rrf", f"WITH {POOL}, {RRF} SELECT query_id, vec_id, round(rrf, 6) rrf FROM rf")
 def r04(spark, d):
     return rounded(X.rrf(pool_of(spark, d)))
 
@@ -187,12 +192,12 @@ def _mm(c: str) -> str:
     return f"CASE WHEN max({c}) OVER w - min({c}) OVER w < 1e-12 THEN 0.0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END"
 
 
-@query("R05_scoresum", f"WITH {RPOOL} SELECT query_id, vec_id, round(0.80 * {_mm('emb')} + 0.12 * {_mm('bm25')} + 0.05 * {_mm('tok')} + 0.03 * {_mm('fuz')}, 6) scoresum FROM pool WINDOW w AS (PARTITION BY query_id)")
+@query("R05_scoresum", f"WITH {POOL} SELECT query_id, vec_id, round(0.80 * {_mm('emb')} + 0.12 * {_mm('bm25')} + 0.05 * {_mm('tok')} + 0.03 * {_mm('fuz')}, 6) scoresum FROM pool WINDOW w AS (PARTITION BY query_id)")
 def r05(spark, d):
     return rounded(X.scoresum(pool_of(spark, d)))
 
 
-@query("R06_softmax_fusion", f"""WITH {RPOOL} {RRF}, ee AS (SELECT query_id, vec_id, exp((emb - max(emb) OVER w) / 0.07) a, exp((ln(1 + bm25) - max(ln(1 + bm25)) OVER w) / 1.0) b, exp((tok - max(tok) OVER w) / 0.35) c, exp((fuz - max(fuz) OVER w) / 0.35) f FROM pool WINDOW w AS (PARTITION BY query_id)),
+@query("R06_softmax_fusion", f"""WITH {POOL}, {RRF}, ee AS (SELECT query_id, vec_id, exp((emb - max(emb) OVER w) / 0.07) a, exp((ln(1 + bm25) - max(ln(1 + bm25)) OVER w) / 1.0) b, exp((tok - max(tok) OVER w) / 0.35) c, exp((fuz - max(fuz) OVER w) / 0.35) f FROM pool WINDOW w AS (PARTITION BY query_id)),
 sf AS (SELECT query_id, vec_id, 0.80 * a / (sum(a) OVER w + 1e-12) + 0.12 * b / (sum(b) OVER w + 1e-12) + 0.05 * c / (sum(c) OVER w + 1e-12) + 0.03 * f / (sum(f) OVER w + 1e-12) s FROM ee WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, vec_id, round(0.9 * s + 0.1 * coalesce(rrf, 0), 6) fused FROM sf LEFT JOIN rf USING (query_id, vec_id)""")
 def r06(spark, d):

@@ -1,7 +1,9 @@
 """Vector and text retrieval with rank and score fusion.
 
-Vectors are compared in cells: vectors are hashed to even blocks, query blocks are copied to each, and a cell
-runs one NumPy product and keeps only its top k, so no (query, vector) pair table exists.
+Top lists compare vectors in cells: vectors are hashed to even blocks, query blocks are copied to each, and a cell
+runs one NumPy product and keeps only its top k, so no (query, vector) pair table exists. The threshold join deals
+vectors to the cells of pivots and copies them only where the angle still allows a partner. Lexical lists come from
+`lagweave.operators.lexical`.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from pyspark.sql import functions as F
 
 from lagweave.core.ranking import top_n
 from lagweave.core.session import cut_lineage
+from lagweave.operators import lexical as L
 
-# BM25 constants, fusion weights (vector, BM25, token, fuzzy), softmax temperatures, RRF constant.
-K1, B = 1.5, 0.75
+# Fusion weights (vector, BM25, token, fuzzy), softmax temperatures, RRF constant.
 WEIGHTS = {"emb": 0.80, "bm25": 0.12, "tok": 0.05, "fuz": 0.03}
 TEMPERATURES = {"emb": 0.07, "bm25": 1.0, "tok": 0.35, "fuz": 0.35}
 RRF_K, PER_METHOD, ALPHA, POOL = 60, 600, 0.90, 8000
 QUERY_ROWS, VECTOR_ROWS, JOIN_ROWS = 4096, 50_000, 2000
+PIVOTS, PIVOT_SAMPLE = 512, 4096
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -48,12 +51,7 @@ def _cells(queries: DataFrame, vecs: DataFrame):
 
 
 def topk_cosine(queries: DataFrame, vecs: DataFrame, k: int, unit_queries: bool = True) -> DataFrame:
-    """Exact top k per query. queries(query_id, embedding[, slack]), vecs(vec_id, embedding).
-
-    A `slack` column keeps everything within that distance of the k-th best of a cell; the caller re-ranks.
-    """
-    has_slack = "slack" in queries.columns
-
+    """Exact top k per query, with its rank. queries(query_id, embedding), vecs(vec_id, embedding)."""
     def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -61,17 +59,13 @@ def topk_cosine(queries: DataFrame, vecs: DataFrame, k: int, unit_queries: bool
         scores = (_unit(qm) if unit_queries else qm) @ _unit(_matrix(v["embedding"])).T
         ids, parts = v["vec_id"].to_numpy(), []
         for i, qid in enumerate(q["query_id"]):
-            order = np.lexsort((ids, -scores[i]))
-            keep = order[:k]
-            if has_slack and len(order) > k:
-                keep = order[scores[i][order] >= scores[i][order[k - 1]] - float(q["slack"].iloc[i]) - 1e-12]
+            keep = np.lexsort((ids, -scores[i]))[:k]
             parts.append(pd.DataFrame({"query_id": qid, "vec_id": ids[keep], "score": scores[i][keep]}))
         return pd.concat(parts)
 
-    cols = ["query_id", "embedding"] + (["slack"] if has_slack else [])
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vecs.schema['vec_id'].dataType.simpleString()}, score double"
-    local = _cells(queries.select(*cols), vecs.select("vec_id", "embedding")).applyInPandas(cell, schema)
-    return local if has_slack else top_n(local, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
+    local = _cells(queries.select("query_id", "embedding"), vecs.select("vec_id", "embedding")).applyInPandas(cell, schema)
+    return top_n(local, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
 
 
 def cosine_extremes(queries: DataFrame, vecs: DataFrame) -> DataFrame:
@@ -87,79 +81,118 @@ def cosine_extremes(queries: DataFrame, vecs: DataFrame) -> DataFrame:
     return cells.groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def cosine_threshold_join(vecs: DataFrame, threshold: float) -> DataFrame:
-    """All pairs a < b with cosine >= threshold, exactly: vectors are hashed to even blocks and every pair of blocks is one cell."""
-    n = max(1, math.ceil(vecs.count() / JOIN_ROWS))
-    cores = vecs.sparkSession.sparkContext.defaultParallelism
-    n = max(n, math.ceil(math.sqrt(cores)))
-    tagged = vecs.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"))
-    spread = tagged.withColumn("other", F.explode(_upto(n))).select(
-        "vec_id", "embedding", "block", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"))
-
-    def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows if key[0] == key[1] else rows[rows["block"] == key[0]]
-        right = rows if key[0] == key[1] else rows[rows["block"] == key[1]]
-        if left.empty or right.empty:
+def _pivots(vecs: DataFrame, n: int) -> np.ndarray:
+    """Unit vectors far from each other: of a hash sample of at most PIVOT_SAMPLE, each next one is that farthest from
+    those taken."""
+    rows = vecs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("embedding").collect()
+    sample = _unit(np.array([r["embedding"] for r in rows], float))
+    near, taken = sample @ sample[0], [0]
+    while len(taken) < min(n, len(sample)):
+        far = int(np.argmin(near))
+        if near[far] > 1 - 1e-9:
+            break
+        taken.append(far)
+        near = np.maximum(near, sample @ sample[far])
+    return sample[taken]
+
+
+def pivot_cells(vecs: DataFrame, threshold: float, pivots: int = PIVOTS) -> DataFrame:
+    """vec_id, embedding, cell, at_home: each vector in the cell of its nearest pivot, and copied to those earlier cells
+    that can hold a partner with a cosine of `threshold` or more. With angles as distances, a partner in a cell of
+    radius r is at most the threshold's angle away, so the cell's pivot is at most that angle plus r away; and half of
+    what its pivot is farther off than the own one is never more than the distance to the partner."""
+    n = vecs.count()
+    schema = f"vec_id {vecs.schema['vec_id'].dataType.simpleString()}, embedding array<double>, cell int, at_home boolean"
+    if not n:
+        return vecs.sparkSession.createDataFrame([], schema)
+    base, reach = _pivots(vecs, max(1, min(pivots, math.ceil(n / 200)))), math.acos(max(-1.0, min(1.0, threshold)))
+
+    def angles(embedding: pd.Series) -> np.ndarray:
+        return np.arccos(np.clip(_unit(_matrix(embedding)) @ base.T, -1.0, 1.0))
+
+    def radius(batches):
+        for b in batches:
+            if len(b):
+                a = angles(b["embedding"])
+                home = a.argmin(axis=1)
+                yield pd.DataFrame({"cell": home, "r": a[np.arange(len(a)), home]}).groupby("cell", as_index=False).max()
+
+    radii = np.full(len(base), -np.inf)
+    for r in vecs.select("embedding").mapInPandas(radius, "cell int, r double").groupBy("cell").agg(F.max("r").alias("r")).collect():
+        radii[r["cell"]] = r["r"]
+
+    def deal(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            a = angles(b["embedding"])
+            home = a.argmin(axis=1)
+            own = a[np.arange(len(a)), home][:, None]
+            goes = (a <= reach + radii + 1e-7) & (a - own <= 2 * reach + 1e-7) & (np.arange(len(base)) < home[:, None])
+            i, c = np.nonzero(goes)
+            at = np.concatenate((np.arange(len(a)), i))
+            yield pd.DataFrame({"vec_id": b["vec_id"].to_numpy()[at], "embedding": b["embedding"].to_numpy()[at],
+                                "cell": np.concatenate((home, c)), "at_home": np.arange(len(at)) < len(a)})
+
+    return vecs.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(deal, schema)
+
+
+def cosine_threshold_join(vecs: DataFrame, threshold: float, pivots: int = PIVOTS) -> DataFrame:
+    """All pairs a < b with cosine >= threshold, exactly. A pair meets in the earlier of its two home cells; large cells are
+    tiled, so that a task holds JOIN_ROWS rows of each side."""
+    dealt = cut_lineage(pivot_cells(vecs, threshold, pivots))
+    sizes = dealt.groupBy("cell").agg(*[F.ceil(F.sum(F.when(c, 1).otherwise(0)) / JOIN_ROWS).alias(name) for c, name in ((F.col("at_home"), "hosts"), (~F.col("at_home"), "guests"))])
+    tiled = dealt.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.when(F.col("at_home"), F.col("hosts")).otherwise(F.col("guests"))))
+    blocks = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
+    with_hosts = F.transform(blocks("hosts"), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right"), F.lit(True).alias("inner")))
+    with_guests = F.transform(blocks("guests"), lambda o: F.struct(F.col("block").alias("left"), o.alias("right"), F.lit(False).alias("inner")))
+    as_guest = F.transform(blocks("hosts"), lambda o: F.struct(o.alias("left"), F.col("block").alias("right"), F.lit(False).alias("inner")))
+    tiles = tiled.withColumn("tile", F.explode(F.when(F.col("at_home"), F.concat(with_hosts, with_guests)).otherwise(as_guest))).select(
+        "cell", "tile.*", "vec_id", "embedding", "at_home", "block")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, left, right, inner = key
+        if inner:
+            x, y = rows[rows["block"] == left], rows[rows["block"] == right]
+        else:
+            x, y = rows[rows["at_home"]], rows[~rows["at_home"]]
+        if x.empty or y.empty:
             return pd.DataFrame({"a": [], "b": [], "score": []})
-        s = _unit(_matrix(left["embedding"])) @ _unit(_matrix(right["embedding"])).T
+        s = _unit(_matrix(x["embedding"])) @ _unit(_matrix(y["embedding"])).T
         i, j = np.nonzero(s >= threshold)
-        la, rb = left["vec_id"].to_numpy()[i], right["vec_id"].to_numpy()[j]
-        ok = la < rb if key[0] == key[1] else la != rb
+        la, rb = x["vec_id"].to_numpy()[i], y["vec_id"].to_numpy()[j]
+        ok = la < rb if inner and left == right else la != rb
         return pd.DataFrame({"a": np.minimum(la, rb)[ok], "b": np.maximum(la, rb)[ok], "score": s[i, j][ok]})
 
     kind = vecs.schema["vec_id"].dataType.simpleString()
-    return spread.groupBy("c1", "c2").applyInPandas(cell, f"a {kind}, b {kind}, score double")
-
+    return tiles.groupBy("cell", "left", "right", "inner").applyInPandas(compare, f"a {kind}, b {kind}, score double")
 
-def lexical_scores(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 and overlap cosine for every (query, doc) with a common term. queries(query_id, tokens), docs(vec_id, tokens).
 
-    Postings are cut to the query vocabulary before anything is shuffled; repeated query terms count repeatedly.
-    """
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    n, avgdl = size["n"], size["avgdl"] or 1.0
-    terms = queries.select("query_id", F.size(F.array_distinct("tokens")).alias("q_len"), F.explode("tokens").alias("term")).groupBy(
-        "query_id", "q_len", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocab = terms.select("term").distinct()
-    # Lengths travel inside the exploded array; beside it they would be derived again for every exploded token.
-    n_tok = F.size("tokens")
-    carried = F.arrays_zip(F.col("tokens").alias("term"), F.array_repeat(n_tok, n_tok).alias("dl"), F.array_repeat(F.size(F.array_distinct("tokens")), n_tok).alias("ul"))
-    postings = docs.select("vec_id", F.explode(carried).alias("p")).select("vec_id", F.col("p.term").alias("term"), F.col("p.dl").alias("dl"), F.col("p.ul").alias("ul")).join(
-        vocab, "term", "left_semi").groupBy("vec_id", "dl", "ul", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    j = postings.join(df, "term").join(terms, "term")
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl))))
-    return j.groupBy("query_id", "vec_id").agg(
-        F.sum(part).alias("bm25"), (F.count(F.lit(1)) / F.sqrt(F.max(F.col("ul") * F.col("q_len")))).alias("overlap"))
+def bm25(queries: DataFrame, docs: DataFrame, k: int = POOL) -> DataFrame:
+    """query_id, vec_id, bm25: the k best documents of each query. queries(query_id, tokens), docs(vec_id, tokens)."""
+    return L.bm25(queries, docs, k).drop("rank")
 
 
-def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    return lexical_scores(queries, docs).select("query_id", "vec_id", "bm25")
-
-
-def overlap_cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    return lexical_scores(queries, docs).select("query_id", "vec_id", "overlap")
+def overlap_cosine(queries: DataFrame, docs: DataFrame, k: int = POOL) -> DataFrame:
+    return L.overlap_cosine(queries, docs, k).drop("rank")
 
 
 def candidate_pool(queries: DataFrame, docs: DataFrame, pool: int = POOL) -> DataFrame:
     """Union of the vector and BM25 top lists, cut to `pool` by vector score, with token and fuzzy scores.
 
-    queries(query_id, text, tokens, embedding), docs(vec_id, text, tokens, embedding).
+    queries(query_id, text, tokens, embedding), docs(vec_id, text, tokens, embedding). The vector list already holds the
+    `pool` best vector scores of all documents, so the cut leaves exactly that list; the BM25 list, which is as long,
+    gives the scores of its members, and documents outside it have none.
     """
     from lagweave.functions.paths import jaccard
     from lagweave.functions.scores import fuzzy_ratio
 
-    by_vec = topk_cosine(queries, docs, pool).select("query_id", "vec_id")
-    lex = bm25(queries, docs)
-    by_lex = top_n(lex, ["query_id"], [F.desc("bm25"), F.col("vec_id")], pool).select("query_id", "vec_id")
-    q = queries.select("query_id", F.col("text").alias("qt"), F.array_distinct("tokens").alias("qs"), F.col("embedding").alias("qe"))
-    d = docs.select("vec_id", F.col("text").alias("dt"), F.array_distinct("tokens").alias("ds"), F.col("embedding").alias("de"))
-    pairs = by_vec.union(by_lex).distinct().join(q, "query_id").join(d, "vec_id")
-    scored = pairs.select("query_id", "vec_id", cosine_columns(F.col("qe"), F.col("de")).alias("emb"), jaccard(F.col("qs"), F.col("ds")).alias("tok"),
-                          fuzzy_ratio(F.lower(F.trim("qt")), F.lower("dt")).alias("fuz"))
-    kept = top_n(scored, ["query_id"], [F.desc("emb"), F.col("vec_id")], pool).drop("rank")
-    return kept.join(lex, ["query_id", "vec_id"], "left").fillna(0.0, ["bm25"])
+    by_vec = topk_cosine(queries, docs, pool).select("query_id", "vec_id", F.col("score").alias("emb"))
+    q = queries.select("query_id", F.lower(F.trim("text")).alias("qt"), F.array_distinct("tokens").alias("qs"))
+    d = docs.select("vec_id", F.lower("text").alias("dt"), F.array_distinct("tokens").alias("ds"))
+    scored = by_vec.join(q, "query_id").join(d, "vec_id").select(
+        "query_id", "vec_id", "emb", jaccard(F.col("qs"), F.col("ds")).alias("tok"), fuzzy_ratio(F.col("qt"), F.col("dt")).alias("fuz"))
+    return scored.join(bm25(queries, docs, pool), ["query_id", "vec_id"], "left").fillna(0.0, ["bm25"])
 
 
 def cosine_columns(a: Column, b: Column) -> Column:
@@ -203,14 +236,27 @@ def softmax_fusion(pool: DataFrame, weights: dict[str, float] = WEIGHTS, temps:
 
 # Semantic and lexical share of the multi-query ranking, and the split inside the lexical part.
 SEMANTIC, LEXICAL, LEX_BM25, LEX_OVERLAP = 0.80, 0.20, 0.5, 0.5
+# How many times k the vector list of a fused ranking is long.
+DEPTH = 16
 
 
 def fused_rank(queries: DataFrame, docs: DataFrame, k: int, scope: str) -> DataFrame:
     """Top k docs per scope over all its query texts: min-max cosine plus scaled BM25 and overlap, divided by the
-    number of texts. queries(query_id, scope, tokens, embedding), docs(vec_id, tokens, embedding).
+    number of texts. queries(query_id, scope, tokens, embedding), docs(vec_id, tokens, embedding)."""
+    scopes, candidates = fused_candidates(queries, docs, k, scope)
+    total = candidates.join(scopes.select("query_id", "c", "n_texts"), "query_id").select(
+        F.col("query_id").alias(scope), "vec_id", ((SEMANTIC * (F.col("sem") - F.col("c")) + LEXICAL * F.col("lex")) / F.col("n_texts")).alias("fused"))
+    return top_n(total, [scope], [F.desc("fused"), F.col("vec_id")], k)
+
 
-    The sum of scaled cosines over a scope is one dot product with a summed vector, so a scope costs one pass. Docs
-    that could still enter through their lexical part are kept by a slack, hence the cut is exact.
+def fused_candidates(queries: DataFrame, docs: DataFrame, k: int, scope: str) -> tuple[DataFrame, DataFrame]:
+    """The scopes as queries, and (query_id, vec_id, sem, lex) of the documents that can be in a scope's top k.
+
+    The sum of scaled cosines over a scope is one dot product with a summed vector, and the sum of its scaled lexical
+    scores is one weighted sum over terms, so a scope is one query of each kind. Of the DEPTH * k best by vector, the k-th
+    best fused score is a floor. A document outside them has no better vector score than the last of them, so it needs a
+    lexical score that makes up for the rest; those that have it come from the lexical index by that floor. A deep
+    vector list is cheap beside the product that it comes from, and few documents outside it are left to lift.
     """
     q = queries.join(cut_lineage(cosine_extremes(queries, docs)), "query_id").withColumn("range", F.col("hi") - F.col("lo"))
     q = q.withColumn("inv", F.when(F.col("range") < 1e-12, 0.0).otherwise(1 / F.col("range")))
@@ -218,17 +264,29 @@ def fused_rank(queries: DataFrame, docs: DataFrame, k: int, scope: str) -> DataF
     dims = q.select(scope, (F.col("inv") / norm).alias("f"), F.posexplode("embedding").alias("i", "x")).groupBy(scope, "i").agg(F.sum(F.col("f") * F.col("x")).alias("x"))
     vec = dims.groupBy(scope).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
     const = q.groupBy(scope).agg(F.sum(F.col("lo") * F.col("inv")).alias("c"), (2 * F.count(F.lit(1))).alias("n_texts"))
-    lex_max = LEXICAL / 2  # half of all texts are lexical
-    scopes = cut_lineage(vec.join(const, scope).withColumn("slack", F.lit(lex_max / SEMANTIC) * F.col("n_texts")).withColumnRenamed(scope, "query_id"))
-    sem = topk_cosine(scopes, docs, k, unit_queries=False).withColumnRenamed("query_id", scope)
-    lx = lexical_scores(queries, docs)
-    w = W.partitionBy("query_id")
-    top = lx.groupBy("query_id").agg(F.max("bm25").alias("mb"), F.max("overlap").alias("mo"))
-    parts = lx.join(top, "query_id").join(queries.select("query_id", scope), "query_id").groupBy(scope, "vec_id").agg(
-        F.sum(LEX_BM25 * F.col("bm25") / F.col("mb") + LEX_OVERLAP * F.col("overlap") / F.col("mo")).alias("lex"))
-    total = sem.join(const, scope).join(parts, [scope, "vec_id"], "left").withColumn(
-        "fused", (SEMANTIC * (F.col("score") - F.col("c")) + LEXICAL * F.coalesce("lex", F.lit(0.0))) / F.col("n_texts"))
-    return top_n(total.select(scope, "vec_id", "fused"), [scope], [F.desc("fused"), F.col("vec_id")], k)
+    scopes = cut_lineage(vec.join(const, scope).withColumnRenamed(scope, "query_id"))
+    sem = cut_lineage(topk_cosine(scopes, docs, DEPTH * k, unit_queries=False).withColumnRenamed("score", "sem"))
+
+    index = L.lexical_index(docs, L.vocabulary_of(queries))
+    terms = cut_lineage(L.query_terms(queries).join(queries.select("query_id", scope), "query_id"))
+    best = {}
+    for name, weights in (("w_bm25", L.bm25_weights(queries)), ("w_overlap", L.overlap_weights(queries))):
+        best[name] = L.lexical_topk(cut_lineage(weights), index, 1).select("query_id", F.col("score").alias(f"max_{name}"))
+    scaled = terms.join(best["w_bm25"], "query_id").join(best["w_overlap"], "query_id").groupBy(F.col(scope).alias("query_id"), "term").agg(
+        F.sum(LEX_BM25 * F.col("qtf") / F.col("max_w_bm25")).alias("w_bm25"), F.sum(LEX_OVERLAP / (F.sqrt("q_len") * F.col("max_w_overlap"))).alias("w_overlap"))
+    weights = cut_lineage(scaled)
+    lex = sem.select("query_id", "vec_id").join(weights, "query_id").join(index.postings, ["vec_id", "term"]).groupBy("query_id", "vec_id").agg(
+        F.sum(F.col("w_bm25") * F.col("bm25") + F.col("w_overlap") * F.col("overlap")).alias("lex"))
+    head = cut_lineage(sem.join(lex, ["query_id", "vec_id"], "left").fillna(0.0, ["lex"]))
+    both = head.withColumn("both", SEMANTIC * F.col("sem") + LEXICAL * F.col("lex"))
+    least = top_n(both, ["query_id"], [F.desc("both"), F.col("vec_id")], k, "place").where(F.col("place") == k).select("query_id", F.col("both").alias("least"))
+    last = head.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("sem").alias("last")).where(F.col("n") >= DEPTH * k)
+    floors = last.join(least, "query_id").select("query_id", ((F.col("least") - SEMANTIC * F.col("last")) / LEXICAL).alias("floor"))
+    lifted = L.lexical_above(weights, index, floors).withColumnRenamed("score", "lex").join(head.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p.cast("double") * r.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    extra = lifted.join(scopes.select("query_id", F.col("embedding").alias("x")), "query_id").join(docs.select("vec_id", F.col("embedding").alias("y")), "vec_id").select(
+        "query_id", "vec_id", (dot(F.col("x"), F.col("y")) / (F.sqrt(dot(F.col("y"), F.col("y"))) + 1e-12)).alias("sem"), "lex")
+    return scopes, head.select("query_id", "vec_id", "sem", "lex").unionByName(extra)
 
 
 def rank_predictors(paths: DataFrame, inferred: DataFrame, edges: DataFrame, k: int) -> DataFrame:
