@@ -61,6 +61,16 @@ def w14(spark, d):
     return rounded(T.error_ratio_segments(ratio, 2.2))
 
 
+@query("W14_fitted_segments")
+def w14f(spark, d):
+    """The static model's kernel-weighted error over that of the time-varying one, cut at three."""
+    obs = z_obs(spark, d)
+    rows, params = cut_lineage(N.lag_rows(obs)), tv_params(spark, obs)
+    tv = N.fit_tv_var(rows, params)
+    ratio = N.error_ratio(N.static_error_at_points(rows, N.fit_static_var(rows), params), tv)
+    return rounded(T.error_ratio_segments(cut_lineage(ratio), 3.0))
+
+
 @query("W15_change_points", f"""{BASE}, dl AS (SELECT profile_id, time_index, beta - lag(beta) OVER (PARTITION BY profile_id, dst, src ORDER BY time_index) x FROM cf), ds AS (SELECT {K}, sqrt(sum(x * x)) distance FROM dl WHERE x IS NOT NULL GROUP BY ALL),
 zz AS (SELECT *, (distance - avg(distance) OVER w) / (stddev_pop(distance) OVER w + 1e-12) z FROM ds WINDOW w AS (PARTITION BY profile_id)) SELECT {K}, round(distance, 6) distance, round(z, 6) z, z > 1.2 is_change_point FROM zz""")
 def w15(spark, d):
@@ -282,7 +292,7 @@ md AS (SELECT {K}, s, t, unnest(nodes[2:-2]) node FROM sp), bt AS (SELECT md.pro
 SELECT {K}, node, round(coalesce(b / ((n - 1) * (n - 2)), 0), 6) betweenness FROM nd JOIN nn USING (profile_id, time_index) LEFT JOIN bt USING (profile_id, time_index, node)""")
 def g06(spark, d):
     edges, nodes = graph_of(spark, d)
-    return rounded(G.betweenness(edges, G.shortest_paths(edges, nodes), nodes))
+    return rounded(G.betweenness(edges, nodes))
 
 
 TRI = f"""sw AS (SELECT {K}, a, b, aw / max(aw) OVER (PARTITION BY {K}) s FROM up), tr AS (SELECT x.profile_id, x.time_index, x.a a, x.b b, y.b c, cbrt(x.s * y.s * z.s) g FROM sw x JOIN sw y ON x.profile_id = y.profile_id AND x.time_index = y.time_index AND x.b = y.a JOIN sw z ON z.profile_id = x.profile_id AND z.time_index = x.time_index AND z.a = x.a AND z.b = y.b),

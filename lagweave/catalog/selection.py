@@ -110,8 +110,8 @@ def c06(spark, d):
 
 @query("C06_full_impact")
 def c06f(spark, d):
-    """Fitted time-varying model of every profile, real graph metrics, importance, edge and predictor impact. Without
-    the readiness plan, variable selection, model fill and bandwidth search of the surveyed flow."""
+    """The whole flow by each profile's plan: selection, fill, search, time-varying or static fit, intervals, graph
+    metrics, importance, edge and predictor impact."""
     from lagweave.plans.impact import predictor_table
 
     return rounded(predictor_table(M.cohort_obs(spark, d)))

@@ -85,6 +85,23 @@ def w07(spark, d):
     return rounded(T.t_norm(M.cohort_obs(spark, d)).select("profile_id", "code", "t_index", "t_norm"))
 
 
+@query("W07_time_axis", f"""WITH {S.ALL_OBS}, sl AS (SELECT profile_id, t_index slot, min(ts) ts FROM obs GROUP BY ALL), kd AS (SELECT *, hash_kind, slot % 10 d FROM (SELECT *, length(profile_id) + CAST(substr(profile_id, 2) AS BIGINT) % 3 hash_kind FROM sl)),
+rw AS (SELECT profile_id, slot, CASE WHEN hash_kind % 3 = 0 AND d < 8 OR hash_kind % 3 <> 0 AND d < 3 THEN CAST(slot AS DOUBLE) END x, CASE WHEN hash_kind % 3 = 1 AND d < 9 OR hash_kind % 3 <> 1 AND d < 4 THEN CAST(epoch_us(ts) AS DOUBLE) END y FROM kd),
+ct AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY slot) - 1.0 i, greatest(3, floor(0.7 * count(*) OVER w)) need, count(x) OVER w nx, count(y) OVER w ny FROM rw WINDOW w AS (PARTITION BY profile_id)),
+ax AS (SELECT *, CASE WHEN nx >= need THEN 'index' WHEN ny >= need THEN 'date' ELSE 'order' END axis, CASE WHEN nx >= need THEN x WHEN ny >= need THEN y ELSE i END v FROM ct),
+nb AS (SELECT *, last_value(v IGNORE NULLS) OVER u pv, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER u pi, first_value(v IGNORE NULLS) OVER d2 nv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER d2 ni FROM ax
+ WINDOW u AS (PARTITION BY profile_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), d2 AS (PARTITION BY profile_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fl AS (SELECT profile_id, slot, axis, coalesce(v, CASE WHEN ni > pi THEN pv + (nv - pv) * (i - pi) / (ni - pi) END, pv, nv) z FROM nb)
+SELECT profile_id, slot, axis, round((z - min(z) OVER w) / (max(z) OVER w - min(z) OVER w + 1e-12), 6) t_norm FROM fl WINDOW w AS (PARTITION BY profile_id)""")
+def w07a(spark, d):
+    """Profiles of all three kinds: index with gaps, dates with gaps, hardly any of both."""
+    slots = M.all_obs(spark, d).groupBy("profile_id", F.col("t_index").alias("slot")).agg(F.min("ts").alias("ts"))
+    kind, digit = (F.length("profile_id") + F.substring("profile_id", 2, 18).cast("long") % 3) % 3, F.col("slot") % 10
+    rows = slots.select("profile_id", "slot", F.when(F.when(kind == 0, digit < 8).otherwise(digit < 3), F.col("slot")).alias("t_index"),
+                        F.when(F.when(kind == 1, digit < 9).otherwise(digit < 4), F.col("ts")).alias("ts"))
+    return rounded(T.time_axis(rows, "slot").select("profile_id", "slot", "axis", "t_norm"))
+
+
 FILL = """f AS (SELECT *, last_value(value IGNORE NULLS) OVER u pv, last_value(CASE WHEN value IS NOT NULL THEN t_index END IGNORE NULLS) OVER u px,
  first_value(value IGNORE NULLS) OVER d nv, first_value(CASE WHEN value IS NOT NULL THEN t_index END IGNORE NULLS) OVER d nx FROM obs
  WINDOW u AS (PARTITION BY profile_id, code ORDER BY t_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), d AS (PARTITION BY profile_id, code ORDER BY t_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
@@ -101,19 +118,36 @@ def w09(spark, d):
     return rounded(T.ffill_bfill(M.all_obs(spark, d)).select("profile_id", "code", "t_index", "filled"))
 
 
-@query("W10_impute", f"""WITH {S.ALL_OBS.replace('obs AS (SELECT * FROM d_obs', 'obs0 AS (SELECT * FROM d_obs')}, obs AS (SELECT profile_id, code, t_index, ts, CASE WHEN code = 'P02' THEN CAST(value > 30 AS DOUBLE) ELSE value END AS value FROM obs0),
-{S.PROFILE_STATS},{S.REGULARITY},{FILL},
+BINARY_OBS = S.ALL_OBS.replace('obs AS (SELECT * FROM d_obs', 'obs0 AS (SELECT * FROM d_obs') + ", obs AS (SELECT profile_id, code, t_index, ts, CASE WHEN code = 'P02' THEN CAST(value > 30 AS DOUBLE) ELSE value END AS value FROM obs0)"
+POLICY = f"""{S.PROFILE_STATS},{S.REGULARITY},{FILL},
 pol AS (SELECT p.profile_id, p.code, CASE WHEN n < 8 OR missing_pct <= 0.02 OR missing_pct > 0.85 THEN 'none' WHEN var_type = 'binary' THEN 'ffill_bfill'
- WHEN n >= 20 AND missing_pct <= 0.60 AND coalesce(regularity, 'x') <> 'highly_irregular' THEN 'model' ELSE 'interpolate' END AS policy FROM prof p LEFT JOIN reg USING (profile_id))
-SELECT {COLS}, t_index, policy, round(CASE policy WHEN 'none' THEN value WHEN 'ffill_bfill' THEN carried ELSE filled END, 6) filled FROM filled JOIN pol USING (profile_id, code)""")
-def w10(spark, d):
-    """The model branch takes the lag-model fill of V03."""
+ WHEN n >= 20 AND missing_pct <= 0.60 AND coalesce(regularity, 'x') <> 'highly_irregular' THEN 'model' ELSE 'interpolate' END AS policy FROM prof p LEFT JOIN reg USING (profile_id))"""
+
+
+def imputed(spark, d):
+    """One variable made binary, so that every policy occurs."""
     from lagweave.operators.network import var_fill
 
     raw = M.all_obs(spark, d)
     obs = cut_lineage(raw.withColumn("value", F.when(F.col("code") == "P02", (F.col("value") > 30).cast("double")).otherwise(F.col("value"))))
     reg = T.sampling_regularity(T.filled_times(obs), ["profile_id"])
-    return rounded(T.impute(obs, R.profile_variables(obs), reg, var_fill(obs)).select("profile_id", "code", "t_index", "policy", "filled"))
+    return T.impute(obs, R.profile_variables(obs), reg, var_fill(obs)).select("profile_id", "code", "t_index", "policy", "filled")
+
+
+@query("W10_impute")
+def w10(spark, d):
+    """Every policy; the model branch takes the lag-model fill of V03, which tests compare with plain matrices."""
+    return rounded(imputed(spark, d))
+
+
+@query("W10_policy", f"""WITH {BINARY_OBS},
+{POLICY}
+SELECT {COLS}, t_index, policy, round(CASE policy WHEN 'none' THEN value WHEN 'ffill_bfill' THEN carried ELSE filled END, 6) filled FROM filled JOIN pol USING (profile_id, code) WHERE policy <> 'model' OR value IS NOT NULL""")
+def w10p(spark, d):
+    """The fills that need no model: all policies but `model`, and the values that `model` leaves alone."""
+    observed = M.all_obs(spark, d).where("value is not null").select("profile_id", "code", "t_index", F.lit(True).alias("seen"))
+    out = imputed(spark, d).join(observed, ["profile_id", "code", "t_index"], "left")
+    return rounded(out.where((F.col("policy") != "model") | F.col("seen")).drop("seen"))
 
 
 @query("W11_calendar_features", f"""WITH {S.COHORT}, c AS (SELECT *, CAST(isodow(ts) - 1 AS INT) weekday, CAST(hour(ts) AS INT) "hour" FROM obs),

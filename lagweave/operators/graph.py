@@ -1,14 +1,17 @@
 """Graph metrics on keyed edge tables: every graph is a (profile_id, time_index) key, all graphs advance at once.
 
 A graph has as many nodes as its profile has variables (at most a few dozen by the model policy), so the number of
-keys is what grows. Shortest paths cost up to nodes^3 rows per key, spread over (key, middle node).
+keys is what grows. Shortest paths run inside one call over rows (graph, chunk of sources) that hold the packed edges:
+Dijkstra forward and, for betweenness, the dependencies back. No table of pairs or paths is built round by round.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
-import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from lagweave.functions.scores import corr
 
 KEY = ["profile_id", "time_index"]
 TIE = 1e-9
+SOURCES_PER_CHUNK = 64
 
 
 def nodes_of(coefs: DataFrame) -> DataFrame:
@@ -104,16 +108,70 @@ def spectral_centrality(edges: DataFrame, nodes: DataFrame, alpha: float = 0.1,
     return _unroll(done, ["eigenvector", "katz", "hits_authority", "hits_hub"])
 
 
+def _chunks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row per (graph, chunk of sources): the graph's node names, its edges by place of their ends, the chunk."""
+    named = nodes.groupBy(*KEY).agg(F.array_sort(F.collect_list("node")).alias("names"))
+    least = edges.groupBy(*KEY, "src", "dst").agg(F.min("dist").alias("dist"))
+    packed = least.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("src", "dst", "dist"))).alias("e"))
+    at = lambda c: F.transform("e", lambda x: x[c])
+    part = F.explode(F.sequence(F.lit(0), F.expr(f"cast((size(names) - 1) div {SOURCES_PER_CHUNK} as int)"))).alias("part")
+    return named.join(packed, KEY, "left").select(*KEY, "names", at("src").alias("src"), at("dst").alias("dst"), at("dist").alias("dist"), part)
+
+
+def _dijkstra(out: list[list[tuple[int, float]]], source: int) -> tuple[list[int], list[float], list[float], list[list[int]]]:
+    """Nodes in the order they are reached, distances, numbers of shortest paths and last steps; lengths within TIE of
+    each other are equal."""
+    n = len(out)
+    dist, paths, before = [float("inf")] * n, [0.0] * n, [[] for _ in range(n)]
+    dist[source], paths[source] = 0.0, 1.0
+    done, order, heap = [False] * n, [], [(0.0, source)]
+    while heap:
+        d, v = heapq.heappop(heap)
+        if done[v]:
+            continue
+        done[v] = True
+        order.append(v)
+        for w, step in out[v]:
+            longer = d + step
+            if done[w]:
+                continue
+            if longer < dist[w] * (1 - TIE):
+                dist[w], paths[w], before[w] = longer, paths[v], [v]
+                heapq.heappush(heap, (longer, w))
+            elif longer <= dist[w] * (1 + TIE):
+                paths[w] += paths[v]
+                before[w].append(v)
+    return order, dist, paths, before
+
+
+def _graphs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(key, names, outgoing edges, sources) of each row of `_chunks`."""
+    for b in batches:
+        for profile, time_index, names, src, dst, dist, part in zip(*[b[c] for c in (*KEY, "names", "src", "dst", "dist", "part")]):
+            names = list(names)
+            at = {v: k for k, v in enumerate(names)}
+            out: list[list[tuple[int, float]]] = [[] for _ in names]
+            for x, y, w in zip(src if src is not None else (), dst if dst is not None else (), dist if dist is not None else ()):
+                if x != y:
+                    out[at[x]].append((at[y], float(w)))
+            yield (profile, time_index), names, out, range(part * SOURCES_PER_CHUNK, min(len(names), (part + 1) * SOURCES_PER_CHUNK))
+
+
+def _schema(nodes: DataFrame, fields: str) -> str:
+    return ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in KEY) + ", " + fields
+
+
 def shortest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All-pairs distances by min-plus squaring; rounds follow from the largest graph."""
-    largest = nodes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    d = cut_lineage(edges.groupBy(*KEY, "src", "dst").agg(F.min("dist").alias("d")))
-    for _ in range(math.ceil(math.log2(max(2, largest - 1))) or 1):
-        left = d.select(*KEY, "src", F.col("dst").alias("mid"), F.col("d").alias("d1"))
-        right = d.select(*KEY, F.col("src").alias("mid"), "dst", F.col("d").alias("d2"))
-        longer = left.join(right, [*KEY, "mid"]).where(F.col("src") != F.col("dst")).select(*KEY, "src", "dst", (F.col("d1") + F.col("d2")).alias("d"))
-        d = cut_lineage(d.unionByName(longer).groupBy(*KEY, "src", "dst").agg(F.min("d").alias("d")))
-    return d
+    """src, dst, d of every pair that a path connects."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, names, out, sources in _graphs(batches):
+            rows = []
+            for s in sources:
+                order, dist, *_ = _dijkstra(out, s)
+                rows += [(*key, names[s], names[t], dist[t]) for t in order if t != s]
+            yield pd.DataFrame(rows, columns=[*KEY, "src", "dst", "d"])
+
+    return _chunks(edges, nodes).mapInPandas(run, _schema(nodes, "src string, dst string, d double"))
 
 
 def closeness(dist: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -134,27 +192,23 @@ def path_summary(und_dist: DataFrame, components: DataFrame) -> DataFrame:
     return big.drop("component").join(eff, KEY, "left").join(lcc, KEY, "left")
 
 
-def betweenness(edges: DataFrame, dist: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Normalized weighted betweenness; path counts grow along tight edges hop by hop."""
-    near = lambda a, b: F.abs(a - b) <= TIE * b
-    step = edges.select(*KEY, F.col("src").alias("mid"), "dst", "dist")
-    target = dist.select(*KEY, F.col("src").alias("s"), "dst", F.col("d").alias("dt"))
-    front = cut_lineage(edges.select(*KEY, F.col("src").alias("s"), "dst", "dist").join(target, [*KEY, "s", "dst"]).where(near(F.col("dist"), F.col("dt"))).select(
-        *KEY, "s", F.col("dst").alias("mid"), F.col("dt").alias("dm"), F.lit(1.0).alias("paths")))
-    total = front
-    while True:
-        grown = front.join(step, [*KEY, "mid"]).join(target, [*KEY, "s", "dst"]).where(near(F.col("dm") + F.col("dist"), F.col("dt"))).groupBy(
-            *KEY, "s", F.col("dst").alias("mid"), F.col("dt").alias("dm")).agg(F.sum("paths").alias("paths"))
-        front = cut_lineage(grown)
-        if front.limit(1).count() == 0:
-            break
-        total = total.unionByName(front)
-    sigma = cut_lineage(total.groupBy(*KEY, "s", F.col("mid").alias("t")).agg(F.max("dm").alias("d"), F.sum("paths").alias("sig")))
-    st = sigma.select(*KEY, "s", "t", F.col("d").alias("dst_"), F.col("sig").alias("sst"))
-    sv = sigma.select(*KEY, "s", F.col("t").alias("v"), F.col("d").alias("dsv"), F.col("sig").alias("ssv"))
-    vt = sigma.select(*KEY, F.col("s").alias("v"), "t", F.col("d").alias("dvt"), F.col("sig").alias("svt"))
-    dep = st.join(sv, [*KEY, "s"]).where("v != t").join(vt, [*KEY, "v", "t"]).where(near(F.col("dsv") + F.col("dvt"), F.col("dst_"))).groupBy(
-        *KEY, F.col("v").alias("node")).agg(F.sum(F.col("ssv") * F.col("svt") / F.col("sst")).alias("b"))
+def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Normalized weighted betweenness: each source's shortest paths are counted forward, then the share of them that a
+    node lies on is gathered backward; sources of a chunk are added up before they leave the task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, names, out, sources in _graphs(batches):
+            total = [0.0] * len(names)
+            for s in sources:
+                order, _, paths, before = _dijkstra(out, s)
+                share = [0.0] * len(names)
+                for w in reversed(order):
+                    for v in before[w]:
+                        share[v] += paths[v] / paths[w] * (1 + share[w])
+                    if w != s:
+                        total[w] += share[w]
+            yield pd.DataFrame([(*key, names[k], b) for k, b in enumerate(total) if b], columns=[*KEY, "node", "b"])
+
+    dep = _chunks(edges, nodes).mapInPandas(run, _schema(nodes, "node string, b double")).groupBy(*KEY, "node").agg(F.sum("b").alias("b"))
     n = F.count(F.lit(1)).over(W.partitionBy(*KEY))
     out = nodes.withColumn("n", n).join(dep, [*KEY, "node"], "left")
     return out.select(*KEY, "node", F.coalesce(F.col("b") / F.nullif((F.col("n") - 1) * (F.col("n") - 2), F.lit(0)), F.lit(0.0)).alias("betweenness"))

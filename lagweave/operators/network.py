@@ -1,8 +1,9 @@
 """Lagged network estimation from moments.
 
-Rows never reach a solver. `mapInPandas` turns each batch of lag rows into small weighted Gram matrices (one per
-kernel point, fold or bootstrap draw), which is a map-side combine; the partial matrices are summed per profile and
-only these (2p + 1)-square matrices, p being the variables of one profile, enter the coordinate descent.
+Solvers see weighted Gram matrices of u = (1, z, y) only, (2p + 1)-square with p the variables of one profile. Where a
+fit needs a few of them, `mapInPandas` makes them from each batch of lag rows, which is a map-side combine, and they are
+summed per profile. Cross validation and the bootstrap need hundreds, more than a profile has lag rows; there the rows
+travel once, packed per profile (and block of draws), and the matrices live and die inside the grouped call.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ POINTS, CV_POINTS, FOLDS, RIDGE = 20, 12, 5, 1e-3
 BANDWIDTHS = [0.03, 0.05, 0.08, 0.11, 0.15, 0.20, 0.28, 0.36]
 ALPHAS = [10 ** (-2.0 + 2.2 * i / 17) for i in range(18)]
 DRAWS, BLOCK, CI_LOW, CI_HIGH = 80, 20, 0.05, 0.95
+DRAW_BLOCKS = 2
 
 MOMENTS = "profile_id string, codes array<string>, n_obs int, kind string, fold int, bw int, point int, gram array<double>, w2 double"
 
@@ -68,35 +70,21 @@ def _multiplicity(profile: str, draw: int, n: int, block: int) -> np.ndarray:
     return np.bincount(picked, minlength=n)[:n]
 
 
-def _weights(kinds: tuple[str, ...], profile: str, i: np.ndarray, t: np.ndarray, n: int, bandwidth: float, draws: int, block: int):
+def _weights(kinds: tuple[str, ...], i: np.ndarray, t: np.ndarray, n: int, bandwidth: float):
     """Yield (kind, fold, bandwidth index, point, weights) for the asked kinds."""
     if "full" in kinds:
         yield "full", -1, -1, -1, np.ones_like(t)
     if "point" in kinds:
         for p, te in enumerate(_points(POINTS)):
             yield "point", -1, -1, p, _kernel(t, te, bandwidth)
-    if "static_cv" in kinds or "tv_cv" in kinds:
+    if "static_cv" in kinds:
         for f, (tr, va) in enumerate(_folds(n)):
-            train, val = (i < tr).astype(float), ((i >= tr) & (i < va)).astype(float)
-            yield "train", f, -1, -1, train
-            yield "last", f, -1, -1, (i == tr - 1).astype(float)
-            if "static_cv" in kinds:
-                yield "val", f, -1, -1, val
-            if "tv_cv" in kinds:
-                near = _nearest(t, CV_POINTS)
-                for p, te in enumerate(_points(CV_POINTS)):
-                    yield "val", f, -1, p, val * (near == p)
-                    for b, bw in enumerate(BANDWIDTHS):
-                        yield "kernel", f, b, p, train * _kernel(t, te, bw)
-    if "boot" in kinds:
-        for d in range(draws):
-            mult = _multiplicity(profile, d, n, block)[i]
-            for p, te in enumerate(_points(POINTS)):
-                yield "boot", d, -1, p, mult * _kernel(t, te, bandwidth)
-
-
-def moments(rows: DataFrame, kinds: tuple[str, ...], draws: int = DRAWS, block: int = BLOCK) -> DataFrame:
-    """Partial weighted Gram matrices of u = (1, z, y). Kinds point and boot read a `bandwidth` column."""
+            yield "train", f, -1, -1, (i < tr).astype(float)
+            yield "val", f, -1, -1, ((i >= tr) & (i < va)).astype(float)
+
+
+def moments(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Partial weighted Gram matrices of u = (1, z, y). Kind point reads a `bandwidth` column."""
     timed = rows if "bandwidth" in rows.columns else rows.withColumn("bandwidth", F.lit(0.0))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +95,7 @@ def moments(rows: DataFrame, kinds: tuple[str, ...], draws: int = DRAWS, block:
                 u = np.hstack([np.ones((len(g), 1)), z, y])
                 outer = (u[:, :, None] * u[:, None, :]).reshape(len(g), -1)
                 i, t, n = g["i"].to_numpy(), g["t"].to_numpy(), int(g["n_obs"].iloc[0])
-                tags = list(_weights(kinds, profile, i, t, n, float(g["bandwidth"].iloc[0]), draws, block))
+                tags = list(_weights(kinds, i, t, n, float(g["bandwidth"].iloc[0])))
                 w = np.stack([x[4] for x in tags])
                 grams, w2, codes = w @ outer, (w * w).sum(axis=1), g["codes"].iloc[0]
                 out += [(profile, codes, n, *x[:4], grams[j], w2[j]) for j, x in enumerate(tags)]
@@ -117,6 +105,19 @@ def moments(rows: DataFrame, kinds: tuple[str, ...], draws: int = DRAWS, block:
     return timed.select("profile_id", "i", "n_obs", "t", "codes", "y", "z", "bandwidth").mapInPandas(partial, MOMENTS)
 
 
+def _packed(pdf: pd.DataFrame) -> tuple:
+    """All lag rows of one profile in the order of time: outer products of u, row numbers, times, codes."""
+    pdf = pdf.sort_values("i")
+    z, y = np.stack(pdf["z"].to_list()).astype(float), np.stack(pdf["y"].to_list()).astype(float)
+    u = np.hstack([np.ones((len(pdf), 1)), z, y])
+    return (u[:, :, None] * u[:, None, :]).reshape(len(pdf), -1), pdf["i"].to_numpy(), pdf["t"].to_numpy(), list(pdf["codes"].iloc[0])
+
+
+def _grams(outer: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    q = int(math.isqrt(outer.shape[1]))
+    return (np.stack(weights) @ outer).reshape(len(weights), q, q)
+
+
 def _sum_partials(pdf: pd.DataFrame) -> dict[tuple, tuple[np.ndarray, float]]:
     q = 2 * len(pdf["codes"].iloc[0]) + 1
     out: dict[tuple, tuple[np.ndarray, float]] = {}
@@ -180,32 +181,40 @@ def _errors(gram: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def select_tv_params(rows: DataFrame, bandwidths: list[float] = BANDWIDTHS, alphas: list[float] = ALPHAS) -> DataFrame:
-    """Bandwidth, then alpha, by forward-chaining CV with train-only scaling and the nearest point's model."""
+    """Bandwidth, then alpha, by forward-chaining CV with train-only scaling and the nearest point's model. Only the lag
+    rows are shuffled, once."""
     mid = float(np.median(alphas))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts, p = _sum_partials(pdf), len(pdf["codes"].iloc[0])
-        folds = sorted({k[1] for k in parts if k[0] == "train"})
-        scale = {f: _fold_scale(parts, f, p) for f in folds}
-        val = {(f, q): _standardize(parts[("val", f, -1, q)][0], *scale[f]) for f in folds for q in range(CV_POINTS)}
+        outer, i, t, codes = _packed(pdf)
+        p = len(codes)
+        near, points = _nearest(t, CV_POINTS), _points(CV_POINTS)
+        cuts = _folds(int(pdf["n_obs"].iloc[0]))
+        folds = []
+        for tr, va in cuts:
+            train, val = (i < tr).astype(float), ((i >= tr) & (i < va)).astype(float)
+            ends = _grams(outer, [train, (i == tr - 1).astype(float)])
+            scale = _fold_scale({("train", 0, -1, -1): (ends[0], 0.0), ("last", 0, -1, -1): (ends[1], 0.0)}, 0, p)
+            checked = [_standardize(g, *scale) for g in _grams(outer, [val * (near == q) for q in range(CV_POINTS)])]
+            folds.append((train, scale, checked))
 
-        def mse(b_idx: int, alpha: float) -> float:
+        def mse(bandwidth: float, alpha: float) -> float:
             out = []
-            for f in folds:
-                grams = np.stack([_standardize(parts[("kernel", f, b_idx, q)][0], *scale[f]) for q in range(CV_POINTS)])
+            for train, scale, checked in folds:
+                grams = np.stack([_standardize(g, *scale) for g in _grams(outer, [train * _kernel(t, te, bandwidth) for te in points])])
                 b, c = lasso(grams, np.full((CV_POINTS, p), alpha), tol=1e-8)
-                n_val = sum(val[(f, q)][0, 0] for q in range(CV_POINTS))
-                out.append(sum(_errors(val[(f, q)], b[q], c[q]).sum() for q in range(CV_POINTS)) / max(n_val * p, 1))
+                n_val = sum(g[0, 0] for g in checked)
+                out.append(sum(_errors(g, b[q], c[q]).sum() for q, g in enumerate(checked)) / max(n_val * p, 1))
             return float(np.mean(out)) if out else float("inf")
 
-        by_bw = [mse(i, mid) for i in range(len(bandwidths))]
+        by_bw = [mse(bw, mid) for bw in bandwidths]
         best_bw = int(np.argmin(by_bw))
-        by_alpha = [mse(best_bw, a) for a in alphas]
+        by_alpha = [mse(bandwidths[best_bw], a) for a in alphas]
         best_a = int(np.argmin(by_alpha))
         return pd.DataFrame([{"profile_id": pdf["profile_id"].iloc[0], "bandwidth": bandwidths[best_bw], "alpha": alphas[best_a],
                               "mse_bandwidth": by_bw[best_bw], "mse_alpha": by_alpha[best_a]}])
 
-    return moments(rows, ("tv_cv",)).groupBy("profile_id").applyInPandas(
+    return rows.select("profile_id", "i", "n_obs", "t", "codes", "y", "z").groupBy("profile_id").applyInPandas(
         solve, "profile_id string, bandwidth double, alpha double, mse_bandwidth double, mse_alpha double")
 
 
@@ -280,20 +289,30 @@ def fit_static_var(rows: DataFrame, alphas: list[float] = ALPHAS) -> DataFrame:
 
 
 def bootstrap_ci(rows: DataFrame, params: DataFrame, draws: int = DRAWS, block: int = BLOCK) -> DataFrame:
-    """Moving-block bootstrap interval of every coefficient; draws are spread over (profile, draw) groups."""
-    timed = rows.join(params.select("profile_id", "bandwidth"), "profile_id")
-    alpha = params.select("profile_id", "alpha")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts, codes, profile = _sum_partials(pdf), list(pdf["codes"].iloc[0]), pdf["profile_id"].iloc[0]
-        keys = sorted(parts)
-        b, _ = lasso(np.stack([parts[k][0] for k in keys]), np.full((len(keys), len(codes)), float(pdf["alpha"].iloc[0])))
-        out = [(profile, k[3], d, s, float(b[n, i, j])) for n, k in enumerate(keys) for i, d in enumerate(codes) for j, s in enumerate(codes)]
-        return pd.DataFrame(out, columns=["profile_id", "time_index", "dst", "src", "b"])
-
-    drawn = moments(timed, ("boot",), draws, block).join(alpha, "profile_id").groupBy("profile_id", "fold").applyInPandas(
-        solve, "profile_id string, time_index int, dst string, src string, b double")
-    return drawn.groupBy("profile_id", "time_index", "dst", "src").agg(
+    """Moving-block bootstrap interval of every coefficient. A profile's lag rows go to DRAW_BLOCKS groups, each of which
+    makes and solves its share of the draws; what leaves them are coefficients."""
+    share = math.ceil(draws / DRAW_BLOCKS)
+    dealt = rows.select("profile_id", "i", "n_obs", "t", "codes", "y", "z").join(params.select("profile_id", "bandwidth", "alpha"), "profile_id").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(DRAW_BLOCKS - 1))))
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        profile, part = key
+        outer, i, t, codes = _packed(pdf)
+        n, bandwidth, alpha = int(pdf["n_obs"].iloc[0]), float(pdf["bandwidth"].iloc[0]), float(pdf["alpha"].iloc[0])
+        kernels, out = [_kernel(t, te, bandwidth) for te in _points(POINTS)], []
+        for draw in range(part * share, min(draws, (part + 1) * share)):
+            picked = _multiplicity(profile, draw, n, block)[i]
+            b, _ = lasso(_grams(outer, [picked * w for w in kernels]), np.full((POINTS, len(codes)), alpha))
+            out.append(b)
+        if not out:
+            return pd.DataFrame(columns=["profile_id", "time_index", "dst", "src", "b"])
+        # One row for each coefficient, with its values in all draws of the group.
+        stack = np.stack(out)
+        return pd.DataFrame([(profile, q, d, s, stack[:, q, k, j]) for q in range(POINTS) for k, d in enumerate(codes) for j, s in enumerate(codes)],
+                            columns=["profile_id", "time_index", "dst", "src", "b"])
+
+    drawn = dealt.groupBy("profile_id", "part").applyInPandas(solve, "profile_id string, time_index int, dst string, src string, b array<double>")
+    return drawn.select("profile_id", "time_index", "dst", "src", F.explode("b").alias("b")).groupBy("profile_id", "time_index", "dst", "src").agg(
         F.percentile("b", CI_LOW).alias("ci_low"), F.percentile("b", CI_HIGH).alias("ci_high"), F.count(F.lit(1)).alias("n_draws"))
 
 

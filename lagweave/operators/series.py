@@ -176,6 +176,31 @@ def t_norm(obs: DataFrame) -> DataFrame:
     return obs.withColumn("t_norm", (F.col("t_index") - lo) / (hi - lo + 1e-12))
 
 
+# A time column serves if it has at least three values and 70 % of the rows.
+AXIS_SHARE, AXIS_MIN = 0.7, 3
+
+
+def time_axis(rows: DataFrame, order: str, index: str = "t_index", ts: str = "ts") -> DataFrame:
+    """Adds axis ("index", "date" or "order") and t_norm: a profile's time in [0, 1] from its numeric index if that is
+    mostly there, else from its dates, else from the order of its rows. Gaps of the chosen column lie on the line between
+    the neighbours in row order, ends take the nearest value. `order` sorts a profile's rows; they are bounded by the
+    calendar after `to_grid`."""
+    own, w = W.partitionBy("profile_id"), W.partitionBy("profile_id").orderBy(order)
+    up, down = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    number = F.col(index).cast("double")
+    finite = F.when(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    date = F.unix_micros(ts).cast("double")
+    need = F.greatest(F.lit(AXIS_MIN), F.floor(F.lit(AXIS_SHARE) * F.count(F.lit(1)).over(own)))
+    axis = F.when(F.count(finite).over(own) >= need, "index").when(F.count(date).over(own) >= need, "date").otherwise("order")
+    at = rows.withColumn("axis", axis).withColumn("_i", (F.row_number().over(w) - 1).cast("double"))
+    at = at.withColumn("_x", F.when(F.col("axis") == "index", finite).when(F.col("axis") == "date", date).otherwise(F.col("_i")))
+    seen = F.when(F.col("_x").isNotNull(), F.col("_i"))
+    pv, pi, nv, ni = F.last("_x", True).over(up), F.last(seen, True).over(up), F.first("_x", True).over(down), F.first(seen, True).over(down)
+    x = at.withColumn("_x", F.coalesce("_x", F.when(ni > pi, pv + (nv - pv) * (F.col("_i") - pi) / (ni - pi)), pv, nv))
+    lo, hi = F.min("_x").over(own), F.max("_x").over(own)
+    return x.withColumn("t_norm", (F.col("_x") - lo) / (hi - lo + 1e-12)).drop("_i", "_x")
+
+
 def interpolate(obs: DataFrame, by: str = "t_index") -> DataFrame:
     """Fill nulls on the line between the neighbours (`by` t_index or ts); ends take the nearest value."""
     x = F.col("t_index").cast("double") if by == "t_index" else F.unix_micros("ts").cast("double")

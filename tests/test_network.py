@@ -96,6 +96,46 @@ def test_cv_matches_brute_force(spark, var_obs):
     assert got["mse_alpha"] == pytest.approx(min(best), rel=1e-5)
 
 
+def test_bootstrap_blocks_match_one_draw_at_a_time(spark, var_obs):
+    rows, params = N.lag_rows(var_obs), spark.createDataFrame([("x", 0.3, 0.02)], "profile_id string, bandwidth double, alpha double")
+    got = {(r["time_index"], r["dst"], r["src"]): (r["ci_low"], r["ci_high"], r["n_draws"]) for r in N.bootstrap_ci(rows, params, draws=5).collect()}
+    x = dense(var_obs, "x")
+    z, y = x[:-1], x[1:]
+    u = np.hstack([np.ones((len(z), 1)), z, y])
+    t = np.arange(1, len(x)) / (len(x) - 1 + 1e-12)
+    draws = []
+    for d in range(5):
+        mult = N._multiplicity("x", d, len(z), N.BLOCK)
+        grams = np.stack([((u * (mult * N._kernel(t, te, 0.3))[:, None]).T @ u) for te in np.linspace(0, 1, N.POINTS)])
+        draws.append(N.lasso(grams, np.full((N.POINTS, 3), 0.02))[0])
+    low, high = np.percentile(draws, 5, axis=0), np.percentile(draws, 95, axis=0)
+    codes = ["C01", "P01", "P02"]
+    for (q, dst, src), (a, b, n) in got.items():
+        i, j = codes.index(dst), codes.index(src)
+        assert n == 5 and a == pytest.approx(low[q, i, j], abs=1e-8) and b == pytest.approx(high[q, i, j], abs=1e-8)
+
+
+def test_flow_follows_each_profiles_plan(spark):
+    from lagweave.plans import impact
+
+    rng, rows = np.random.default_rng(6), []
+    for profile, n in (("long", 200), ("short", 40)):
+        x = np.zeros(3)
+        for t in range(n):
+            x = np.array([[0.4, 0.2, 0.0], [0.3, 0.3, 0.0], [0.0, 0.0, 0.4]]) @ x + rng.normal(size=3)
+            rows += [(profile, c, t, None if rng.random() < 0.03 else float(v)) for c, v in zip(("C01", "P01", "P02"), x)]
+    obs = spark.createDataFrame(rows, "profile_id string, code string, t_index int, value double").withColumn("ts", F.timestamp_seconds(F.col("t_index") * 86400))
+    f = impact.fit(obs, draws=3)
+    plan = {r["profile_id"]: r for r in f.plan.collect()}
+    assert plan["long"]["run_time_varying"] and not plan["short"]["run_time_varying"] and not plan["short"]["run_descriptives_only"]
+    assert {(r["profile_id"], r["impact_source"]) for r in f.coefs.select("profile_id", "impact_source").distinct().collect()} == {("long", "time_varying"), ("short", "stationary")}
+    assert [r["profile_id"] for r in f.params.collect()] == ["long"] and [r["profile_id"] for r in f.intervals.select("profile_id").distinct().collect()] == ["long"]
+    alone = N.fit_tv_var(f.rows.where("profile_id = 'long'"), f.params)
+    assert f.coefs.where("profile_id = 'long'").select("time_index", "dst", "src", "beta").exceptAll(alone.select("time_index", "dst", "src", "beta")).count() == 0
+    static = N.fit_static_var(f.rows.where("profile_id = 'short'"))
+    assert f.coefs.where("profile_id = 'short'").select("dst", "src", "beta").exceptAll(static.select("dst", "src", "beta")).count() == 0
+
+
 def test_fill_keeps_observed_cells(spark, var_obs):
     holes = var_obs.withColumn("value", F.when((F.col("t_index") % 9) == 4, None).otherwise(F.col("value")))
     out = N.var_fill(holes)
@@ -150,6 +190,39 @@ def test_shortest_paths_against_floyd(coefs):
     assert got.keys() == d.keys() and all(got[k] == pytest.approx(d[k]) for k in d)
 
 
+def test_betweenness_counts_every_shortest_path(spark):
+    rng = np.random.default_rng(3)
+    names = [f"n{k}" for k in range(9)]
+    rows = [("g", t, a, b, float(rng.choice([0.5, 1.0, 0.25]))) for t in (0, 1) for a in names for b in names if a != b and rng.random() < 0.35]
+    coefs = spark.createDataFrame(rows, "profile_id string, time_index int, dst string, src string, beta double")
+    edges, nodes = G.build_edges(coefs), G.nodes_of(coefs)
+    old, G.SOURCES_PER_CHUNK = G.SOURCES_PER_CHUNK, 4
+    got = {(r["time_index"], r["node"]): r["betweenness"] for r in G.betweenness(edges, nodes).collect()}
+    G.SOURCES_PER_CHUNK = old
+    for t in (0, 1):
+        d = {(s, x): 1 / (abs(b) + 1e-12) for _, k, x, s, b in rows if k == t}
+
+        def paths(s, at, seen, length, goal):
+            if at == goal:
+                yield length, seen
+                return
+            for nxt in names:
+                if (at, nxt) in d and nxt not in seen:
+                    yield from paths(s, nxt, [*seen, nxt], length + d[at, nxt], goal)
+
+        want = dict.fromkeys(names, 0.0)
+        for s in names:
+            for goal in names:
+                every = list(paths(s, s, [s], 0.0, goal)) if s != goal else []
+                if every:
+                    least = min(x for x, _ in every)
+                    best = [p for x, p in every if x <= least * (1 + 1e-9)]
+                    for p in best:
+                        for v in p[1:-1]:
+                            want[v] += 1 / len(best)
+        assert all(got[t, v] == pytest.approx(want[v] / (8 * 7), abs=1e-9) for v in names if (t, v) in got)
+
+
 def test_clique_cover_groups_are_cliques(spark):
     rng = np.random.default_rng(8)
     pairs = pd.DataFrame([(i, j, float(rng.random())) for i in range(30) for j in range(i + 1, 30) if rng.random() < 0.4], columns=["a", "b", "score"])
