@@ -91,11 +91,23 @@ def format_turns(conversations: DataFrame, path: str) -> DataFrame:
         F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)).cast("long").alias("token_offset"))
 
 
-def read_turn(t, size: int, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, str]:
-    """Role, text and text under the mask of a formatted turn."""
-    body = int(np.flatnonzero(ids == size + 1)[0])
-    role, text, trained = (unescape(t.decode(x.tolist(), skip_special_tokens=False)) for x in (ids[1:body], ids[body + 1:-1], ids[loss]))
-    return role, text, trained
+def decoded_form(t, size: int, ids: np.ndarray) -> str:
+    """The text of formatted ids, reserved ids in their text form."""
+    reserved = np.flatnonzero(ids >= size)
+    marks, parts, at = (START, BODY, END), [], 0
+    for k in reserved.tolist():
+        parts += [t.decode(ids[at:k].tolist(), skip_special_tokens=False), marks[int(ids[k]) - size]]
+        at = k + 1
+    return "".join((*parts, t.decode(ids[at:].tolist(), skip_special_tokens=False)))
+
+
+def read_turn(t, size: int, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, str, int]:
+    """Role, text, text under the mask and length of the decoded form of a formatted turn. No control string is left in an
+    escaped text, so the decoded form is cut at the template's own marks."""
+    whole = decoded_form(t, size, ids)
+    body = decoded_form(t, size, ids[:int(np.flatnonzero(ids == size + 1)[0])])
+    role, text = whole[len(START):len(body)], whole[len(body) + len(BODY):len(whole) - len(END)]
+    return unescape(role), unescape(text), unescape(t.decode(ids[loss].tolist(), skip_special_tokens=False)), len(whole)
 
 
 REPORT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -116,18 +128,18 @@ def conversation_reader(path: str) -> Callable[[Iterator[pa.RecordBatch]], Itera
             done.append((open_key[0], n, turns.hexdigest(), chars, loss.hexdigest(), total))
 
         for b in batches:
-            for conv, ids, loss, n_chars in zip(b["conv_id"], b["ids"], b["loss"], b["n_chars"]):
+            for conv, ids, loss in zip(b["conv_id"], b["ids"], b["loss"]):
                 key = (None if pd.isna(conv) else int(conv),)
                 if key != open_key:
                     if open_key is not None:
                         close()
                     open_key, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text, trained = read_turn(t, size, np.asarray(ids), np.asarray(loss, bool))
+                role, text, trained, n_chars = read_turn(t, size, np.asarray(ids), np.asarray(loss, bool))
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(trained)
                 state[3].update(trained.encode())
-                state[4] += int(n_chars)
+                state[4] += n_chars
             yield _report(done)
             done = []
         if open_key is not None:
@@ -146,4 +158,4 @@ def read_back(turns: DataFrame, path: str) -> DataFrame:
     """One row per conversation, read from the formatted turns. The digest of a conversation is a sequence by nature; a
     task streams through its turns and holds one at a time."""
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "pos")
-    return ordered.select("conv_id", "ids", "loss", "n_chars").mapInPandas(conversation_reader(path), REPORT)
+    return ordered.select("conv_id", "ids", "loss").mapInPandas(conversation_reader(path), REPORT)

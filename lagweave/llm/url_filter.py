@@ -1,8 +1,8 @@
 """URL filter: host-suffix and path-prefix expressions, joined on short hash prefixes, confirmed by full digests.
 
 A rule is a host and the beginning of a path; it fits that host and its subdomains. Every URL expands into each suffix
-of its host with each path prefix of a length that some rule has (their few lengths are read first). Expressions meet rules on the first 32 bits of their
-SHA-256; the full digest and the expression itself then confirm. The longest fitting rule wins, and of equal rules the
+of its host with each path prefix of a length that some rule has (their few lengths are read first). Expressions meet
+rules in an equi-join on the first 32 bits of their SHA-256; the full digest and the expression itself then confirm. The longest fitting rule wins, and of equal rules the
 one whose verdict sorts last (block before allow). Without a fitting rule the default verdict holds.
 
 A null URL, or one without `://`, has an empty host and path and fits nothing but an empty rule. Repeated pages each get
@@ -57,10 +57,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     wide = rows.select("_row", "page_id", "host", "path", F.explode_outer(suffixes(F.col("host"))).alias("_host"), paths.alias("_paths"))
     wide = wide.withColumn("_path", F.explode_outer("_paths"))
     wide = wide.withColumn("_digest", digest(F.col("_host"), F.col("_path")))
-    met = wide.join(
-        keyed, (short(F.col("_digest")) == F.col("r_short")) & (F.col("_digest") == F.col("r_digest"))
-        & (F.col("_host") == F.col("r_host")) & (F.col("_path") == F.col("r_path")), "left")
-    best = F.max(F.when(F.col("r_verdict").isNotNull(), F.struct(
+    # Rules are found by the short hash alone; what it finds is confirmed by the full digest and the expression.
+    met = wide.withColumn("_short", short(F.col("_digest"))).join(keyed, F.col("_short") == F.col("r_short"), "left")
+    confirmed = (F.col("_digest") == F.col("r_digest")) & (F.col("_host") == F.col("r_host")) & (F.col("_path") == F.col("r_path"))
+    best = F.max(F.when(confirmed, F.struct(
         (F.length("r_host") + F.length("r_path")).alias("size"), F.col("r_verdict").alias("verdict"),
         F.concat("r_host", "r_path").alias("rule"))))
     return met.groupBy("_row").agg(
