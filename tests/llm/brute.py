@@ -29,9 +29,8 @@ def shingles(text: str | None, q: int = 3) -> frozenset:
     return frozenset(tuple(w[i:i + q]) for i in range(len(w) - q + 1)) if len(w) >= q else frozenset([tuple(w)] if w else [])
 
 
-def components(docs: list[tuple], percent: int = 90) -> dict:
-    """doc_id -> (shingles, smallest linked id)."""
-    sets = {i: shingles(t) for i, t in docs if i is not None}
+def components_of(sets: dict, percent: int) -> dict:
+    """id -> smallest linked id."""
     root = {i: i for i in sets}
 
     def find(x):
@@ -46,7 +45,13 @@ def components(docs: list[tuple], percent: int = 90) -> dict:
             if x and y and 100 * len(x & y) >= percent * len(x | y):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: find(i) for i in ids}
+
+
+def components(docs: list[tuple], percent: int = 90) -> dict:
+    """doc_id -> (shingles, smallest linked id)."""
+    sets = {i: shingles(t) for i, t in docs if i is not None}
+    return {i: (len(sets[i]), c) for i, c in components_of(sets, percent).items()}
 
 
 def repeats(docs: list[tuple], size: int = 50) -> list[tuple]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lagweave.llm import decontaminate, importance, kernels, license_scan, ngram_join, packing, quality_rules, resharding, suffix_dedup, url_filter
+from lagweave.llm import components, decontaminate, importance, kernels, license_scan, ngram_join, packing, quality_rules, resharding, suffix_dedup, url_filter
 from tests.llm import brute
 
 DOCS = brute.corpus()
@@ -67,6 +67,17 @@ def test_importance_weights_match_counts(spark):
     assert len(w) == 1 << 15
 
 
+def test_importance_ties_and_clashing_columns(spark):
+    """Equal documents have equal keys only if their ids are equal; all rows on the cut are kept."""
+    docs = [(i % 3, "same words here") for i in range(30)]
+    wide = spark.createDataFrame([(i, t, 1.0, "x") for i, t in docs], "doc_id long, text string, log_weight double, kept string")
+    labels = spark.createDataFrame([(0,)], "doc_id long")
+    got = importance.resample(wide, labels, F.lit(True), fraction=0.5).collect()
+    assert len(got) == 30
+    by = {i: {r.asDict().get("kept", r.asDict().get("_kept")) for r in got if r.doc_id == i} for i in range(3)}
+    assert all(len(v) == 1 for v in by.values()) and any(True in v for v in by.values())
+
+
 def test_importance_of_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, q int")
@@ -159,6 +170,15 @@ def test_suffix_sort_orders_by_bytes():
 
 # 5 packing
 
+def test_odd_spaces_and_clashing_columns(spark):
+    docs = [(1, "\xa0".join(["wide", "space"] * 300)), (2, None), (2, "x"), (None, "y")]
+    wide = spark.createDataFrame([(i, t, 1, "s", 2, 3) for i, t in docs], "doc_id long, text string, piece int, length string, sequence_id int, _block int")
+    got = packing.pack_documents(wide, VOCABULARY, capacity=64).collect()
+    want = packing.pack_documents(frame(spark, docs), VOCABULARY, capacity=64).collect()
+    key = lambda r: (str(r.doc_id), r.piece, r.ids_crc32)
+    assert sorted(map(key, got)) == sorted(map(key, want)) and got[0].asDict().keys() == want[0].asDict().keys()
+
+
 def check_packing(placed, capacity, max_docs, max_cost):
     bins = defaultdict(list)
     for r in placed:
@@ -218,6 +238,42 @@ def test_min_cost_flow_moves_the_least():
     assert resharding.min_cost_flow([7], [3, 2]) == [[3, 2]]
 
 
+def test_min_cost_flow_against_every_flow():
+    """All ways to split small shard sizes over the new capacities; none keeps more bytes in place."""
+    rng = np.random.default_rng(12)
+
+    def splits(left, caps):
+        if not left:
+            yield ()
+            return
+        def share(n, room):
+            if len(room) == 1:
+                if n <= room[0]:
+                    yield (n,)
+                return
+            for x in range(min(n, room[0]) + 1):
+                for rest in share(n - x, room[1:]):
+                    yield (x, *rest)
+        for row in share(left[0], caps):
+            for more in splits(left[1:], [c - x for c, x in zip(caps, row)]):
+                yield (row, *more)
+
+    for _ in range(25):
+        old = rng.integers(0, 6, rng.integers(1, 4)).tolist()
+        n = int(rng.integers(1, 4))
+        caps = [sum(old) // n + (j < sum(old) % n) for j in range(n)]
+        flow = resharding.min_cost_flow(old, caps)
+        kept = lambda f: sum(f[i][i] for i in range(min(len(old), n)))
+        assert [sum(r) for r in flow] == old and [sum(r[j] for r in flow) for j in range(n)] == caps
+        assert kept(flow) == max(kept(f) for f in splits(old, caps))
+
+
+def test_resharding_ignores_other_columns(spark):
+    wide = frame(spark, DOCS).withColumns({c: F.lit("x") for c in ("size", "shard", "slot", "old", "_n", "law")})
+    got = resharding.reshard(wide, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)), 4, "rows", rows_per_block=10)
+    assert got.count() == len(DOCS) and got.groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
+
+
 @pytest.mark.parametrize("law", ["bytes", "rows"])
 def test_resharding(spark, law):
     docs = frame(spark, DOCS)
@@ -284,6 +340,42 @@ def test_jaccard_keep_one(spark):
     assert ngram_join.ngram_components(wide.limit(0)).count() == 0
 
 
+def test_jaccard_near_copies_around_the_threshold(spark):
+    """A few hundred copies with so many edits that many pairs lie below the threshold, in two drifting clusters."""
+    rng = __import__("random").Random(8)
+    for q, percent, edits in ((3, 90, 4), (5, 80, 5)):
+        docs = []
+        for cluster in range(2):
+            base = [f"m{k}" for k in range(120)] if cluster == 0 else [f"m{k}" if k % 9 else f"z{k}" for k in range(120)]
+            for i in range(150):
+                w = list(base)
+                for _ in range(rng.randrange(edits)):
+                    w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+                docs.append((1000 * cluster + i, " ".join(w)))
+        sets = {i: brute.shingles(t, q) for i, t in docs}
+        want = brute.components_of(sets, percent)
+        assert len(set(want.values())) > 4
+        got = ngram_join.ngram_components(frame(spark, docs, parts=5), q=q, threshold=(percent, 100)).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_jaccard_many_ids_go_by_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_PAIRS", 3)
+    monkeypatch.setattr(components, "FEW_EDGES", 2)
+    want = brute.components(DOCS)
+    got = ngram_join.ngram_components(frame(spark, DOCS)).collect()
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
+
+
+def test_jaccard_one_id_with_two_texts(spark):
+    texts = [f"{a} " + " ".join(f"{a}{k}" for k in range(60)) for a in "abc"]
+    docs = [(5, texts[0], "x"), (5, texts[1], "y"), (5, texts[1], "z"), (7, texts[2], "x"), (9, texts[2] + " more", "x")]
+    least = spark.createDataFrame(docs, "doc_id long, text string, s string").where("doc_id = 5").orderBy(F.xxhash64("text"), F.xxhash64("doc_id", "text", "s")).first()
+    for parts in (1, 3, 7):
+        got = ngram_join.keep_one(frame(spark, docs, "doc_id long, text string, s string", parts))
+        assert rows(got) == sorted([tuple(least), docs[3]], key=repr)
+
+
 # 8 license scan
 
 def test_license_windows_found(spark):
@@ -307,6 +399,21 @@ def test_license_windows_found(spark):
     assert license_scan.scan(frame(spark, docs), templates=()).count() == 0 == license_scan.scan(spark.createDataFrame([], SCHEMA)).count()
 
 
+def test_license_odd_input(spark):
+    """A very long text, the same notice twice, equal containment of overlapping windows, clashing columns."""
+    rng = __import__("random").Random(3)
+    name, text = license_scan.TEMPLATES[0]
+    long = brute.prose(rng, 40_000) + " " + text + " " + brute.prose(rng, 20)
+    docs = [(1, long), (2, f"{text} {text}"), (2, f"{text} {text}")]
+    wide = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, license string, containment int")
+    got = license_scan.scan(wide).where(F.col("license") == name).collect()
+    assert {r.doc_id for r in got} == {1, 2} and sum(r.doc_id == 1 for r in got) == 1
+    start = len(long[:long.index(text)].encode())
+    assert 0 <= start - next(r for r in got if r.doc_id == 1).byte_start < 20
+    twice = [(r.byte_start, r.byte_end) for r in got if r.doc_id == 2]
+    assert len(twice) % 2 == 0 and sorted(twice) == sorted([t for t in set(twice) for _ in range(2)])
+
+
 def test_license_bands_find_what_brute_force_finds():
     rng = __import__("random").Random(2)
     templates = license_scan.prepare(license_scan.TEMPLATES)
@@ -335,16 +442,25 @@ def test_license_bands_find_what_brute_force_finds():
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog again and again today"), (2, "short item"), (3, None), (4, ""), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "another short item"), (10, "quick brown fox jumps over the lazy dog again and"), (11, "w1"), (12, "... !!")]
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 60])
-def test_contamination(spark, part_bytes):
+@pytest.mark.parametrize("few", [decontaminate.BROADCAST_TEXTS, 0])
+def test_contamination(spark, few):
     rng = __import__("random").Random(4)
     extra = [(200, "x THE Quick, brown fox-jumps over the lazy dog again and again tomorrow"), (201, "a short item here; another short item"), (202, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (203, "alpha beta gamma delta epsilon zeta eta theta iota"), (204, "short"), (205, "é short\x00item ü")]
     docs = DOCS + extra + [(300 + i, brute.prose(rng, 15) + " " + ITEMS[0][1]) for i in range(5)]
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.contamination_report(frame(spark, docs), bench, part_bytes=part_bytes)
+    got = decontaminate.contamination_report(frame(spark, docs), bench, few=few)
     assert rows(got.drop("items")) == sorted(((i, *brute.contamination(t, ITEMS)) for i, t in docs), key=repr)
 
 
+def test_one_benchmark_text_under_many_ids(spark):
+    body = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(i, body) for i in range(500)] + [(1000, "twelve")], "item_id long, text string")
+    docs = [(1, f"x {body} y"), (2, "nothing"), (3, "one two three four five six seven eight nine"), (4, f"{body} {body} twelve")]
+    got = {r.doc_id: r for r in decontaminate.contamination_report(frame(spark, docs), bench).collect()}
+    assert (got[1].n_items, got[1].n_hit) == (500, 11) and got[2].n_items == got[3].n_items == 0
+    assert (got[4].n_items, got[4].n_hit) == (501, 23) and got[4].items == sorted(map(str, [*range(500), 1000]))
+
+
 def test_contamination_keeps_clashing_columns(spark):
     docs = frame(spark, DOCS).withColumns({"spans": F.lit("s"), "ITEMS": F.lit(2), "n_words": F.lit(None).cast("string")})
     out = decontaminate.find_contamination(docs, spark.createDataFrame([], "item_id long, text string"))
