@@ -2,12 +2,14 @@
 
 Every benchmark item gives windows of `n` consecutive words (a shorter item gives one window of all its words). A window
 is a set of shingles of up to three words. Shingles are ordered by rarity, counted over all documents. A document that
-holds a window must hold its rarest shingle, so that one token is the window's join prefix. Where a document shows it,
-the window's place follows from the shingle's offset: it must lie inside the document (length and positional bounds),
-then the hash of all its words must agree, and last the words themselves are compared.
+holds a window must hold its rarest shingle, so that one token is the window's join prefix.
 
-The benchmark's windows are dealt to parts of bounded size (`part_bytes` of item text); each part is shipped to the
-tasks, and documents pass through one part after another, so neither side has a size limit.
+Windows, shingle counts and prefixes are tables made by tasks; equal texts of the benchmark are one text, whose item ids
+are joined back at the end. Documents are passed twice, once to count the benchmark's shingles and once to find prefix
+tokens; a bitmap of fixed size thins what leaves a task, and equi-joins decide. A document's match travels with the words
+around it, so the join can check the bounds (the window's place, given by the token's offset, must lie inside the
+document) and compare all words of the window. Matches are kept by the digest of their text, so copies of a document
+are one match.
 
 Null documents have no words and are clean; null items have no windows; an item without id is listed as "". Repeated
 documents and items are ordinary. All input columns are kept; `n_words`, `spans`, `items` are renamed with leading
@@ -16,20 +18,26 @@ underscores where they would clash. An empty benchmark leaves everything clean.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lagweave.core.session import cut_lineage
 from lagweave.llm import kernels as K
+from lagweave.llm import sketches
 from lagweave.llm.common import scratch
 
 WINDOW, SHINGLE = 10, 3
-PART_BYTES = 8 << 20
+BITMAP = 1 << 23
+# Documents with matches up to which the matches go to the documents as a broadcast.
+BROADCAST_TEXTS = 100_000
+# Fixed value: the words of the contract before their letters are lower-cased.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,184 +55,155 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return K.mixed(total)
 
 
-@dataclass
-class Windows:
-    """Distinct windows of a part of the benchmark."""
-
-    words: list[bytes]
-    length: np.ndarray
-    whole: np.ndarray
-    items: list[list[str]]
-    shingles: list[np.ndarray]
-
-
-def benchmark_windows(ids: list, texts: list[str | None], n: int = WINDOW, q: int = SHINGLE) -> Windows:
-    low, starts, ends, bounds, h = _words(*K.text_bytes(pa.array(texts, pa.string())))
-    low = low.tobytes()
-    at: dict[bytes, int] = {}
-    out = Windows([], np.zeros(0, np.int64), np.zeros(0, np.uint64), [], [])
-    length, whole = [], []
-    for i, item in enumerate(ids):
-        a, b = int(bounds[i]), int(bounds[i + 1])
-        m = min(n, b - a)
-        for s in range(a, b - m + 1) if m else ():
-            key = b" ".join(low[starts[k]:ends[k]] for k in range(s, s + m))
-            w = at.setdefault(key, len(at))
-            if w == len(out.words):
-                out.words.append(key)
-                out.items.append([])
-                length.append(m)
-                whole.append(run_hashes(h[s:s + m], m)[0])
-                out.shingles.append(run_hashes(h[s:s + m], min(q, m)))
-            name = "" if item is None else str(item)
-            if name not in out.items[w]:
-                out.items[w].append(name)
-    out.length, out.whole = np.array(length, np.int64), np.array(whole, np.uint64)
-    return out
-
-
-def _shingle_sets(w: Windows, q: int) -> dict[int, np.ndarray]:
-    """Distinct shingles of all windows by their number of words."""
-    out: dict[int, list] = {}
-    for m, s in zip(np.minimum(w.length, q).tolist(), w.shingles):
-        out.setdefault(m, []).append(s)
-    return {m: np.unique(np.concatenate(s)) for m, s in out.items()}
-
-
-def counter(text: str, sets: dict[int, np.ndarray]) -> Callable:
-    """Task function: how often each benchmark shingle stands in the task's documents."""
+def _joined(low: bytes, starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> str:
+    return b" ".join(low[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())).decode()
+
+
+def window_maker(n: int, q: int) -> Callable:
+    """Task function over (text_id, text): the distinct windows of each text with their shingles' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {m: np.zeros(len(s), np.int64) for m, s in sets.items()}
         for batch in batches:
-            for _, data, offsets in K.text_slices(batch, text):
+            for rows, data, offsets in K.text_slices(batch, "text"):
+                low, starts, ends, bounds, h = _words(data, offsets)
+                low, out = low.tobytes(), []
+                for i, name in enumerate(rows.column(0).to_pylist()):
+                    a, b = int(bounds[i]), int(bounds[i + 1])
+                    m, seen = min(n, b - a), set()
+                    for s in range(a, b - m + 1) if m else ():
+                        words = _joined(low, starts, ends, s, s + m)
+                        if words not in seen:
+                            seen.add(words)
+                            out.append((name, words, m, min(q, m), run_hashes(h[s:s + m], min(q, m)).view(np.int64).tolist()))
+                columns = zip(*out) if out else ([],) * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())))],
+                    names=["text_id", "window", "m", "size", "shingles"])
+
+    return run
+
+
+def _bits(tokens: np.ndarray) -> np.ndarray:
+    return K.mixed(tokens).astype(np.int64) & (BITMAP - 1)
+
+
+def token_marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function over (token): bitmap of the tokens."""
+    bits = np.zeros(BITMAP, bool)
+    for b in batches:
+        bits[_bits(b.column(0).to_numpy().view(np.uint64))] = True
+    yield sketches.send(np.packbits(bits), TaskContext.get().partitionId())
+
+
+def _bitmap(tokens: DataFrame) -> np.ndarray:
+    return sketches.gather(tokens.mapInArrow(token_marker, sketches.SCHEMA), BITMAP // 8, "uint8", np.bitwise_or)
+
+
+def counter(bitmap: np.ndarray, sizes: list[int]) -> Callable:
+    """Task function over (text): how often each shingle that the bitmap has stands in the task's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(bitmap).astype(bool)
+        for batch in batches:
+            for _, data, offsets in K.text_slices(batch, "text"):
                 h = _words(data, offsets)[4]
-                for m, keys in sets.items():
-                    g = run_hashes(h, m)
-                    at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                    totals[m] += np.bincount(at[keys[at] == g], minlength=len(keys))
-        for m, t in totals.items():
-            i = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), m, np.int32)), pa.array(i), pa.array(t[i])], names=["m", "i", "n"])
+                found = [g[bits[_bits(g)]] for g in (run_hashes(h, m) for m in sizes)]
+                token, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
     return run
 
 
-@dataclass
-class Prefixes:
-    """By shingle length: sorted prefix tokens with the windows that wait for them."""
-
-    m: int
-    token: np.ndarray
-    offset: np.ndarray
-    window: np.ndarray
-
-
-def rarest(w: Windows, sets: dict[int, np.ndarray], counts: dict[int, np.ndarray], q: int) -> list[Prefixes]:
-    rows: dict[int, list[tuple[int, int, int]]] = {}
-    for k, (m, s) in enumerate(zip(np.minimum(w.length, q).tolist(), w.shingles)):
-        n = counts[m][np.searchsorted(sets[m], s)]
-        o = int(np.lexsort((s, n))[0])
-        rows.setdefault(m, []).append((int(s[o]), o, k))
-    out = []
-    for m, r in rows.items():
-        r.sort()
-        out.append(Prefixes(m, np.array([x[0] for x in r], np.uint64), np.array([x[1] for x in r]), np.array([x[2] for x in r])))
-    return out
-
-
-def _find(low: bytes, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, h: np.ndarray, w: Windows, prefixes: list[Prefixes]) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, window) of every occurrence."""
-    found_at, found_w = [], []
-    for p in prefixes:
-        g = run_hashes(h, p.m)
-        lo = np.searchsorted(p.token, g, "left")
-        near = np.flatnonzero(p.token[np.minimum(lo, len(p.token) - 1)] == g)
-        if not len(near):
-            continue
-        lo = lo[near]
-        many = np.searchsorted(p.token, g[near], "right") - lo
-        entry = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-        first = np.repeat(near, many) - p.offset[entry]
-        win = p.window[entry]
-        doc = np.searchsorted(bounds, np.repeat(near, many), "right") - 1
-        fits = (first >= bounds[doc]) & (first + w.length[win] <= bounds[doc + 1])
-        first, win = first[fits], win[fits]
-        for m in np.unique(w.length[win]).tolist():
-            one = np.flatnonzero(w.length[win] == m)
-            same = one[run_hashes(h, m)[first[one]] == w.whole[win[one]]]
-            for a, k in zip(first[same].tolist(), win[same].tolist()):
-                if b" ".join(low[x:y] for x, y in zip(starts[a:a + m].tolist(), ends[a:a + m].tolist())) == w.words[k]:
-                    found_at.append(a)
-                    found_w.append(k)
-    return np.array(found_at, np.int64), np.array(found_w, np.int64)
-
-
-def _merged(spans: np.ndarray) -> np.ndarray:
-    """Maximal runs of (start, end) rows."""
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(spans[:, 1])
-    new = np.ones(len(spans), bool)
-    new[1:] = spans[1:, 0] > reach[:-1]
-    return np.stack([spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]], 1)
-
-
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-
-def finder(text: str, w: Windows, prefixes: list[Prefixes], names: tuple[str, str, str], more: bool) -> Callable:
-    """Task function: adds (or widens) word count, hit word spans and item ids of each document."""
-    n_words, spans_col, items_col = names
+def finder(bitmap: np.ndarray, sizes: list[int], n: int) -> Callable:
+    """Task function over (text): the places of tokens that the bitmap has, each with up to n - 1 words before it and n
+    words from it on. A text that the task has met before is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(bitmap).astype(bool)
+        met: set[bytes] = set()
         for batch in batches:
-            for rows, data, offsets in K.text_slices(batch, text):
+            for _, data, offsets in K.text_slices(batch, "text"):
                 low, starts, ends, bounds, h = _words(data, offsets)
-                at, win = _find(low.tobytes(), starts, ends, bounds, h, w, prefixes)
-                doc = np.searchsorted(bounds, at, "right") - 1
-                hit: dict[int, list] = {}
-                for d, a, k in zip(doc.tolist(), at.tolist(), win.tolist()):
-                    hit.setdefault(d, []).append((a - int(bounds[d]), k))
-                kept = rows.select([c for c in rows.schema.names if c not in names])
-                spans = rows.column(rows.schema.get_field_index(spans_col)).to_pylist() if more else [[] for _ in range(rows.num_rows)]
-                items = rows.column(rows.schema.get_field_index(items_col)).to_pylist() if more else [[] for _ in range(rows.num_rows)]
-                for d, found in hit.items():
-                    wide = [(x["start"], x["end"]) for x in spans[d]] + [(a, a + int(w.length[k])) for a, k in found]
-                    spans[d] = [{"start": a, "end": b} for a, b in _merged(np.array(wide, np.int64)).tolist()]
-                    items[d] = sorted({*items[d], *(i for _, k in found for i in w.items[k])})
+                raw, out = low.tobytes(), []
+                keys: dict[int, bytes | None] = {}
+                for m in sizes:
+                    g = run_hashes(h, m)
+                    near = np.flatnonzero(bits[_bits(g)])
+                    doc = np.searchsorted(bounds, near, "right") - 1
+                    inside = near + m <= bounds[doc + 1]
+                    for at, d, token in zip(near[inside].tolist(), doc[inside].tolist(), g[near[inside]].view(np.int64).tolist()):
+                        if d not in keys:
+                            key = hashlib.md5(data[offsets[d]:offsets[d + 1]].tobytes(), usedforsecurity=False).digest()
+                            keys[d] = None if key in met else key
+                            met.add(key)
+                        if keys[d] is not None:
+                            a, b = max(int(bounds[d]), at - n + 1), min(int(bounds[d + 1]), at + n)
+                            out.append((keys[d], token, at - int(bounds[d]), at - a, _joined(raw, starts, ends, a, b)))
+                columns = zip(*out) if out else ([],) * 5
                 yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array(np.diff(bounds), pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
-                    names=[*kept.schema.names, *names])
+                    [pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string()))],
+                    names=["key", "token", "at", "left", "context"])
 
     return run
 
 
+def _merged(spans: Column) -> Column:
+    """Maximal runs of sorted (start, end) structs."""
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))
+    return F.aggregate(spans, F.slice(spans, 1, 1), lambda acc, s: F.when(s["start"] <= last(acc)["end"], grown(acc, s)).otherwise(F.concat(acc, F.array(s))))
+
+
+SPANS = "array<struct<start: bigint, end: bigint>>"
+
+
+def matches(texts: DataFrame, benchmark: DataFrame, n: int = WINDOW, q: int = SHINGLE) -> DataFrame | None:
+    """key (MD5 of the text), spans, items of every distinct text with a window. texts(text), benchmark(id, t). None if the
+    benchmark has no window."""
+    named = cut_lineage(benchmark.select(F.coalesce("id", F.lit("")).alias("id"), F.sha2("t", 256).alias("text_id"), "t").distinct())
+    bodies = named.groupBy("text_id").agg(F.first("t").alias("text"))
+    made = cut_lineage(bodies.mapInArrow(window_maker(n, q), "text_id string, window string, m int, size int, shingles array<long>"))
+    sizes = sorted(r["size"] for r in made.select("size").distinct().collect())
+    if not sizes:
+        return None
+    windows = made.groupBy("window").agg(F.first("m").alias("m"), F.first("shingles").alias("shingles"))
+    each = cut_lineage(windows.select("window", "m", F.posexplode("shingles").alias("offset", "token")))
+    rows = texts.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    counted = rows.mapInArrow(counter(_bitmap(each.select("token")), sizes), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    ranked = each.join(counted, "token", "left").groupBy("window", "m").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("r"))
+    # A window whose rarest shingle stands nowhere cannot occur.
+    prefixes = cut_lineage(ranked.where("r.n > 0").select("window", "m", "r.token", "r.offset"))
+    found = rows.mapInArrow(finder(_bitmap(prefixes.select("token")), sizes, n), "key binary, token long, at long, left int, context string")
+    words = F.slice(F.split("context", " "), F.col("left") - F.col("offset") + 1, F.col("m"))
+    hits = found.join(prefixes, "token").where(F.col("left") >= F.col("offset")).where(F.array_join(words, " ") == F.col("window")).select(
+        "key", (F.col("at") - F.col("offset")).alias("start"), (F.col("at") - F.col("offset") + F.col("m")).cast("long").alias("end"), "window")
+    hits = cut_lineage(hits.distinct())
+    spans = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s")).select("key", _merged(F.col("s")).alias("spans"))
+    items = hits.select("key", "window").distinct().join(made.select("window", "text_id"), "window").select("key", "text_id").distinct().join(
+        named.select("text_id", "id"), "text_id").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    return cut_lineage(spans.join(items, "key"))
+
+
 def added_names(docs: DataFrame) -> list[str]:
     """Names of the three columns that `find_contamination` adds to these documents."""
     return scratch(docs, "n_words", "spans", "items")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                       n: int = WINDOW, q: int = SHINGLE, part_bytes: int = PART_BYTES) -> DataFrame:
+                       n: int = WINDOW, q: int = SHINGLE, few: int = BROADCAST_TEXTS) -> DataFrame:
     """All rows and columns of `docs` with n_words, spans (hit words, end exclusive, merged) and items (sorted ids)."""
-    names = tuple(added_names(docs))
+    n_words, spans, items = added_names(docs)
+    key, found_key = scratch(docs, "_key", "_found")
     bench = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t")).where("t is not null")
-    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(
-        names[1], T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField(names[2], T.ArrayType(T.StringType()))])
-    out = docs
-    for k in range(parts):
-        rows = bench.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).distinct().orderBy("t", "id").collect()
-        w = benchmark_windows([r["id"] for r in rows], [r["t"] for r in rows], n, q)
-        sets = _shingle_sets(w, q)
-        counts = {m: np.zeros(len(s), np.int64) for m, s in sets.items()}
-        if sets:
-            for r in docs.select(text).mapInArrow(counter(text, sets), "m int, i long, n long").groupBy("m", "i").agg(F.sum("n").alias("n")).collect():
-                counts[r["m"]][r["i"]] = r["n"]
-        out = out.mapInArrow(finder(text, w, rarest(w, sets, counts, q), names, k > 0), schema)
-    return out
+    hit = matches(docs.select(F.col(text).alias("text")), bench, n, q)
+    counted = docs.withColumn(n_words, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS)).cast("long"))
+    none = {spans: F.from_json(F.lit("[]"), SPANS), items: F.array().cast("array<string>")}
+    if hit is None:
+        return counted.withColumns(none)
+    hit = hit.select(F.col("key").alias(found_key), F.col("spans").alias(spans), F.col("items").alias(items))
+    keyed = counted.withColumn(key, F.unhex(F.md5(F.col(text).cast("binary"))))
+    met = keyed.join(F.broadcast(hit) if hit.count() <= few else hit, F.col(key) == F.col(found_key), "left")
+    return met.select(*docs.columns, n_words, *[F.coalesce(c, v).alias(c) for c, v in none.items()])
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
