@@ -185,6 +185,17 @@ def a23(spark, d):
     return rounded(O.stage_report({"readiness": a, "network": b, "impact": c}))
 
 
+@query("A23_cycle_progression", """WITH t AS (SELECT c_nationkey profile_id, year(o_orderdate) AS "cycle", count(*) FILTER (o_orderstatus = 'F') n_targets, count(*) FILTER (o_orderstatus = 'O') n_predictors, count(*) FILTER (o_orderpriority LIKE '1%') n_barriers FROM orders JOIN customer ON o_custkey = c_custkey WHERE (o_custkey + year(o_orderdate)) % 4 <> 0 GROUP BY ALL),
+k AS (SELECT *, lag("cycle") OVER w previous, row_number() OVER w n FROM t WINDOW w AS (PARTITION BY profile_id ORDER BY "cycle")) SELECT profile_id, "cycle", n cycle_number, coalesce("cycle" - previous - 1, 0) n_skipped, n_targets, n_predictors, n_barriers,
+n_targets - coalesce(lag(n_targets) OVER w, 0) new_targets, sum(n_predictors) OVER (PARTITION BY profile_id ORDER BY "cycle") predictors_so_far, count(*) OVER (PARTITION BY profile_id) n_cycles FROM k WINDOW w AS (PARTITION BY profile_id ORDER BY "cycle")""")
+def a23c(spark, d):
+    o = table(spark, d, "orders").withColumn("cycle", F.year("o_orderdate")).where((F.col("o_custkey") + F.col("cycle")) % 4 != 0)
+    rows = o.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("profile_id")), "o_custkey")
+    counts = rows.groupBy("profile_id", "cycle").agg(
+        F.count_if(F.col("o_orderstatus") == "F").alias("n_targets"), F.count_if(F.col("o_orderstatus") == "O").alias("n_predictors"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("n_barriers"))
+    return O.cycle_progression(counts)
+
+
 @query("A25_evidence_bundle", f"""WITH {CAND}, t AS (SELECT profile_id, path, score, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, path) r, row_number() OVER (PARTITION BY profile_id ORDER BY score, path) q FROM cd), u AS (SELECT profile_id, path, -score s, q FROM t)
 SELECT profile_id, string_agg(path, '|' ORDER BY r) FILTER (r <= 12) importance, (SELECT string_agg(path, '|' ORDER BY q) FROM u WHERE u.profile_id = t.profile_id AND q <= 12) dependence, string_agg(path, '|' ORDER BY r) FILTER (r <= 30) relevance FROM t GROUP BY 1""")
 def a25(spark, d):
@@ -197,8 +208,11 @@ def a25(spark, d):
 # Sources and sinks write and read back files in a scratch folder, then must return the given rows.
 @query("S01_scan_delimited", "SELECT CAST(o_orderkey AS VARCHAR) o_orderkey, o_orderpriority, CAST(o_custkey AS VARCHAR) o_custkey FROM orders")
 def s01(spark, d):
+    """Files of three separators in one folder."""
     path = I.scratch_dir(spark)
-    table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey").write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    for k, sep in enumerate((";", "\t", ",")):
+        rows.where(F.col("o_orderkey") % 3 == k).write.option("sep", sep).option("header", True).csv(f"{path}/{k}")
     return I.scan_delimited(spark, path)
 
 
@@ -206,7 +220,8 @@ def s01(spark, d):
 def s02(spark, d):
     path = I.scratch_dir(spark)
     s = table(spark, d, "supplier").withColumn("folder", F.concat(F.lit("n"), "s_nationkey"))
-    s.select("folder", "s_suppkey", "s_name").write.mode("overwrite").partitionBy("folder").option("header", True).csv(path)
+    for even, sep in ((0, ","), (1, "|")):
+        s.where(F.col("s_nationkey") % 2 == even).select("folder", "s_suppkey", "s_name").write.mode("append").partitionBy("folder").option("sep", sep).option("header", True).csv(path)
     return I.scan_profiles(spark, path, "*.csv", "n1", 7).select(F.regexp_replace("profile_id", "^folder=", "").alias("profile_id"), "s_suppkey", "s_name")
 
 
@@ -362,6 +377,24 @@ def p10(spark, d):
     return I.validate_model(v.union(twice), e, design)
 
 
+GRID = """v AS (SELECT DISTINCT 'm' || o_custkey % 50 model_id, 'P' || o_orderkey % 9 var_id, 'PREDICTOR' "role" FROM orders UNION SELECT 'm' || o_custkey % 50, 'C' || o_orderstatus, 'Criterion' FROM orders UNION SELECT 'm1', ' ', 'PREDICTOR'),
+e AS (SELECT 'm' || o_custkey % 50 model_id, 'P' || o_orderkey % 9 source, CASE o_orderkey % 3 WHEN 0 THEN 'P' || o_custkey % 7 ELSE 'C' || o_orderstatus END target FROM orders UNION ALL SELECT 'm' || o_custkey % 50, 'C' || o_orderstatus, 'C' || substr('FOP', CAST(o_orderkey % 3 + 1 AS INT), 1) FROM orders WHERE o_custkey % 5 = 0)"""
+
+
+@query("P10_model_grid", f"""WITH {GRID}, d AS (SELECT DISTINCT model_id, var_id, upper("role"[1]) r FROM v WHERE trim(var_id) <> ''), s AS (SELECT model_id, count(*) FILTER (r = 'P') p, count(*) FILTER (r = 'C') c FROM d GROUP BY 1),
+k AS (SELECT e.model_id, a.r || b.r kind, count(*) n FROM (SELECT DISTINCT * FROM e WHERE source <> target) e JOIN d a ON a.model_id = e.model_id AND a.var_id = source JOIN d b ON b.model_id = e.model_id AND b.var_id = target GROUP BY ALL),
+x AS (SELECT model_id, unnest(['PC', 'PP', 'CC']) kind, unnest([p * c, p * (p - 1), c * (c - 1)]) n_expected FROM s) SELECT model_id, kind, n_expected, coalesce(n, 0) n_present, n_expected - coalesce(n, 0) n_missing FROM x LEFT JOIN k USING (model_id, kind)""")
+def p10g(spark, d):
+    o = table(spark, d, "orders").withColumn("model_id", F.concat(F.lit("m"), F.col("o_custkey") % 50))
+    p, c = F.concat(F.lit("P"), F.col("o_orderkey") % 9), F.concat(F.lit("C"), "o_orderstatus")
+    blank = spark.createDataFrame([("m1", " ", "PREDICTOR")], "model_id string, var_id string, role string")
+    v = o.select("model_id", p.alias("var_id"), F.lit("PREDICTOR").alias("role")).union(o.select("model_id", c, F.lit("Criterion"))).union(blank)
+    to = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("P"), F.col("o_custkey") % 7)).otherwise(c)
+    other = F.concat(F.lit("C"), F.element_at(F.array(*map(F.lit, "FOP")), (F.col("o_orderkey") % 3 + 1).cast("int")))
+    e = o.select("model_id", p.alias("source"), to.alias("target")).union(o.where("o_custkey % 5 = 0").select("model_id", c, other))
+    return I.model_grid(v, e)
+
+
 @query("P13_design_coherence", """WITH b AS (SELECT c_custkey, greatest(7, c_custkey % 30) sd, greatest(1, c_custkey % 4) pp, c_custkey % 5 = 0 di, CASE WHEN c_custkey % 3 = 0 THEN 45 END mt FROM customer), c AS (SELECT *, di OR sd * pp + CASE WHEN di THEN sd ELSE 0 END < 30 d2 FROM b), e AS (SELECT *, CASE WHEN sd * pp + CASE WHEN d2 THEN sd ELSE 0 END < 30 THEN greatest(pp, ceil((30 - sd) / sd)) ELSE pp END p2 FROM c)
 SELECT c_custkey, CAST(sd AS INT) study_days, CAST(p2 AS INT) prompts_per_day, d2 diary, CAST(sd * p2 AS INT) expected_prompts, CAST(CASE WHEN d2 THEN sd ELSE 0 END AS INT) expected_entries, CAST(least(sd * p2 + CASE WHEN d2 THEN sd ELSE 0 END, greatest(30, coalesce(mt, 30))) AS INT) minimum_target, CAST(sd * p2 + CASE WHEN d2 THEN sd ELSE 0 END AS INT) total_observations FROM e""")
 def p13(spark, d):

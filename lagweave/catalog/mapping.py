@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.catalog import fragments as S
+from lagweave.core.session import cut_lineage
 from lagweave.catalog.registry import joined, query, rounded
 from lagweave.operators import mapping as G
 from lagweave.operators import tests as H
@@ -206,6 +207,13 @@ def h06s(spark, d):
     return rounded(H.sign_flip_test(diffs_of(spark, d)))
 
 
+@query("H06_paired_fallback", f"""{DIFFS} SELECT a, b, n_blocks, round(md, 6) mean_diff, round(p, 6) p_raw, 'signed_rank' AS "method" FROM wp UNION ALL SELECT 'BIO', 'BIO', n_blocks, 0.0, 1.0, 'sign_flip' FROM wp WHERE b = 'PSYCHO'""")
+def h06f(spark, d):
+    """A domain beside itself has no spread of ranks, so its p comes from permutations."""
+    diffs = H.paired_differences(primary_means(spark, d), "cluster_id", "primary", "cluster_mean_score", [*DOMAIN_PAIRS, ("BIO", "BIO")])
+    return rounded(H.paired_test(cut_lineage(diffs), 2000).select("a", "b", "n_blocks", "mean_diff", "p_raw", "method"))
+
+
 @query("H07_holm", f"""{DIFFS}, hp AS (SELECT a, b, p, (count(*) OVER () - row_number() OVER (ORDER BY p, a, b) + 1) * p v FROM wp WHERE p IS NOT NULL)
 SELECT a, b, round(p, 6) p_raw, round(least(1.0, max(v) OVER (ORDER BY p, a, b)), 6) p_holm FROM hp""")
 def h07(spark, d):

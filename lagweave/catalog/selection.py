@@ -330,7 +330,7 @@ m AS (SELECT *, prev > 0.6 AND im < 0.2 cl, least(1, 0.45 * im + 0.25 * prev + 0
 SELECT profile_id, path, round(fm, 6) fused_mean, round(st, 6) stability_bonus, round(mf, 6) memory_score, cl contradiction, round(least(1, 0.65 * fm + 0.35 * mf), 6) final_score FROM n""")
 def c13(spark, d):
     f, imp = fused(spark, d)
-    ranked = Z.rank_fused(f, imp, 100_000)
+    ranked = Z.rank_fused(f, imp, None)
     prev = mapping_rows(spark, d)[1].select("profile_id", "path", (F.col("score") * 0.9).alias("previous_score"))
     return rounded(Z.memory_fusion(ranked, prev).select("profile_id", "path", "fused_mean", "stability_bonus", "memory_score", "contradiction", "final_score"))
 
@@ -392,8 +392,20 @@ def texts_of(spark, d):
 
 
 TOKS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) > 1))"
-TSCORE = f"""{CONTR}, {TEXTS}, tk AS (SELECT profile_id, txt, {TOKS.format('txt')} t FROM tx), en AS (SELECT predictor_path, {TOKS.format('predictor_path')} e FROM (SELECT DISTINCT predictor_path FROM bm)), al AS (SELECT profile_id, barrier, max(CASE WHEN trim(txt) = '' THEN 0.3 * score ELSE score * (0.25 + 0.75 * CASE WHEN len(t) > 0 AND len(e) > 0 THEN len(list_intersect(t, e)) / (len(t) + len(e) - len(list_intersect(t, e))) ELSE 0 END) END) s, max(CASE WHEN trim(txt) <> '' AND len(list_intersect(t, e)) > 0 THEN 1 ELSE 0 END) h FROM tk, bm JOIN en USING (predictor_path) GROUP BY ALL),
-ts AS (SELECT profile_id, barrier, round(s, 9) score FROM al)"""
+def text_scores_sql(texts: str, out: str) -> str:
+    """Barrier scores of the texts (profile_id, txt) in a CTE."""
+    return f"""{out}_k AS (SELECT profile_id, txt, {TOKS.format('txt')} t FROM {texts}), {out}_e AS (SELECT predictor_path, {TOKS.format('predictor_path')} e FROM (SELECT DISTINCT predictor_path FROM bm)), {out}_a AS (SELECT profile_id, barrier, max(CASE WHEN trim(txt) = '' THEN 0.3 * score ELSE score * (0.25 + 0.75 * CASE WHEN len(t) > 0 AND len(e) > 0 THEN len(list_intersect(t, e)) / (len(t) + len(e) - len(list_intersect(t, e))) ELSE 0 END) END) s FROM {out}_k, bm JOIN {out}_e USING (predictor_path) GROUP BY ALL),
+{out} AS (SELECT profile_id, barrier, round(s, 9) score FROM {out}_a)"""
+
+
+CONTEXTS = "cx AS (SELECT 'n' || n_nationkey profile_id, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE lower(r_name) || ' psycho brand ' || n_nationkey END txt FROM nation JOIN region ON n_regionkey = r_regionkey)"
+TSCORE = f"{CONTR}, {TEXTS}, {text_scores_sql('tx', 'ts')}, {CONTEXTS}, {text_scores_sql('cx', 'cs')}, tk AS (SELECT * FROM ts_k)"
+
+
+def contexts_of(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    body = F.concat(F.lower("r_name"), F.lit(" psycho brand "), "n_nationkey")
+    return n.select(F.concat(F.lit("n"), "n_nationkey").alias("profile_id"), F.when(F.col("n_nationkey") % 4 == 0, "").otherwise(body).alias("text"))
 
 
 @query("C15_text_barrier_scores", f"WITH {TSCORE} SELECT profile_id, barrier, round(score, 6) score FROM ts")
@@ -401,7 +413,7 @@ def c15t(spark, d):
     return rounded(Z.text_barrier_scores(texts_of(spark, d), barrier_map(spark, d).withColumnRenamed("predictor_path", "entity")))
 
 
-COMB = f"""{TSCORE}, pe AS (SELECT profile_id, barrier, max(contribution) p FROM bt GROUP BY ALL), ev AS (SELECT profile_id, barrier, coalesce(p, 0) ps, coalesce(score, 0) xs FROM pe FULL JOIN ts USING (profile_id, barrier)), cb AS (SELECT profile_id, barrier, round(least(1, 0.60 * ps + 0.20 * xs + 0.05 * coalesce(CASE WHEN len(t) > 0 THEN len(list_intersect(t, {TOKS.format('barrier')})) / (len(t) + len({TOKS.format('barrier')}) - len(list_intersect(t, {TOKS.format('barrier')}))) ELSE 0 END, 0)), 9) total FROM ev LEFT JOIN tk USING (profile_id)),
+COMB = f"""{TSCORE}, pe AS (SELECT profile_id, barrier, max(contribution) p FROM bt GROUP BY ALL), ev AS (SELECT profile_id, barrier, coalesce(p, 0) ps, coalesce(ts.score, 0) xs, coalesce(cs.score, 0) qs FROM pe FULL JOIN ts USING (profile_id, barrier) FULL JOIN cs USING (profile_id, barrier)), cb AS (SELECT profile_id, barrier, round(least(1, 0.60 * ps + 0.20 * xs + 0.15 * qs + 0.05 * coalesce(CASE WHEN len(t) > 0 THEN len(list_intersect(t, {TOKS.format('barrier')})) / (len(t) + len({TOKS.format('barrier')}) - len(list_intersect(t, {TOKS.format('barrier')}))) ELSE 0 END, 0)), 9) total FROM ev LEFT JOIN tk USING (profile_id)),
 tb AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY total DESC, barrier) AS rank FROM cb QUALIFY rank <= 8)"""
 
 
@@ -409,7 +421,8 @@ def combined(spark, d):
     bars = cut_lineage(Z.barrier_scores(targets_of(spark, d), barrier_map(spark, d), 10))
     pred = bars.groupBy("profile_id", "barrier").agg(F.max("contribution").alias("predictor_score"))
     text = Z.text_barrier_scores(texts_of(spark, d), barrier_map(spark, d).withColumnRenamed("predictor_path", "entity")).withColumnRenamed("score", "profile_score")
-    ev = pred.join(text, ["profile_id", "barrier"], "full_outer").withColumn("context_score", F.lit(0.0))
+    context = Z.text_barrier_scores(contexts_of(spark, d), barrier_map(spark, d).withColumnRenamed("predictor_path", "entity")).withColumnRenamed("score", "context_score")
+    ev = pred.join(text, ["profile_id", "barrier"], "full_outer").join(context, ["profile_id", "barrier"], "full_outer")
     return Z.combine_barriers(ev, texts_of(spark, d), 8)
 
 

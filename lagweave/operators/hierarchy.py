@@ -232,6 +232,18 @@ def stage_report(stages: dict[str, DataFrame]) -> DataFrame:
     return out.fillna(0, flags).withColumn("completeness", sum(F.col(f) for f in flags) / len(flags))
 
 
+def cycle_progression(counts: DataFrame) -> DataFrame:
+    """counts(profile_id, cycle, n_targets, n_predictors, n_barriers): each cycle with its number, the cycles skipped since
+    the one before, what its targets added, predictors so far and the profile's number of cycles. A profile's cycles are
+    a short ordered list."""
+    w = W.partitionBy("profile_id").orderBy("cycle")
+    before = F.lag("cycle").over(w)
+    return counts.select(
+        "profile_id", "cycle", F.row_number().over(w).alias("cycle_number"), F.coalesce(F.col("cycle") - before - 1, F.lit(0)).alias("n_skipped"),
+        "n_targets", "n_predictors", "n_barriers", (F.col("n_targets") - F.coalesce(F.lag("n_targets").over(w), F.lit(0))).alias("new_targets"),
+        F.sum("n_predictors").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("predictors_so_far"), F.count(F.lit(1)).over(W.partitionBy("profile_id")).alias("n_cycles"))
+
+
 def evidence_bundle(importance: DataFrame, dependence: DataFrame, relevance: DataFrame, k: int = 12, r: int = 30) -> DataFrame:
     """Best rows of each evidence table per profile as nested arrays (bounded by k and r)."""
     def top(df: DataFrame, item: str, value: str, n: int, name: str) -> DataFrame:

@@ -197,7 +197,7 @@ def weighted_suitability(scores: DataFrame, weights: DataFrame, entity: str) ->
 
     weights(dimension, module, feature, w_feature, w_module, w_dimension).
     """
-    risk = scores.where(F.col("score").isNotNull()).join(F.broadcast(weights), ["dimension", "module", "feature"]).withColumn("risk", (F.greatest(F.lit(1.0), F.least(F.lit(9.0), F.col("score"))) - 1) / 8)
+    risk = scores.where(F.col("score").isNotNull()).join(weights, ["dimension", "module", "feature"]).withColumn("risk", (F.greatest(F.lit(1.0), F.least(F.lit(9.0), F.col("score"))) - 1) / 8)
     mean = lambda v, w: F.sum(F.col(w) * F.col(v)) / F.sum(w)
     modules = risk.groupBy(entity, "dimension", "module").agg(mean("risk", "w_feature").alias("module_risk"), F.max("w_module").alias("w_module"), F.max("w_dimension").alias("w_dimension"))
     dims = modules.groupBy(entity, "dimension").agg(mean("module_risk", "w_module").alias("dimension_risk"), F.min("module_risk").alias("best_module_risk"), F.max("w_dimension").alias("w_dimension"))
@@ -206,7 +206,7 @@ def weighted_suitability(scores: DataFrame, weights: DataFrame, entity: str) ->
 
 def risk_contributions(scores: DataFrame, weights: DataFrame, entity: str) -> DataFrame:
     """Normalized weight product times risk per leaf feature."""
-    j = scores.where(F.col("score").isNotNull()).join(F.broadcast(weights), ["dimension", "module", "feature"]).withColumn("risk", (F.greatest(F.lit(1.0), F.least(F.lit(9.0), F.col("score"))) - 1) / 8)
+    j = scores.where(F.col("score").isNotNull()).join(weights, ["dimension", "module", "feature"]).withColumn("risk", (F.greatest(F.lit(1.0), F.least(F.lit(9.0), F.col("score"))) - 1) / 8)
     over = lambda w, *k: F.col(w) / F.sum(w).over(W.partitionBy(entity, *k))
     m = j.groupBy(entity, "dimension", "module").agg(F.max("w_module").alias("w_module"), F.max("w_dimension").alias("w_dimension"))
     d = m.groupBy(entity, "dimension").agg(F.max("w_dimension").alias("w_dimension")).withColumn("nd", over("w_dimension")).drop("w_dimension")

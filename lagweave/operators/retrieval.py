@@ -24,7 +24,7 @@ WEIGHTS = {"emb": 0.80, "bm25": 0.12, "tok": 0.05, "fuz": 0.03}
 TEMPERATURES = {"emb": 0.07, "bm25": 1.0, "tok": 0.35, "fuz": 0.35}
 RRF_K, PER_METHOD, ALPHA, POOL = 60, 600, 0.90, 8000
 QUERY_ROWS, VECTOR_ROWS, JOIN_ROWS = 4096, 50_000, 2000
-PIVOTS, PIVOT_SAMPLE = 512, 4096
+PIVOTS, PIVOT_SAMPLE, ONE_TILE = 512, 4096, 20_000
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -140,9 +140,14 @@ def pivot_cells(vecs: DataFrame, threshold: float, pivots: int = PIVOTS) -> Data
 def cosine_threshold_join(vecs: DataFrame, threshold: float, pivots: int = PIVOTS) -> DataFrame:
     """All pairs a < b with cosine >= threshold, exactly. A pair meets in the earlier of its two home cells; large cells are
     tiled, so that a task holds JOIN_ROWS rows of each side."""
-    dealt = cut_lineage(pivot_cells(vecs, threshold, pivots))
-    sizes = dealt.groupBy("cell").agg(*[F.ceil(F.sum(F.when(c, 1).otherwise(0)) / JOIN_ROWS).alias(name) for c, name in ((F.col("at_home"), "hosts"), (~F.col("at_home"), "guests"))])
-    tiled = dealt.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.when(F.col("at_home"), F.col("hosts")).otherwise(F.col("guests"))))
+    dealt = pivot_cells(vecs, threshold, pivots)
+    if vecs.count() <= ONE_TILE:
+        # No cell can be larger than the table; a tile takes a whole cell.
+        tiled = dealt.withColumns({"hosts": F.lit(1).cast("long"), "guests": F.lit(1).cast("long"), "block": F.lit(0).cast("long")})
+    else:
+        dealt = cut_lineage(dealt)
+        sizes = dealt.groupBy("cell").agg(*[F.ceil(F.sum(F.when(c, 1).otherwise(0)) / JOIN_ROWS).alias(name) for c, name in ((F.col("at_home"), "hosts"), (~F.col("at_home"), "guests"))])
+        tiled = dealt.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.when(F.col("at_home"), F.col("hosts")).otherwise(F.col("guests"))))
     blocks = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
     with_hosts = F.transform(blocks("hosts"), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right"), F.lit(True).alias("inner")))
     with_guests = F.transform(blocks("guests"), lambda o: F.struct(F.col("block").alias("left"), o.alias("right"), F.lit(False).alias("inner")))
@@ -158,11 +163,14 @@ def cosine_threshold_join(vecs: DataFrame, threshold: float, pivots: int = PIVOT
             x, y = rows[rows["at_home"]], rows[~rows["at_home"]]
         if x.empty or y.empty:
             return pd.DataFrame({"a": [], "b": [], "score": []})
-        s = _unit(_matrix(x["embedding"])) @ _unit(_matrix(y["embedding"])).T
-        i, j = np.nonzero(s >= threshold)
-        la, rb = x["vec_id"].to_numpy()[i], y["vec_id"].to_numpy()[j]
-        ok = la < rb if inner and left == right else la != rb
-        return pd.DataFrame({"a": np.minimum(la, rb)[ok], "b": np.maximum(la, rb)[ok], "score": s[i, j][ok]})
+        ux, uy, parts = _unit(_matrix(x["embedding"])), _unit(_matrix(y["embedding"])).T, []
+        for at in range(0, len(ux), JOIN_ROWS):
+            s = ux[at:at + JOIN_ROWS] @ uy
+            i, j = np.nonzero(s >= threshold)
+            la, rb = x["vec_id"].to_numpy()[at + i], y["vec_id"].to_numpy()[j]
+            ok = la < rb if inner and left == right else la != rb
+            parts.append(pd.DataFrame({"a": np.minimum(la, rb)[ok], "b": np.maximum(la, rb)[ok], "score": s[i, j][ok]}))
+        return pd.concat(parts)
 
     kind = vecs.schema["vec_id"].dataType.simpleString()
     return tiles.groupBy("cell", "left", "right", "inner").applyInPandas(compare, f"a {kind}, b {kind}, score double")

@@ -192,14 +192,15 @@ def fuse_model(cands: DataFrame, criteria: DataFrame, predictors: DataFrame, rel
     return out.withColumn("fused", clamp01((1 - F.col("w_ind")) * F.col("group_level") + F.col("w_ind") * F.col("individual")))
 
 
-def rank_fused(fused: DataFrame, impact: DataFrame, n: int = 200) -> DataFrame:
+def rank_fused(fused: DataFrame, impact: DataFrame, n: int | None = 200) -> DataFrame:
     """Candidates ranked by the criterion-weighted means; weights are the criteria's shares of the impact, uniform if none."""
     crit = fused.select(BY, "criterion").distinct().join(impact.groupBy(BY, "criterion").agg(F.sum("value").alias("v")), [BY, "criterion"], "left").fillna(0.0, ["v"])
     w = W.partitionBy(BY)
     crit = crit.select(BY, "criterion", F.when(F.sum("v").over(w) <= 1e-12, 1 / F.count(F.lit(1)).over(w)).otherwise(F.col("v") / F.sum("v").over(w)).alias("cw"))
     mean = lambda x: clamp01(F.sum(F.col(x) * F.col("cw"))).alias(f"{x}_mean")
     out = fused.join(crit, [BY, "criterion"]).groupBy(BY, "path").agg(mean("fused"), mean("group_level"), mean("individual"), F.max("prior").alias("prior"))
-    return top_n(out, [BY], [F.desc("fused_mean"), F.col("path")], n)
+    order = [F.desc("fused_mean"), F.col("path")]
+    return out.withColumn("rank", F.row_number().over(W.partitionBy(BY).orderBy(*order))) if n is None else top_n(out, [BY], order, n)
 
 
 def memory_fusion(ranked: DataFrame, previous: DataFrame) -> DataFrame:

@@ -245,6 +245,17 @@ def sign_flip_test(diffs: DataFrame, n_perm: int = 20_000, seed: int = 0) -> Dat
         F.avg((F.abs(F.col("s") / F.col("n")) >= F.col("observed") - 1e-12).cast("double")).alias("p_raw"))
 
 
+def paired_test(diffs: DataFrame, n_perm: int = 20_000, seed: int = 0) -> DataFrame:
+    """The signed-rank test, and where its normal tail is not defined (fewer than five blocks, or no spread of ranks) the
+    permutation p. `method` says which; only those pairs are permuted."""
+    ranked = wilcoxon(diffs)
+    open_ = ranked.where(F.col("p_raw").isNull()).select("a", "b")
+    flips = sign_flip_test(diffs.join(open_, ["a", "b"], "left_semi").select(*diffs.columns), n_perm, seed).select("a", "b", F.col("p_raw").alias("p_flip"))
+    out = ranked.join(flips, ["a", "b"], "left")
+    method = F.when(F.col("p_raw").isNotNull(), "signed_rank").when(F.col("p_flip").isNotNull(), "sign_flip")
+    return out.withColumn("method", method).withColumn("p_raw", F.coalesce("p_raw", "p_flip")).drop("p_flip")
+
+
 def holm(pvals: DataFrame, by: list[str], p: str, order: list[str]) -> DataFrame:
     """Step-down adjusted p within each family; families are short lists of tests."""
     w = W.partitionBy(*by).orderBy(F.col(p).asc(), *order)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -25,20 +26,44 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/lagweave-io-{uuid.uuid4().hex}"
 
 
+def _separators(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files behind a path by the separator of their header line: the first of , ; tab | that it holds. Only the first
+    line of each file leaves the tasks."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).where("at = 0").withColumn(
+        "line", F.monotonically_increasing_id())
+    heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    found = F.coalesce(*[F.when(F.contains("head", F.lit(s)), F.lit(s)) for s in SEPARATORS], F.lit(SEPARATORS[0]))
+    out: dict[str, list[str]] = {}
+    for r in heads.select("file", found.alias("sep")).orderBy("file").collect():
+        out.setdefault(r["sep"], []).append(unquote(r["file"]))
+    return out
+
+
+def _scan(spark: SparkSession, path: str, schema: str | None) -> DataFrame | None:
+    """All files with their name in `_file`, each read with its own separator."""
+    out = None
+    for sep, files in _separators(spark, path).items():
+        reader = spark.read.option("sep", sep).option("header", True)
+        part = (reader.schema(schema).csv(files) if schema else reader.csv(files)).select("*", F.col("_metadata.file_path").alias("_file"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def scan_delimited(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with the first of , ; tab | that splits the header line into more than one column."""
-    header = spark.read.text(path).limit(1).first()
-    line = header[0] if header else ""
-    sep = next((s for s in SEPARATORS if s in line), ",")
-    reader = spark.read.option("sep", sep).option("header", True).option("recursiveFileLookup", True)
-    return reader.schema(schema).csv(path) if schema else reader.csv(path)
+    """CSV files below a path; every file is split by the first of , ; tab | that its own header line holds. Columns that
+    only some files have are null elsewhere. Without a file the given schema, or no column, is returned empty."""
+    found = _scan(spark, path, schema)
+    return spark.createDataFrame([], schema or "") if found is None else found.drop("_file")
 
 
 def scan_profiles(spark: SparkSession, root: str, filename: str, pattern: str = "", max_profiles: int | None = None, schema: str | None = None) -> DataFrame:
     """Every <root>/<profile>/<filename> with the profile taken from the folder; substring filter and cap by name."""
-    df = scan_delimited(spark, f"{root}/*/{filename}", schema)
-    profile = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+(?:/[^/]+)?$", 1) if filename.endswith("/") else F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
-    out = df.select("*", profile.alias("profile_id")).where(F.col("profile_id").contains(pattern))
+    found = _scan(spark, f"{root}/*/{filename}", schema)
+    if found is None:
+        return spark.createDataFrame([], f"{schema}, profile_id string" if schema else "profile_id string")
+    profile = F.regexp_extract("_file", r"([^/]+)/[^/]+(?:/[^/]+)?$", 1) if filename.endswith("/") else F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1)
+    out = found.withColumn("profile_id", profile).drop("_file").where(F.col("profile_id").contains(pattern))
     if max_profiles is None:
         return out
     kept = out.select("profile_id").distinct().orderBy("profile_id").limit(max_profiles)
@@ -60,7 +85,7 @@ def conform_wide(df: DataFrame, order: str, variables: list[str], start: str = "
 def wide_to_long(wide: DataFrame, metadata: DataFrame, variables: list[str]) -> DataFrame:
     """One row per (profile, slot, variable) with its metadata; unknown codes keep null metadata."""
     melted = wide.unpivot(["profile_id", "t_index", "date"], variables, "code", "value")
-    return melted.join(F.broadcast(metadata.where(F.col("code").isin(variables)).select(*SCHEMA_VARS)), "code", "left")
+    return melted.join(metadata.where(F.col("code").isin(variables)).select(*SCHEMA_VARS), "code", "left")
 
 
 def variable_roles(codes: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -186,6 +211,20 @@ def validate_model(variables: DataFrame, edges: DataFrame, design: DataFrame) ->
     return out
 
 
+def model_grid(variables: DataFrame, edges: DataFrame) -> DataFrame:
+    """model_id, kind (PC, PP, CC), n_expected, n_present, n_missing: how full each model's grids of ordered pairs of
+    different variables are. The expected pairs follow from the numbers of variables, so no grid is built."""
+    v = variables.where(F.trim("var_id") != "").select("model_id", "var_id", F.upper(F.substring("role", 1, 1)).alias("r")).distinct()
+    sizes = v.groupBy("model_id").agg(F.count_if(F.col("r") == "P").alias("p"), F.count_if(F.col("r") == "C").alias("c"))
+    end = lambda name: v.select("model_id", F.col("var_id").alias(name), F.col("r").alias(f"{name}_r"))
+    pairs = edges.where("source <> target").select("model_id", "source", "target").distinct().join(end("source"), ["model_id", "source"]).join(end("target"), ["model_id", "target"])
+    kind = F.concat("source_r", "target_r")
+    seen = pairs.groupBy("model_id").agg(*[F.count_if(kind == k).alias(k) for k in ("PC", "PP", "CC")])
+    full = {"PC": F.col("p") * F.col("c"), "PP": F.col("p") * (F.col("p") - 1), "CC": F.col("c") * (F.col("c") - 1)}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("n_expected"), F.coalesce(k, F.lit(0)).alias("n_present")) for k, n in full.items()]))
+    return sizes.join(seen, "model_id", "left").select("model_id", rows.alias("x")).select("model_id", "x.*", (F.col("x.n_expected") - F.col("x.n_present")).alias("n_missing"))
+
+
 def design_coherence(design: DataFrame) -> DataFrame:
     """Days >= 7, prompts >= 1; under 30 observations the diary is enabled, then prompts are raised; derived totals."""
     days, prompts = F.greatest(F.lit(7), F.coalesce("study_days", F.lit(7))), F.greatest(F.lit(1), F.coalesce("prompts_per_day", F.lit(1)))

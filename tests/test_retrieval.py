@@ -70,8 +70,8 @@ def test_second_pass_scores_few_blocks(spark):
     assert found.count() == 50 and needed < all_blocks / 10
 
 
-@pytest.mark.parametrize("threshold", [0.95, 0.6, 0.0, -0.5])
-def test_threshold_join_is_exact(spark, threshold):
+@pytest.mark.parametrize("threshold, one_tile", [(0.95, 0), (0.6, 0), (0.6, 10_000), (0.0, 0), (-0.5, 10_000)])
+def test_threshold_join_is_exact(spark, threshold, one_tile, monkeypatch):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(12, 8))
     v = np.vstack([centers[rng.integers(0, 12, 700)] + 0.15 * rng.normal(size=(700, 8)), np.zeros((2, 8)), np.repeat(centers[:1], 40, 0)])
@@ -80,9 +80,9 @@ def test_threshold_join_is_exact(spark, threshold):
     s = u @ u.T
     i, j = np.nonzero(np.triu(s >= threshold, 1))
     sure = np.abs(s - threshold) > 1e-9
-    old, X.JOIN_ROWS = X.JOIN_ROWS, 60
+    monkeypatch.setattr(X, "JOIN_ROWS", 60)
+    monkeypatch.setattr(X, "ONE_TILE", one_tile)
     rows = X.cosine_threshold_join(vecs, threshold, pivots=20).collect()
-    X.JOIN_ROWS = old
     got = [(r["a"], r["b"]) for r in rows]
     assert len(got) == len(set(got)) and {p for p in got if sure[p]} == {(a, b) for a, b in zip(i.tolist(), j.tolist()) if sure[a, b]}
     assert all(r["score"] == pytest.approx(s[r["a"], r["b"]]) for r in rows)
