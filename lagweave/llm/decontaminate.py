@@ -110,6 +110,7 @@ def counter(bitmap: np.ndarray, sizes: list[int]) -> Callable:
                 found = [g[bits[_bits(g)]] for g in (run_hashes(h, m) for m in sizes)]
                 token, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+        K.release_memory()
 
     return run
 
@@ -143,6 +144,7 @@ def finder(bitmap: np.ndarray, sizes: list[int], n: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string()))],
                     names=["key", "token", "at", "left", "context"])
+        K.release_memory()
 
     return run
 

@@ -42,7 +42,7 @@ def piece_maker(path: str, capacity: int, end_id: int, with_ids: bool) -> Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(("chunks", path, end_id), lambda: ChunkEncoder(path, end_id))
         for batch in batches:
-            for rows, data, offsets in K.text_slices(batch, "text", 2 << 20):
+            for rows, data, offsets in K.text_slices(batch, "text"):
                 ids, bounds = encoder.encode(data, offsets)
                 n = np.diff(bounds)
                 many = -(-n // capacity)
@@ -59,6 +59,7 @@ def piece_maker(path: str, capacity: int, end_id: int, with_ids: bool) -> Callab
                     columns.append(K.lists(ids.astype(np.int64), np.append(first, bounds[-1]), pa.int64()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        K.release_memory()
 
     return run
 

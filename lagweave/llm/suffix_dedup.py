@@ -179,6 +179,7 @@ def context_sender(ids: str, text: str, size: int, gram: int, buckets: int) -> C
 
     def run(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         number = key[0].as_py()
+        K.release_memory()
         if not block.num_rows:
             return _message([])
         table, doc_ids = _ordered(block, ids, text)
@@ -344,6 +345,7 @@ def sorter(size: int) -> Callable:
             found = _sort_bucket(held.pop(bucket), size)
             if found:
                 yield _cover_rows(found)
+        K.release_memory()
 
     return run
 
@@ -443,6 +445,7 @@ def finisher(ids: str, text: str, block: str, names: tuple[str, ...], schema: pa
     if `cut` (whole characters only)."""
 
     def run(key: tuple, rows: pa.Table, covers: pa.Table) -> pa.Table:
+        K.release_memory()
         if not rows.num_rows:
             return schema.empty_table()
         table, _ = _ordered(rows, ids, text)
