@@ -100,7 +100,8 @@ def pivot_cells(vecs: DataFrame, threshold: float, pivots: int = PIVOTS) -> Data
     """vec_id, embedding, cell, at_home: each vector in the cell of its nearest pivot, and copied to those earlier cells
     that can hold a partner with a cosine of `threshold` or more. With angles as distances, a partner in a cell of
     radius r is at most the threshold's angle away, so the cell's pivot is at most that angle plus r away; and half of
-    what its pivot is farther off than the own one is never more than the distance to the partner."""
+    what its pivot is farther off than the own one is never more than the distance to the partner. A small table does
+    without the radii, which take a pass of their own."""
     n = vecs.count()
     schema = f"vec_id {vecs.schema['vec_id'].dataType.simpleString()}, embedding array<double>, cell int, at_home boolean"
     if not n:
@@ -117,8 +118,9 @@ def pivot_cells(vecs: DataFrame, threshold: float, pivots: int = PIVOTS) -> Data
                 home = a.argmin(axis=1)
                 yield pd.DataFrame({"cell": home, "r": a[np.arange(len(a)), home]}).groupby("cell", as_index=False).max()
 
-    radii = np.full(len(base), -np.inf)
-    for r in vecs.select("embedding").mapInPandas(radius, "cell int, r double").groupBy("cell").agg(F.max("r").alias("r")).collect():
+    small = n <= ONE_TILE
+    radii = np.full(len(base), np.inf if small else -np.inf)
+    for r in [] if small else vecs.select("embedding").mapInPandas(radius, "cell int, r double").groupBy("cell").agg(F.max("r").alias("r")).collect():
         radii[r["cell"]] = r["r"]
 
     def deal(batches):
@@ -140,6 +142,7 @@ def pivot_cells(vecs: DataFrame, threshold: float, pivots: int = PIVOTS) -> Data
 def cosine_threshold_join(vecs: DataFrame, threshold: float, pivots: int = PIVOTS) -> DataFrame:
     """All pairs a < b with cosine >= threshold, exactly. A pair meets in the earlier of its two home cells; large cells are
     tiled, so that a task holds JOIN_ROWS rows of each side."""
+    vecs = vecs.select("vec_id", "embedding")
     dealt = pivot_cells(vecs, threshold, pivots)
     if vecs.count() <= ONE_TILE:
         # No cell can be larger than the table; a tile takes a whole cell.

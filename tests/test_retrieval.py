@@ -93,7 +93,10 @@ def test_clustered_vectors_are_copied_to_few_cells(spark):
     centers = rng.normal(size=(25, 16))
     v = centers[rng.integers(0, 25, 5000)] + 0.05 * rng.normal(size=(5000, 16))
     vecs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id int, embedding array<double>")
-    cells = X.pivot_cells(vecs, 0.95)
+    old, X.ONE_TILE = X.ONE_TILE, 100
+    cells = X.pivot_cells(vecs, 0.95).cache()
+    cells.count()
+    X.ONE_TILE = old
     n_cells = cells.select("cell").distinct().count()
     copies = cells.count() / 5000
     assert n_cells >= 20 and copies < n_cells / 8
