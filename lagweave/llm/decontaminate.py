@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lagweave.core.session import cut_lineage
 from lagweave.llm import kernels as K
@@ -36,8 +37,6 @@ WINDOW, SHINGLE = 10, 3
 BITMAP = 1 << 23
 # Documents with matches up to which the matches go to the documents as a broadcast.
 BROADCAST_TEXTS = 100_000
-# Fixed value: the words of the contract before their letters are lower-cased.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,6 +148,19 @@ def finder(bitmap: np.ndarray, sizes: list[int], n: int) -> Callable:
     return run
 
 
+def word_counter(text: str) -> Callable:
+    """Task function: adds the number of words as a last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in K.text_slices(batch, text):
+                n = np.diff(K.word_bounds(K.LOWER[data], offsets, K.ALPHANUMERIC)[2])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n, pa.int64())], names=[*rows.schema.names, "words"])
+        K.release_memory()
+
+    return run
+
+
 def _merged(spans: Column) -> Column:
     """Maximal runs of sorted (start, end) structs."""
     last = lambda acc: F.element_at(acc, -1)
@@ -198,7 +210,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     key, found_key = scratch(docs, "_key", "_found")
     bench = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t")).where("t is not null")
     hit = matches(docs.select(F.col(text).alias("text")), bench, n, q)
-    counted = docs.withColumn(n_words, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS)).cast("long"))
+    counted = docs.mapInArrow(word_counter(text), T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType())]))
     none = {spans: F.from_json(F.lit("[]"), SPANS), items: F.array().cast("array<string>")}
     if hit is None:
         return counted.withColumns(none)
