@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lagweave.core.ranking import running_total
@@ -113,6 +114,21 @@ def test_clique_cover_equals_one_at_a_time(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("folded", [1000, 2])
+def test_clique_cover_folds_the_candidates_of_a_seed(spark, monkeypatch, folded):
+    """Seven nodes in a clique and a chain of stars: the clique is taken in one round, however many admit steps it had."""
+    score = {(a, b): 1 - 0.01 * (a + b) for a in range(7) for b in range(a + 1, 7)}
+    score |= {(7, 8): 0.9, (8, 9): 0.8, (9, 10): 0.7}
+    monkeypatch.setattr(graph, "FOLDED", folded, raising=False)
+    cuts, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    pairs = spark.createDataFrame([(a, b, s) for (a, b), s in score.items()], "a long, b long, score double")
+    got = {r.id: r.group for r in graph.clique_cover(pairs, spark.range(13)).collect()}
+    assert got == {**dict.fromkeys(range(7), 6), 7: 7, 8: 9, 9: 9, 10: 10, 11: 11, 12: 12}
+    # A round writes its candidates, its members and the links that are left.
+    assert folded == 2 or len(cuts) <= 1 + 3 * 2
+
+
 def test_slots_without_a_variable_give_no_lag_row(spark):
     from lagweave.operators.network import lag_rows
 
