@@ -132,3 +132,17 @@ def test_vectors_without_structure_are_copied_to_few_blocks(spark, monkeypatch):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     s = np.triu(u @ u.T, 1)
     assert got.count() == int((s >= 0.5).sum())
+
+
+@pytest.mark.parametrize("name, score", [("R01_bm25", "bm25")])
+def test_every_pair_with_a_common_term_is_scored(spark, tmp_path, name, score):
+    """Each of 300 parts shares its colour, and half of them the kind, with the query of its name."""
+    from lagweave.catalog import load
+
+
+    parts = [(i, "red ring" if i % 2 else "red bolt", "Brand#1", "SMALL", 1, 1.0) for i in range(300)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(5)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = load().QUERIES[name](spark, str(tmp_path))
+    assert got.columns == ["query_id", "vec_id", score] and got.count() == 2 * 300
+    assert got.select("query_id", "vec_id").distinct().count() == 2 * 300
