@@ -134,7 +134,7 @@ def test_vectors_without_structure_are_copied_to_few_blocks(spark, monkeypatch):
     assert got.count() == int((s >= 0.5).sum())
 
 
-@pytest.mark.parametrize("name, score", [("R01_bm25", "bm25")])
+@pytest.mark.parametrize("name, score", [("R01_bm25", "bm25"), ("R02_overlap_cosine", "overlap")])
 def test_every_pair_with_a_common_term_is_scored(spark, tmp_path, name, score):
     """Each of 300 parts shares its colour, and half of them the kind, with the query of its name."""
     from lagweave.catalog import load
