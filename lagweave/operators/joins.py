@@ -6,6 +6,8 @@ rarely become join keys. Path joins work on distinct paths; rows are joined back
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,21 +130,88 @@ def combine_evidence(sources: dict[str, DataFrame], key: str) -> DataFrame:
     return out.fillna(0.0, [f"{name}_score" for name in sources])
 
 
+SHORT_EDITS = 2
+
+
+def _without(c: Column, edits: int) -> Column:
+    """Hashes of the string and of all strings that come from it by dropping up to `edits` (1 or 2) characters."""
+    n = F.length(c)
+    span = lambda start, length: F.substr(c, start, length)
+    ones = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(span(F.lit(1), i - 1), span(i + 1, n))))
+    out = F.concat(F.array(F.xxhash64(c)), ones)
+    if edits > 1:
+        twos = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(
+            F.sequence(i + 1, n), lambda j: F.xxhash64(F.concat(span(F.lit(1), i - 1), span(i + 1, j - i - 1), span(j + 1, n))))))
+        out = F.concat(out, twos)
+    return F.array_distinct(out)
+
+
+def _edits(longest: Column, min_ratio: float) -> Column:
+    """Most edits at which a pair whose longer string has that length still has the ratio."""
+    return F.floor((1 - min_ratio) * longest + 1e-9).cast("int")
+
+
+def _grams(c: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.struct(i.alias("at"), F.substr(c, i, F.lit(size)).alias("gram")))
+
+
+def edit_candidates(a: DataFrame, b: DataFrame, min_ratio: float) -> DataFrame:
+    """A superset of the pairs (ka, kb), ka != kb, of distinct strings a(ka), b(kb) whose edit ratio is min_ratio (0.6 at
+    least) or more.
+
+    Two strings within two edits meet in a string that drops up to two characters of each. Longer strings may be further
+    apart. There, e edits spoil at most e of e + 1 grams that do not overlap, so one of them stands in the partner, at
+    most e places away; the rarest such grams are taken.
+    """
+    def sized(df: DataFrame, k: str) -> DataFrame:
+        partner = F.floor(F.length(k) / min_ratio + 1e-9)
+        return df.select(k, F.length(k).alias("n"), _edits(F.greatest(partner, F.length(k)), min_ratio).alias("e"))
+
+    x, y = sized(a, "ka").where("e > 0"), sized(b, "kb").where("e > 0")
+    # A string of at most this length has only partners within SHORT_EDITS edits, or needs the grams.
+    short = math.ceil((SHORT_EDITS + 1) / (1 - min_ratio) - 1e-6) - 1
+
+    def dropped(df: DataFrame, k: str) -> DataFrame:
+        # A short table has many such strings; one task for each of its few blocks would make them all.
+        few = df.where(F.col("n") <= short).repartition(4 * df.sparkSession.sparkContext.defaultParallelism, k)
+        return few.select(k, F.explode(F.when(F.col("e") == 1, _without(F.col(k), 1)).otherwise(_without(F.col(k), 2))).alias("h"))
+
+    near = dropped(x, "ka").join(dropped(y, "kb"), "h").where("ka != kb").select("ka", "kb").distinct()
+
+    # Of this size there are always enough grams that do not overlap.
+    size = 3 if min_ratio >= 0.86 else 2 if min_ratio >= 0.78 else 1
+    far_x, far_y = x.where(F.col("e") > SHORT_EDITS), y.where(F.col("e") > SHORT_EDITS)
+    at_b = far_y.select("kb", F.col("n").alias("nb"), F.explode(_grams(F.col("kb"), size)).alias("g")).select("kb", "nb", F.col("g.gram").alias("gram"), F.col("g.at").alias("at_b"))
+    freq = at_b.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
+    at_a = far_x.select("ka", "n", "e", F.explode(_grams(F.col("ka"), size)).alias("g")).select("ka", "n", "e", F.col("g.gram").alias("gram"), F.col("g.at").alias("at"))
+    ranked = at_a.join(freq, "gram", "left").groupBy("ka", "n", "e").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "at", "gram"))).alias("gs"))
+    none = F.array().cast("array<struct<f:bigint,at:int,gram:string>>")
+    apart = F.aggregate("gs", none, lambda got, g: F.when(
+        (F.size(got) <= F.col("e")) & F.forall(got, lambda o: F.abs(o["at"] - g["at"]) >= size), F.concat(got, F.array(g))).otherwise(got))
+    asked = ranked.select("ka", "n", "e", F.explode(apart).alias("g")).select("ka", "n", "e", F.col("g.gram").alias("gram"), F.col("g.at").alias("at"))
+    longest = F.greatest("n", "nb")
+    fits = (F.abs(F.col("at") - F.col("at_b")) <= F.col("e")) & (longest > short) & (F.abs(F.col("n") - F.col("nb")) <= _edits(longest, min_ratio))
+    far = asked.join(at_b, "gram").where(fits & (F.col("ka") != F.col("kb"))).select("ka", "kb").distinct()
+    return near.unionByName(far)
+
+
 def fuzzy_entity_match(labels: DataFrame, terms: DataFrame, min_ratio: float = 0.88) -> DataFrame:
     """labels(label_id, label) against terms(entity_id, term): equal keys win with 1.0, else the best edit ratio
-    >= min_ratio among terms that share a token. Lengths that cannot reach the ratio are never paired."""
+    >= min_ratio among terms that share a token. Only folded keys without an equal one look for similar keys, and only
+    those within reach of the ratio are paired."""
     from lagweave.functions.text import fold_label, words
 
-    # Fold once and keep the folded key next to its tokens.
+    # Fold once and match distinct keys; labels and the smallest entity of a key join them afterwards.
     a = labels.select("label_id", fold_label(F.col("label")).alias("ka")).distinct()
     b = terms.select("entity_id", fold_label(F.col("term")).alias("kb")).distinct()
-    exact = a.join(b, F.col("ka") == F.col("kb")).select("label_id", "entity_id", F.col("kb").alias("term"), F.lit(1.0).alias("ratio"))
-    lengths = F.sequence(F.ceil(min_ratio * F.length("ka")), F.floor(F.length("ka") / min_ratio))
-    left = a.select("label_id", "ka", F.explode(F.array_distinct(words(F.col("ka")))).alias("tok"), lengths.alias("ls"))
-    left = left.select("label_id", "ka", "tok", F.explode("ls").alias("len"))
-    right = b.select("entity_id", "kb", F.explode(F.array_distinct(words(F.col("kb")))).alias("tok"), F.length("kb").cast("long").alias("len"))
-    near = left.join(right, ["tok", "len"]).where(F.col("ka") != F.col("kb")).select("label_id", "entity_id", "ka", "kb").distinct()
-    near = near.select("label_id", "entity_id", F.col("kb").alias("term"), fuzzy_ratio(F.col("ka"), F.col("kb")).alias("ratio")).where(F.col("ratio") >= min_ratio)
+    held = b.groupBy("kb").agg(F.min(F.struct("entity_id"))["entity_id"].alias("entity_id"))
+    exact = a.join(held, F.col("ka") == F.col("kb")).select("label_id", "entity_id", F.col("kb").alias("term"), F.lit(1.0).alias("ratio"))
+    done = exact.select(F.col("label_id").alias("done")).distinct()
+    rest = a.join(done, F.col("label_id").eqNullSafe(F.col("done")), "left_anti")
+    pairs = edit_candidates(rest.select("ka").distinct(), held.select("kb"), min_ratio)
+    scored = pairs.where(F.arrays_overlap(words(F.col("ka")), words(F.col("kb")))).select("ka", "kb", fuzzy_ratio(F.col("ka"), F.col("kb")).alias("ratio")).where(F.col("ratio") >= min_ratio)
+    best_key = scored.groupBy("ka").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "kb")).alias("k")).select("ka", F.col("k.kb").alias("kb"), (-F.col("k.r")).alias("ratio"))
+    near = rest.join(best_key, "ka").join(held, "kb").select("label_id", "entity_id", F.col("kb").alias("term"), "ratio")
     best = exact.unionByName(near).groupBy("label_id").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "term", "entity_id")).alias("b"))
     return best.select("label_id", F.col("b.entity_id").alias("entity_id"), F.col("b.term").alias("term"), (-F.col("b.r")).alias("ratio"))
 

@@ -146,3 +146,47 @@ def test_every_pair_with_a_common_term_is_scored(spark, tmp_path, name, score):
     got = load().QUERIES[name](spark, str(tmp_path))
     assert got.columns == ["query_id", "vec_id", score] and got.count() == 2 * 300
     assert got.select("query_id", "vec_id").distinct().count() == 2 * 300
+
+
+def test_fuzzy_match_finds_the_best_of_all_pairs(spark):
+    """Labels of 4 to 60 characters with up to seven edits, against every term; all share a token."""
+    import random
+
+    from lagweave.operators import joins as J
+
+    rng = random.Random(11)
+    base = ["co " + "".join(rng.choice("abc 12") for _ in range(rng.randint(2, 56))) for _ in range(70)]
+
+    def changed(t: str) -> str:
+        for _ in range(rng.randint(0, 1 + len(t) // 8)):
+            i = rng.randrange(3, len(t)) if len(t) > 3 else 3
+            t = t[:i] + rng.choice(["", "x", t[i:i + 1] + "y"]) + t[i + 1:]
+        return t
+
+    fold = lambda t: " ".join(t.split())
+    labels, terms = [(i, t) for i, t in enumerate(base)], [(100 + i, changed(t)) for i, t in enumerate(base * 3)]
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for i, a in ((i, fold(t)) for i, t in labels):
+        found = [(-(1 - distance(a, b) / max(len(a), len(b))), b, j) for j, b in ((j, fold(t)) for j, t in terms)]
+        if min(found)[0] <= -0.88:
+            want[i] = min(found)
+    got = J.fuzzy_entity_match(spark.createDataFrame(labels, "label_id long, label string"), spark.createDataFrame(terms, "entity_id long, term string")).collect()
+    assert len(want) > 40 and {r.label_id: (r.term, r.entity_id) for r in got} == {i: w[1:] for i, w in want.items()}
+
+
+def test_similar_keys_are_not_paired_for_a_common_word(spark):
+    """400 labels of one length with a word in common: the old pairs were all of them."""
+    from lagweave.operators import joins as J
+
+    a = spark.createDataFrame([(f"supplier#{i * 7919 % 1000003:09d}",) for i in range(400)], "ka string")
+    b = spark.createDataFrame([(f"supplier#{i * 104729 % 1000003:09d}",) for i in range(400)], "kb string")
+    assert J.edit_candidates(a, b, 0.88).count() < 400 * 400 / 10
