@@ -127,10 +127,11 @@ def _sum_partials(pdf: pd.DataFrame) -> dict[tuple, tuple[np.ndarray, float]]:
     return out
 
 
-def lasso(gram: np.ndarray, alpha: np.ndarray, tol: float = 1e-10, rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def lasso(gram: np.ndarray, alpha: np.ndarray, tol: float = 1e-10, rounds: int = 5000, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """L1 fits of every y on z for a stack of Grams: minimize weighted mean of squares / 2 + alpha |b|, free intercept.
 
-    gram (k, 2p+1, 2p+1), alpha (k, p) -> coefficients (k, p dst, p src), intercepts (k, p).
+    gram (k, 2p+1, 2p+1), alpha (k, p) -> coefficients (k, p dst, p src), intercepts (k, p). Grams of one `group` (all, if
+    not given) stop together, as they would in a call of their own.
     """
     k, q, _ = gram.shape
     p = (q - 1) // 2
@@ -140,15 +141,24 @@ def lasso(gram: np.ndarray, alpha: np.ndarray, tol: float = 1e-10, rounds: int =
     Q, R = cov[:, :p, :p], np.swapaxes(cov[:, :p, p:], 1, 2)  # R (k, dst, src)
     diag = np.maximum(np.einsum("kii->ki", Q), 1e-12)
     b = np.zeros((k, p, p))
+    group = np.zeros(k, int) if group is None else group
+    todo, now, alpha = np.arange(k), b.copy(), np.broadcast_to(alpha, (k, p))
     for _ in range(rounds):
-        worst = 0.0
+        worst = np.zeros(len(todo))
         for j in range(p):
-            rho = R[:, :, j] - np.einsum("kds,ks->kd", b, Q[:, :, j]) + b[:, :, j] * diag[:, None, j]
+            rho = R[:, :, j] - np.einsum("kds,ks->kd", now, Q[:, :, j]) + now[:, :, j] * diag[:, None, j]
             new = np.sign(rho) * np.maximum(np.abs(rho) - alpha, 0.0) / diag[:, None, j]
-            worst = max(worst, float(np.max(np.abs(new - b[:, :, j]))))
-            b[:, :, j] = new
-        if worst < tol:
-            break
+            worst = np.maximum(worst, np.abs(new - now[:, :, j]).max(axis=1))
+            now[:, :, j] = new
+        by_group = np.zeros(group.max() + 1)
+        np.maximum.at(by_group, group[todo], worst)
+        stay = by_group[group[todo]] >= tol
+        if not stay.all():
+            b[todo] = now
+            todo, now, Q, R, diag, alpha = todo[stay], now[stay], Q[stay], R[stay], diag[stay], alpha[stay]
+            if not len(todo):
+                break
+    b[todo] = now
     return b, mean[:, p:] - np.einsum("kds,ks->kd", b, mean[:, :p])
 
 
@@ -198,18 +208,24 @@ def select_tv_params(rows: DataFrame, bandwidths: list[float] = BANDWIDTHS, alph
             checked = [_standardize(g, *scale) for g in _grams(outer, [val * (near == q) for q in range(CV_POINTS)])]
             folds.append((train, scale, checked))
 
-        def mse(bandwidth: float, alpha: float) -> float:
+        def errors(tried: list[tuple[float, float]]) -> list[float]:
+            """Mean squared error of each (bandwidth, alpha); the models of all of them and all folds are fitted in one call."""
+            if not folds:
+                return [float("inf")] * len(tried)
+            kernels = {bw: [_kernel(t, te, bw) for te in points] for bw in {bw for bw, _ in tried}}
+            made = {bw: [np.stack([_standardize(g, *scale) for g in _grams(outer, [train * w for w in ws])]) for train, scale, _ in folds] for bw, ws in kernels.items()}
+            n = len(tried) * len(folds)
+            b, c = lasso(np.concatenate([g for bw, _ in tried for g in made[bw]]), np.repeat([[a] * p for _, a in tried], len(folds) * CV_POINTS, 0), tol=1e-8, group=np.repeat(np.arange(n), CV_POINTS))
+            b, c = b.reshape(len(tried), len(folds), CV_POINTS, p, p), c.reshape(len(tried), len(folds), CV_POINTS, p)
             out = []
-            for train, scale, checked in folds:
-                grams = np.stack([_standardize(g, *scale) for g in _grams(outer, [train * _kernel(t, te, bandwidth) for te in points])])
-                b, c = lasso(grams, np.full((CV_POINTS, p), alpha), tol=1e-8)
-                n_val = sum(g[0, 0] for g in checked)
-                out.append(sum(_errors(g, b[q], c[q]).sum() for q, g in enumerate(checked)) / max(n_val * p, 1))
-            return float(np.mean(out)) if out else float("inf")
-
-        by_bw = [mse(bw, mid) for bw in bandwidths]
+            for k in range(len(tried)):
+                out.append(float(np.mean([sum(_errors(g, b[k, f, q], c[k, f, q]).sum() for q, g in enumerate(checked)) / max(sum(g[0, 0] for g in checked) * p, 1)
+                                          for f, (_, _, checked) in enumerate(folds)])))
+            return out
+
+        by_bw = errors([(bw, mid) for bw in bandwidths])
         best_bw = int(np.argmin(by_bw))
-        by_alpha = [mse(bandwidths[best_bw], a) for a in alphas]
+        by_alpha = errors([(bandwidths[best_bw], a) for a in alphas])
         best_a = int(np.argmin(by_alpha))
         return pd.DataFrame([{"profile_id": pdf["profile_id"].iloc[0], "bandwidth": bandwidths[best_bw], "alpha": alphas[best_a],
                               "mse_bandwidth": by_bw[best_bw], "mse_alpha": by_alpha[best_a]}])
@@ -299,15 +315,15 @@ def bootstrap_ci(rows: DataFrame, params: DataFrame, draws: int = DRAWS, block:
         profile, part = key
         outer, i, t, codes = _packed(pdf)
         n, bandwidth, alpha = int(pdf["n_obs"].iloc[0]), float(pdf["bandwidth"].iloc[0]), float(pdf["alpha"].iloc[0])
-        kernels, out = [_kernel(t, te, bandwidth) for te in _points(POINTS)], []
+        kernels, grams = [_kernel(t, te, bandwidth) for te in _points(POINTS)], []
         for draw in range(part * share, min(draws, (part + 1) * share)):
             picked = _multiplicity(profile, draw, n, block)[i]
-            b, _ = lasso(_grams(outer, [picked * w for w in kernels]), np.full((POINTS, len(codes)), alpha))
-            out.append(b)
-        if not out:
+            grams.append(_grams(outer, [picked * w for w in kernels]))
+        if not grams:
             return pd.DataFrame(columns=["profile_id", "time_index", "dst", "src", "b"])
+        b, _ = lasso(np.concatenate(grams), np.full((len(grams) * POINTS, len(codes)), alpha), group=np.repeat(np.arange(len(grams)), POINTS))
         # One row for each coefficient, with its values in all draws of the group.
-        stack = np.stack(out)
+        stack = b.reshape(len(grams), POINTS, len(codes), len(codes))
         return pd.DataFrame([(profile, q, d, s, stack[:, q, k, j]) for q in range(POINTS) for k, d in enumerate(codes) for j, s in enumerate(codes)],
                             columns=["profile_id", "time_index", "dst", "src", "b"])
 

@@ -232,3 +232,19 @@ def test_clique_cover_groups_are_cliques(spark):
     for _, g in out.groupby("group"):
         m = sorted(g["id"])
         assert all((x, y) in linked for i, x in enumerate(m) for y in m[i + 1:])
+
+
+def test_lasso_of_groups_equals_calls_of_their_own():
+    """Grams of different conditions in one call: each group stops where its own call would."""
+    rng = np.random.default_rng(6)
+    grams = []
+    for spread in (0.1, 1.0, 3.0):
+        for _ in range(4):
+            u = np.hstack([np.ones((40, 1)), rng.normal(size=(40, 1)) * spread + rng.normal(size=(40, 8))])
+            grams.append(u.T @ u)
+    grams, alpha = np.stack(grams), np.repeat([[0.01], [0.1], [0.02]], 4, 0) * np.ones((1, 4))
+    b, c = N.lasso(grams, alpha, tol=1e-4, group=np.repeat([0, 1, 2], 4))
+    for k in range(3):
+        at = slice(4 * k, 4 * k + 4)
+        own_b, own_c = N.lasso(grams[at], alpha[at], tol=1e-4)
+        assert np.allclose(b[at], own_b, rtol=0, atol=1e-13) and np.allclose(c[at], own_c, rtol=0, atol=1e-12)
