@@ -332,30 +332,61 @@ def bootstrap_ci(rows: DataFrame, params: DataFrame, draws: int = DRAWS, block:
         F.percentile("b", CI_LOW).alias("ci_low"), F.percentile("b", CI_HIGH).alias("ci_high"), F.count(F.lit(1)).alias("n_draws"))
 
 
+def _fill_gaps(slot: np.ndarray, code: np.ndarray, x: np.ndarray, gap: np.ndarray, rounds: int, ridge: float, rho: float) -> np.ndarray:
+    """The fill of one profile. Rows are sorted by slot, code and value; `code` numbers the codes from 0, -1 is no code.
+    Lag pairs are rows of neighbouring slots that hold as many values as the profile has codes; the fitted value of a gap
+    is taken from the slot just before it."""
+    p = int(code.max(initial=-1)) + 1
+    slots, first, size = np.unique(slot, return_index=True, return_counts=True)
+    now = np.nonzero((size[1:] == p) & (size[:-1] == p))[0] + 1
+    if not p or not len(now):
+        return x
+    at = np.repeat(np.arange(len(slots)), size)
+    cells = np.arange(p)
+    names = code[first[now[0]] + cells]
+    coded, known = code >= 0, np.isin(code, names)
+    place = np.zeros(p, int)
+    place[names] = cells
+    before = np.searchsorted(slots, slot - 1)
+    before[(before >= len(slots)) | (slots[np.minimum(before, len(slots) - 1)] != slot - 1)] = -1
+    held = np.zeros(len(slots) + 1, bool)
+    held[at[known]] = True
+    asked = gap & known & (before >= 0) & held[before]
+    for _ in range(rounds):
+        z, y = x[first[now - 1][:, None] + cells], x[first[now][:, None] + cells]
+        a = (np.linalg.inv(z.T @ z + (ridge + 1e-10) * np.eye(p)) @ (z.T @ y)).T
+        radius = float(np.max(np.abs(np.linalg.eigvals(a))))
+        a = a if radius <= rho or radius == 0 else a * (rho / radius)
+        sums = np.zeros((len(slots), p))
+        np.add.at(sums, (at[coded & known], place[code[coded & known]]), x[coded & known])
+        x = x.copy()
+        x[asked] = np.einsum("rs,rs->r", a[place[code[asked]]], sums[before[asked]])
+    return x
+
+
 def var_fill(obs: DataFrame, rounds: int = 3, ridge: float = 1.0, rho: float = 0.98) -> DataFrame:
     """Fill gaps by a ridge VAR(1): interpolate, then `rounds` times fit on centred moments and replace the missing
-    cells by the fitted value; the transition matrix is scaled to spectral radius <= rho."""
+    cells by the fitted value; the transition matrix is scaled to spectral radius <= rho. All rounds of a profile, which
+    is bounded by the calendar, run in one grouped call, so its rows are shuffled once."""
     mean = F.avg("value").over(W.partitionBy(*SERIES))
     base = obs.withColumn("mu", F.coalesce(mean, F.lit(0.0)))
     filled = interpolate(base).select(*SERIES, "t_index", "mu", F.col("value").isNull().alias("gap"), (F.coalesce("filled", F.lit(0.0)) - F.col("mu")).alias("x"))
-    filled = cut_lineage(filled)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, codes = _sum_partials(pdf)[("full", -1, -1, -1)][0], list(pdf["codes"].iloc[0])
-        p = len(codes)
-        a = (np.linalg.inv(g[1:1 + p, 1:1 + p] + (ridge + 1e-10) * np.eye(p)) @ g[1:1 + p, 1 + p:]).T
-        radius = float(np.max(np.abs(np.linalg.eigvals(a))))
-        a = a if radius <= rho or radius == 0 else a * (rho / radius)
-        return pd.DataFrame([(pdf["profile_id"].iloc[0], d, s, float(a[i, j])) for i, d in enumerate(codes) for j, s in enumerate(codes)], columns=["profile_id", "dst", "src", "a"])
-
-    for _ in range(rounds):
-        now = filled.withColumnRenamed("x", "value")
-        fit = moments(lag_rows(now), ("full",)).groupBy("profile_id").applyInPandas(solve, "profile_id string, dst string, src string, a double")
-        gaps = filled.where("gap").select("profile_id", "t_index", F.col("code").alias("dst"))
-        before = filled.select("profile_id", (F.col("t_index") + 1).alias("t_index"), F.col("code").alias("src"), F.col("x").alias("z"))
-        guess = gaps.join(fit, ["profile_id", "dst"]).join(before, ["profile_id", "t_index", "src"]).groupBy("profile_id", "t_index", F.col("dst").alias("code")).agg(F.sum(F.col("a") * F.col("z")).alias("fit"))
-        filled = cut_lineage(filled.join(guess, [*SERIES, "t_index"], "left").select(*SERIES, "t_index", "mu", "gap", F.coalesce("fit", "x").alias("x")))
-    return filled.select(*SERIES, "t_index", "gap", (F.col("x") + F.col("mu")).alias("filled"))
+        # Rows without a profile take part in no fit.
+        if pdf["profile_id"].iloc[0] is not None:
+            names, code = np.unique(pdf["code"].dropna().to_numpy(str), return_inverse=True)
+            number = np.full(len(pdf), -1)
+            number[pdf["code"].notna().to_numpy()] = code
+            slot, x = pdf["t_index"].to_numpy(), pdf["x"].to_numpy()
+            order = np.lexsort((x, number, slot))
+            out = np.empty(len(pdf))
+            out[order] = _fill_gaps(slot[order], number[order], x[order], pdf["gap"].to_numpy()[order], rounds, ridge, rho)
+            pdf = pdf.assign(x=out)
+        return pdf.assign(filled=pdf["x"] + pdf["mu"])[[*SERIES, "t_index", "gap", "filled"]]
+
+    kinds = ", ".join(f"{c} {filled.schema[c].dataType.simpleString()}" for c in (*SERIES, "t_index", "gap"))
+    return cut_lineage(filled.groupBy("profile_id").applyInPandas(solve, f"{kinds}, filled double"))
 
 
 def residual_moments(errors: DataFrame) -> DataFrame:

@@ -248,3 +248,20 @@ def test_lasso_of_groups_equals_calls_of_their_own():
         at = slice(4 * k, 4 * k + 4)
         own_b, own_c = N.lasso(grams[at], alpha[at], tol=1e-4)
         assert np.allclose(b[at], own_b, rtol=0, atol=1e-13) and np.allclose(c[at], own_c, rtol=0, atol=1e-12)
+
+
+def test_fill_runs_all_rounds_in_one_pass(spark, var_obs, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(N, "cut_lineage", lambda df: cuts.append(1) or df)
+    holes = var_obs.withColumn("value", F.when((F.col("t_index") % 9) == 4, None).otherwise(F.col("value")))
+    once = N.var_fill(holes)
+    assert len(cuts) == 1 and once._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+
+
+def test_fill_leaves_profiles_without_name_or_with_unnamed_codes(spark):
+    rows = [(p, c, t, None if t % 4 == 2 else float(t * t)) for p, codes in ((None, ("C1", "P1")), ("a", ("C1", None)), ("b", ("C1", "P1"))) for c in codes for t in range(12)]
+    obs = spark.createDataFrame(rows, "profile_id string, code string, t_index int, value double")
+    got = N.var_fill(obs).where("gap").collect()
+    line = lambda t: ((t - 1) ** 2 + (t + 1) ** 2) / 2
+    assert len(got) == 18
+    assert all((r.filled == pytest.approx(line(r.t_index))) == (r.profile_id != "b") for r in got)
