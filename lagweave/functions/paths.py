@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Path similarity weights (token overlap, common prefix, subsequence).
@@ -78,3 +78,11 @@ def lower_segments(c: Column) -> Column:
 
 def path_similarity(a: Column, b: Column) -> Column:
     return similarity_of_parts(lower_segments(a), lower_segments(b), path_tokens(a), path_tokens(b))
+
+
+def with_similarity(df: DataFrame, a: Column, b: Column, name: str) -> DataFrame:
+    """Adds the path similarity of two columns. Segments and tokens become columns first, by an explode of one element that
+    the optimizer does not merge away, so that a row's texts are parsed once and not for every use."""
+    parts = F.struct(lower_segments(a).alias("sa"), lower_segments(b).alias("sb"), path_tokens(a).alias("ta"), path_tokens(b).alias("tb"))
+    at = df.withColumn("_p", F.explode(F.array(parts)))
+    return at.withColumn(name, similarity_of_parts(F.col("_p.sa"), F.col("_p.sb"), F.col("_p.ta"), F.col("_p.tb"))).drop("_p")

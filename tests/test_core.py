@@ -81,3 +81,12 @@ def test_tails_against_closed_forms(spark):
 def test_corr_of_a_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert df.agg(C.corr("x", "y")).first()[0] is None
+
+
+def test_path_similarity_parses_a_row_once(spark):
+    rows = spark.createDataFrame([("A / b / C", "a / c"), ("x", "y / x"), (None, "a")], "a string, b string")
+    got = P.with_similarity(rows, F.col("a"), F.col("b"), "s")
+    want = rows.select(P.path_similarity(F.col("a"), F.col("b")).alias("s"))
+    assert [r["s"] for r in got.collect()] == [r["s"] for r in want.collect()]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract_all") == 2 and got.columns == ["a", "b", "s"]
