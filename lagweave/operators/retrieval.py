@@ -25,7 +25,9 @@ from lagweave.operators import lexical as L
 WEIGHTS = {"emb": 0.80, "bm25": 0.12, "tok": 0.05, "fuz": 0.03}
 TEMPERATURES = {"emb": 0.07, "bm25": 1.0, "tok": 0.35, "fuz": 0.35}
 RRF_K, PER_METHOD, ALPHA, POOL = 60, 600, 0.90, 8000
-QUERY_ROWS, VECTOR_ROWS, JOIN_ROWS, PRODUCT_ROWS = 4096, 50_000, 8000, 500
+QUERY_ROWS, VECTOR_ROWS, JOIN_ROWS, PRODUCT_ROWS = 512, 16_384, 8000, 500
+# Scores that a cell holds at a time, in numbers.
+HELD_SCORES = 2 ** 21
 PIVOTS, PIVOT_SAMPLE, ONE_TILE = 512, 4096, 20_000
 # Comparisons that cost as much as one more copy of a vector, and the least rows and usual number of blocks of a cell.
 COPY_COST, LEAST_ROWS, BLOCKS = 500, 500, 16
@@ -54,18 +56,26 @@ def _cells(queries: DataFrame, vecs: DataFrame):
     return q.groupBy("_vb", "_qb").cogroup(v.groupBy("_vb", "_qb"))
 
 
+def _score_rows(q: np.ndarray, v: np.ndarray) -> Iterator[np.ndarray]:
+    """The product of all queries with all vectors, in slices of queries that hold at most HELD_SCORES numbers."""
+    step = max(1, HELD_SCORES // len(v))
+    for at in range(0, len(q), step):
+        yield q[at:at + step] @ v.T
+
+
 def topk_cosine(queries: DataFrame, vecs: DataFrame, k: int, unit_queries: bool = True) -> DataFrame:
     """Exact top k per query, with its rank. queries(query_id, embedding), vecs(vec_id, embedding)."""
     def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        qm = _matrix(q["embedding"])
-        scores = (_unit(qm) if unit_queries else qm) @ _unit(_matrix(v["embedding"])).T
-        ids, parts = v["vec_id"].to_numpy(), []
-        for i, qid in enumerate(q["query_id"]):
-            keep = np.lexsort((ids, -scores[i]))[:k]
-            parts.append(pd.DataFrame({"query_id": qid, "vec_id": ids[keep], "score": scores[i][keep]}))
-        return pd.concat(parts)
+        qm, vm = _matrix(q["embedding"]), _unit(_matrix(v["embedding"]))
+        ids, n = v["vec_id"].to_numpy(), min(k, len(v))
+        at, best = np.empty((len(q), n), np.int32), np.empty((len(q), n))
+        rows = (row for some in _score_rows(_unit(qm) if unit_queries else qm, vm) for row in some)
+        for i, row in enumerate(rows):
+            at[i] = np.lexsort((ids, -row))[:n]
+            best[i] = row[at[i]]
+        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), n), "vec_id": ids[at.ravel()], "score": best.ravel()})
 
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vecs.schema['vec_id'].dataType.simpleString()}, score double"
     local = _cells(queries.select("query_id", "embedding"), vecs.select("vec_id", "embedding")).applyInPandas(cell, schema)
@@ -77,8 +87,8 @@ def cosine_extremes(queries: DataFrame, vecs: DataFrame) -> DataFrame:
     def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame({"query_id": [], "lo": [], "hi": []})
-        s = _unit(_matrix(q["embedding"])) @ _unit(_matrix(v["embedding"])).T
-        return pd.DataFrame({"query_id": q["query_id"], "lo": s.min(axis=1), "hi": s.max(axis=1)})
+        ends = [(s.min(axis=1), s.max(axis=1)) for s in _score_rows(_unit(_matrix(q["embedding"])), _unit(_matrix(v["embedding"])))]
+        return pd.DataFrame({"query_id": q["query_id"], "lo": np.concatenate([lo for lo, _ in ends]), "hi": np.concatenate([hi for _, hi in ends])})
 
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, lo double, hi double"
     cells = _cells(queries.select("query_id", "embedding"), vecs.select("vec_id", "embedding")).applyInPandas(cell, schema)

@@ -190,3 +190,12 @@ def test_similar_keys_are_not_paired_for_a_common_word(spark):
     a = spark.createDataFrame([(f"supplier#{i * 7919 % 1000003:09d}",) for i in range(400)], "ka string")
     b = spark.createDataFrame([(f"supplier#{i * 104729 % 1000003:09d}",) for i in range(400)], "kb string")
     assert J.edit_candidates(a, b, 0.88).count() < 400 * 400 / 10
+
+
+def test_vector_lists_hold_few_scores_at_a_time():
+    rng = np.random.default_rng(3)
+    q, v = rng.normal(size=(300, 4)), rng.normal(size=(X.VECTOR_ROWS, 4))
+    parts = list(X._score_rows(q, v))
+    assert len(parts) > 1 and all(p.size <= X.HELD_SCORES for p in parts) and np.allclose(np.concatenate(parts), q @ v.T)
+    # What a cell gives: the list of each of its queries.
+    assert X.QUERY_ROWS * min(X.POOL, X.VECTOR_ROWS) <= 2 ** 22
