@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lagweave.core.ranking import number_rows, top_n
+from lagweave.core.session import cut_lineage
 from lagweave.functions import paths as P
 from lagweave.functions.scores import clamp01, fraction_from_hash, norm_score
+from lagweave.operators.blocks import fold_pairs, with_parts
 from lagweave.operators.joins import jaccard_candidates, path_similarity_join, subsequence_match
 
 BY = "profile_id"
@@ -120,18 +124,55 @@ def batches(df: DataFrame, key: str, n: int) -> DataFrame:
     return number_rows(df, [], key, "_pos").withColumn("batch", F.floor(F.col("_pos") / n)).drop("_pos")
 
 
+def _largest(values: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Largest valid value of each row, NaN if none."""
+    best = np.where(valid, values, -np.inf).max(axis=1)
+    return np.where(np.isneginf(best), np.nan, best)
+
+
+def _to_every_group(leaves: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The distinct leaves, once for each profile with anchors, with segments and tokens."""
+    return with_parts(leaves.select("leaf").where("leaf is not null").distinct(), "leaf").crossJoin(anchors.select(BY).distinct())
+
+
 def ontology_candidates(leaves: DataFrame, anchors: DataFrame) -> DataFrame:
     """anchors(profile_id, anchor, impact) on leaf paths: .55 best token similarity + .25 shared second level + .20
     best similarity times impact. Leaves without a common token score nothing and are left out."""
-    lt = leaves.select("leaf").distinct().withColumn("lt", P.path_tokens(F.col("leaf")))
-    at = anchors.select("anchor").distinct().withColumn("at", P.path_tokens(F.col("anchor")))
-    cand = jaccard_candidates(lt, "leaf", "lt", at, "anchor", "at", 1e-9).join(lt, "leaf").join(at, "anchor")
-    second = lambda c: F.get(P.lower_segments(F.col(c)), F.lit(1))
-    sim = cand.select("leaf", "anchor", P.jaccard(F.col("lt"), F.col("at")).alias("sim"), F.coalesce(second("leaf") == second("anchor"), F.lit(False)).cast("double").alias("same"))
-    agg = anchors.join(sim, "anchor").groupBy(BY, "leaf").agg(F.max("sim").alias("best"), F.max("same").alias("same"), F.max(F.col("sim") * F.col("impact")).alias("anchored"))
+    second = F.get("segs", F.lit(1)).alias("second")
+    left = _to_every_group(leaves, anchors).select(BY, "leaf", second, "toks").where(F.size("toks") > 0)
+    right = with_parts(anchors, "anchor").select(BY, "anchor", F.col("impact").cast("double").alias("impact"), second, "toks").where(F.size("toks") > 0)
+
+    def fold(a, b, slices):
+        level, impact, parts = pd.factorize(pd.concat([a["second"], b["second"]]))[0], b["impact"].to_numpy(float), []
+        mine, theirs = level[:len(a)], level[len(a):]
+        for rows, sim in slices:
+            near = sim > 0
+            same = near & (mine[rows, None] == theirs[None]) & (theirs[None] >= 0)
+            part = a.iloc[rows].assign(best=sim.max(axis=1), same=same.any(axis=1).astype(float), anchored=_largest(sim * impact, near & ~np.isnan(impact)))
+            parts.append(part[near.any(axis=1)])
+        return pd.concat(parts)
+
+    cells = fold_pairs(left, right, BY, fold, f"{BY} string, leaf string, best double, same double, anchored double", by_path=False)
+    agg = cells.groupBy(BY, "leaf").agg(*[F.max(c).alias(c) for c in ("best", "same", "anchored")])
     return agg.withColumn("score", clamp01(0.55 * F.col("best") + 0.25 * F.col("same") + 0.20 * F.col("anchored")))
 
 
+def _anchor_scores(leaves: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Largest path similarity times impact of each (profile, leaf)."""
+    left = _to_every_group(leaves, anchors).select(BY, "leaf", "segs", "toks")
+    right = with_parts(anchors.where("anchor is not null"), "anchor").select(BY, "anchor", F.col("impact").cast("double").alias("impact"), "segs", "toks")
+
+    def fold(a, b, slices):
+        impact, parts = b["impact"].to_numpy(float), []
+        for rows, sim in slices:
+            near = sim >= 1e-9
+            parts.append(a.iloc[rows].assign(anchor_score=_largest(np.clip(sim * impact, 0.0, 1.0), near & ~np.isnan(impact)))[near.any(axis=1)])
+        return pd.concat(parts)
+
+    cells = fold_pairs(left, right, BY, fold, f"{BY} string, leaf string, anchor_score double", by_path=True)
+    return cells.groupBy(BY, "leaf").agg(F.max("anchor_score").alias("anchor_score"))
+
+
 def bfs_scores(leaves: DataFrame, mapping: DataFrame, hyde: DataFrame, anchors: DataFrame) -> DataFrame:
     """Candidate score per (profile, leaf): .45 mapping + .25 retrieval + .20 anchored impact + .10 known domain.
 
@@ -146,7 +187,7 @@ def bfs_scores(leaves: DataFrame, mapping: DataFrame, hyde: DataFrame, anchors:
     ms = m.join(factor, "path").groupBy(BY, "leaf").agg(F.max(F.col("score") * F.col("factor")).alias("mapping_score"))
     hs = hyde.groupBy(BY, F.lower("path").alias("_l")).agg(F.max("score").alias("hyde_score"))
     hs = L.withColumn("_l", F.lower("leaf")).join(hs, "_l").select(BY, "leaf", "hyde_score")
-    an = anchors.join(path_similarity_join(L, "leaf", anchors, "anchor", 1e-9), "anchor").groupBy(BY, "leaf").agg(F.max(clamp01(F.col("similarity") * F.col("impact"))).alias("anchor_score"))
+    an = _anchor_scores(L, anchors)
     known = mapping.select(BY, P.domain_key(F.col("path")).alias("domain")).union(anchors.select(BY, P.domain_key(F.col("anchor")))).distinct()
     dom = L.withColumn("domain", P.domain_key(F.col("leaf"))).join(known, "domain").select(BY, "leaf", F.lit(1.0).alias("domain_bonus"))
     out = ms.join(hs, [BY, "leaf"], "full_outer").join(an, [BY, "leaf"], "full_outer").join(dom, [BY, "leaf"], "full_outer").fillna(0.0)
@@ -154,6 +195,65 @@ def bfs_scores(leaves: DataFrame, mapping: DataFrame, hyde: DataFrame, anchors:
     return out.withColumn("score", F.round(total, 9)).withColumn("domain", P.domain_key(F.col("leaf")))
 
 
+def _evidence(cands: DataFrame, predictors: DataFrame, relevance: DataFrame, impact: DataFrame) -> DataFrame:
+    """Means of relevance (transfer) and impact (individual_raw) per (profile, candidate, criterion) over the profile's
+    predictors, weighted by path similarity. Cells give the sums; a predictor without an impact row on a criterion counts
+    there with zero, so it adds to the sum of all weights only."""
+    on, full = [BY, "predictor", "criterion"], F.col(BY).isNotNull() & F.col("predictor").isNotNull() & F.col("criterion").isNotNull()
+    rel = relevance.where(full & (F.col("value") > 0)).groupBy(*on).agg(F.sum("value").alias("rel"), F.count(F.lit(1)).cast("double").alias("n_rel"))
+    imp = impact.where(full).groupBy(*on).agg(F.sum(F.greatest(F.lit(0.0), F.col("value"))).alias("imp"), F.count(F.lit(1)).cast("double").alias("n_imp"))
+    sums = ("rel", "n_rel", "imp", "n_imp")
+    listed = rel.join(imp, on, "full_outer").fillna(0.0).groupBy(BY, "predictor").agg(F.collect_list(F.struct("criterion", *sums)).alias("e")).select(
+        BY, "predictor", *[F.col(f"e.{x}").alias(x) for x in ("criterion", *sums)])
+    right = with_parts(predictors.where(F.col(BY).isNotNull()), "path").join(listed, [BY, "predictor"], "left").select(
+        BY, "predictor", "path", "criterion", *sums, "segs", "toks")
+
+    def fold(a, b, slices):
+        has = [(i, len(x)) for i, x in enumerate(b["criterion"]) if x is not None]
+        row = np.repeat([i for i, _ in has], [n for _, n in has]).astype(int)
+        names, column = np.unique(np.array([x for v in b["criterion"] if v is not None for x in v], dtype=str), return_inverse=True)
+        tables = {}
+        for x in sums:
+            tables[x] = np.zeros((len(b), len(names)))
+            tables[x][row, column] = [v for values in b[x] if values is not None for v in values]
+        # Repeated impact rows count repeatedly in the weights as well.
+        tables["more"] = np.maximum(tables["n_imp"] - 1, 0)
+        parts = []
+        for rows, sim in slices:
+            some = a.iloc[rows][[BY, "path"]]
+            parts.append(some.assign(criterion=None, weight=sim.sum(axis=1), rel=0.0, n_rel=0.0, imp=0.0, more=0.0))
+            by_name = {x: sim @ tables[x] for x in ("rel", "n_rel", "imp", "more")}
+            parts += [some.assign(criterion=name, weight=0.0, **{x: v[:, k] for x, v in by_name.items()}) for k, name in enumerate(names)]
+        return pd.concat(parts)
+
+    columns = ("weight", "rel", "n_rel", "imp", "more")
+    cells = fold_pairs(cands, right, BY, fold, f"{BY} string, path string, criterion string, " + ", ".join(f"{x} double" for x in columns), by_path=True)
+    folded = cut_lineage(cells.groupBy(BY, "path", "criterion").agg(*[F.sum(x).alias(x) for x in columns]))
+    weight = folded.where("criterion is null").select(BY, "path", F.col("weight").alias("total"))
+    total = F.col("total") + F.col("more")
+    return folded.where("criterion is not null").join(weight, [BY, "path"]).select(
+        BY, "path", "criterion", F.when(F.col("n_rel") > 0, F.col("rel") / F.col("n_rel")).alias("transfer"), F.when(total > 0, F.col("imp") / total).alias("individual_raw"))
+
+
+def _nearest_mapping(cands: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(profile, path, criterion_path, v): largest score times similarity over the mapping rows that are more than .20 similar."""
+    best = mapping.groupBy(BY, F.col("path").alias("map_path"), F.coalesce("criterion_path", F.lit("")).alias("criterion_path")).agg(F.max("score").cast("double").alias("score"))
+    right = with_parts(best, "map_path").select(BY, "map_path", "criterion_path", "score", "segs", "toks")
+
+    def fold(a, b, slices):
+        names, column = np.unique(b["criterion_path"].to_numpy(str), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        starts, score, parts = np.searchsorted(column[order], np.arange(len(names))), b["score"].to_numpy(float)[order], []
+        for rows, sim in slices:
+            sim = sim[:, order]
+            v = np.maximum.reduceat(np.where(sim > 0.20, sim * score, -np.inf), starts, axis=1)
+            parts += [a.iloc[rows][[BY, "path"]].assign(criterion_path=name, v=v[:, k])[v[:, k] > -np.inf] for k, name in enumerate(names)]
+        return pd.concat(parts)
+
+    return fold_pairs(cands, right, BY, fold, f"{BY} string, path string, criterion_path string, v double", by_path=True).groupBy(
+        BY, "path", "criterion_path").agg(F.max("v").alias("v"))
+
+
 def fuse_model(cands: DataFrame, criteria: DataFrame, predictors: DataFrame, relevance: DataFrame, impact: DataFrame, mapping: DataFrame, readiness: DataFrame) -> DataFrame:
     """Group-level and individual evidence per (profile, candidate, criterion).
 
@@ -165,27 +265,16 @@ def fuse_model(cands: DataFrame, criteria: DataFrame, predictors: DataFrame, rel
     group = W.partitionBy(BY, "parent")
     c = cands.withColumn("parent", P.parent_key(F.col("path"))).withColumn("size", F.count(F.lit(1)).over(group)).withColumn(
         "split", F.when(F.col("size") <= 1, 1.0).otherwise(0.5 + 0.5 * share / F.sum(share).over(group) * F.col("size"))).select(BY, "path", "prior", "split")
-    c = _with_parts(c, "path", "c")
-    s = F.col("similarity")
-    near = c.select(BY, "path", "c_s", "c_t").join(_with_parts(predictors.withColumnRenamed("path", "pred_path"), "pred_path", "p"), BY).withColumn(
-        "similarity", P.similarity_of_parts(F.col("c_s"), F.col("p_s"), F.col("c_t"), F.col("p_t"))).where(s > 0).select(BY, "path", "predictor", "similarity")
-    rel = relevance.where("value > 0").select(BY, "predictor", "criterion", F.col("value").alias("dense"))
-    dense = near.join(rel, [BY, "predictor"]).groupBy(BY, "path", "criterion").agg((F.sum(s * F.col("dense")) / F.sum(s)).alias("transfer"))
-    # A predictor without an impact row on a criterion counts with zero.
-    imp = impact.select(BY, "predictor", "criterion", F.greatest(F.lit(0.0), F.col("value")).alias("imp"))
-    full = near.join(criteria.select(BY, "criterion"), BY).join(imp, [BY, "predictor", "criterion"], "left").fillna(0.0, ["imp"])
-    own = full.groupBy(BY, "path", "criterion").agg((F.sum(s * F.col("imp")) / F.sum(s)).alias("individual_raw"))
-    maps = _with_parts(mapping.where("score > 0").withColumnRenamed("path", "map_path"), "map_path", "m")
-    m = c.select(BY, "path", "c_s", "c_t").join(maps, BY).withColumn(
-        "similarity", P.similarity_of_parts(F.col("c_s"), F.col("m_s"), F.col("c_t"), F.col("m_t"))).where(s > 0.20).groupBy(
-        BY, "path", F.coalesce("criterion_path", F.lit("")).alias("criterion_path")).agg(F.max(F.col("score") * s).alias("v"))
+    named = F.col(BY).isNotNull()
+    left = with_parts(c.select(BY, "path").where(named).distinct(), "path")
+    evidence = _evidence(left, predictors, relevance, impact)
+    m = _nearest_mapping(left, mapping.where(named & (F.col("score") > 0)))
     crit = _with_parts(criteria.select(BY, "criterion", F.col("path").alias("crit_path")), "crit_path", "k")
     mc = _with_parts(m, "criterion_path", "q").join(crit, BY)
     crit_sim = F.when(F.col("criterion_path") == "", 0.45).otherwise(P.similarity_of_parts(F.col("k_s"), F.col("q_s"), F.col("k_t"), F.col("q_t")))
     maps = mc.groupBy(BY, "path", "criterion").agg(F.max(F.col("v") * (0.35 + 0.65 * crit_sim)).alias("mapping_part"))
-    c = c.drop("c_s", "c_t")
     on = [BY, "path", "criterion"]
-    grid = c.join(criteria.select(BY, "criterion"), BY).join(dense, on, "left").join(own, on, "left").join(maps, on, "left").fillna(0.0)
+    grid = c.join(criteria.select(BY, "criterion"), BY).join(evidence, on, "left").join(maps, on, "left").fillna(0.0)
     weight = readiness.select(BY, clamp01(0.30 + 0.50 * clamp01(F.col("score") / 100)).alias("w_ind"))
     out = grid.join(weight, BY, "left").fillna(0.30, ["w_ind"])
     out = out.withColumn("group_level", clamp01(0.60 * F.col("mapping_part") + 0.40 * F.col("transfer"))).withColumn("individual", clamp01(F.col("individual_raw") * F.col("split")))
@@ -316,11 +405,16 @@ def next_cycle_variables(predictors: DataFrame, wanted: DataFrame, low: int, hig
     """predictors(profile_id, code, path, impact, target_score, priority, quality) and wanted(profile_id, path, rank):
     .35 best token similarity over rank + .25 impact + .15 target + .10 priority + .15 quality; the best of the
     preferred number, kept within the bounds."""
-    pt = predictors.select("path").distinct().withColumn("pt", P.path_tokens(F.col("path")))
-    wt = wanted.select(F.col("path").alias("want")).distinct().withColumn("wt", P.path_tokens(F.col("want")))
-    cand = jaccard_candidates(pt, "path", "pt", wt, "want", "wt", 1e-9).join(pt, "path").join(wt, "want")
-    sims = cand.select("path", "want", P.jaccard(F.col("pt"), F.col("wt")).alias("similarity"))
-    m = predictors.select(BY, "code", "path").join(sims, "path").join(wanted.select(BY, F.col("path").alias("want"), "rank"), [BY, "want"]).groupBy(BY, "code").agg(F.max(F.col("similarity") / F.col("rank")).alias("match"))
+    asked = F.col(BY).isNotNull() & F.col("path").isNotNull()
+    left = with_parts(predictors.where(asked).select(BY, "code", "path").distinct(), "path").select(BY, "code", "path", "toks").where(F.size("toks") > 0)
+    right = with_parts(wanted.where(asked), "path").select(BY, "path", F.col("rank").cast("double").alias("rank"), "toks").where(F.size("toks") > 0)
+
+    def fold(a, b, slices):
+        rank = b["rank"].to_numpy(float)
+        parts = [a.iloc[rows].assign(match=_largest(sim / rank, (sim > 0) & ~np.isnan(rank))) for rows, sim in slices]
+        return pd.concat(parts).dropna(subset="match")
+
+    m = fold_pairs(left, right, BY, fold, f"{BY} string, code string, match double", by_path=False).groupBy(BY, "code").agg(F.max("match").alias("match"))
     s = lambda c: clamp01(F.coalesce(F.col(c), F.lit(0.0)))
     j = predictors.join(m, [BY, "code"], "left")
     j = j.withColumn("score", F.round(0.35 * s("match") + 0.25 * s("impact") + 0.15 * s("target_score") + 0.10 * s("priority") + 0.15 * s("quality"), 9))
