@@ -331,11 +331,24 @@ def path_or_token_similarity(a: DataFrame, pa: str, b: DataFrame, pb: str, min_s
 
 def barrier_scores(targets: DataFrame, mapping: DataFrame, n: int, min_sim: float = 0.12) -> DataFrame:
     """targets(profile_id, predictor, priority) against mapping(predictor_path, barrier, score): priority * score *
-    similarity, best n rows per predictor."""
+    similarity, best n rows per predictor.
+
+    A path's largest and n-th largest score give its largest and n-th largest contribution to a target. The n-th largest
+    contribution of one path and the n-th of the paths' largest ones are reached by n rows at least, so rows below them
+    cannot be among the best; paths below them do not meet their barriers, and ties at the floor stay.
+    """
     sims = path_or_token_similarity(targets, "predictor", mapping, "predictor_path", min_sim)
-    j = targets.join(sims, "predictor").join(mapping, "predictor_path")
-    c = j.withColumn("contribution", F.round(norm_score(F.col("priority")) * norm_score(F.col("score")) * F.col("similarity"), 9))
-    return top_n(c, [BY, "predictor"], [F.desc("contribution"), F.col("barrier"), F.col("predictor_path")], n)
+    ranked = top_n(mapping.select("predictor_path", norm_score(F.col("score")).alias("s")).where("s is not null"), ["predictor_path"], [F.desc("s")], n, "r")
+    heads = ranked.groupBy("predictor_path").agg(F.max("s").alias("first"), F.max(F.when(F.col("r") == n, F.col("s"))).alias("nth"))
+    value = lambda s: F.round(norm_score(F.col("priority")) * s * F.col("similarity"), 9)
+    near = targets.join(sims, "predictor").join(heads, "predictor_path", "left").withColumns({"first": value(F.col("first")), "nth": value(F.col("nth"))})
+    near = cut_lineage(near)
+    floors = near.groupBy(BY, "predictor").agg(
+        F.greatest(F.max("nth"), F.get(F.sort_array(F.collect_list("first"), asc=False), F.lit(n - 1))).alias("floor")).withColumnRenamed(BY, "_by")
+    open_ = near.drop("nth").join(floors.withColumnRenamed("predictor", "_p"), F.col(BY).eqNullSafe(F.col("_by")) & (F.col("predictor") == F.col("_p")))
+    kept = open_.where(F.col("floor").isNull() | (F.col("first") >= F.col("floor")))
+    c = kept.join(mapping, "predictor_path").withColumn("contribution", value(norm_score(F.col("score")))).where(F.col("floor").isNull() | (F.col("contribution") >= F.col("floor")))
+    return top_n(c.drop("first", "floor", "_by", "_p"), [BY, "predictor"], [F.desc("contribution"), F.col("barrier"), F.col("predictor_path")], n)
 
 
 def text_barrier_scores(texts: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -97,3 +97,23 @@ def test_rank_fusion_weights(spark):
     got = {r["vec_id"]: r["rrf"] for r in X.rrf(pool).collect()}
     assert got[1] == pytest.approx(0.80 / 61 + 0.12 / 61 + 0.05 / 62 + 0.03 / 62)
     assert got[2] == pytest.approx(0.80 / 62 + 0.05 / 61 + 0.03 / 61)
+
+
+def test_barriers_below_the_floor_meet_no_target(spark):
+    """The best rows are those of all pairs, also where rounding makes ties, scores are missing or paths have few barriers."""
+    paths = ["FIELD / Water", "FIELD / Feed", "STABLE / Feed", "MARKET"]
+    mapping = [(p, f"b{(i * 7) % 31:02d}", None if i % 13 == 5 else 0.2 + 0.01 * (i % 17) + (i % 3) * 1e-7) for k, p in enumerate(paths) for i in range((31, 20, 3, 2)[k])]
+    m = spark.createDataFrame(mapping, "predictor_path string, barrier string, score double")
+    targets = [(q, x, p) for q in ("q", None) for x, p in zip(LEAVES, (0.7, 1e-6, 0.0, 0.31, 0.4, None))] + [("q", LEAVES[0], 0.7)]
+    t = spark.createDataFrame(targets, "profile_id string, predictor string, priority double")
+    got = Z.barrier_scores(t, m, 5)
+    sims = Z.path_or_token_similarity(t, "predictor", m, "predictor_path", 0.12)
+    every = t.join(sims, "predictor").join(m, "predictor_path").withColumn("c", F.round(F.col("priority") * F.col("score") * F.col("similarity"), 9)).collect()
+    best = {}
+    for r in every:
+        best.setdefault((r["profile_id"], r["predictor"]), []).append((r["c"] is None, -(r["c"] or 0.0), r["barrier"], r["predictor_path"]))
+    found = {}
+    for r in got.orderBy("rank").collect():
+        found.setdefault((r["profile_id"], r["predictor"]), []).append((r["contribution"] is None, -(r["contribution"] or 0.0), r["barrier"], r["predictor_path"]))
+    assert found == {k: sorted(v)[:5] for k, v in best.items()} and len(found) >= 10
+    assert "floor" in got._jdf.queryExecution().optimizedPlan().toString()
