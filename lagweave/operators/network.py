@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lagweave.core.session import cut_lineage
+from lagweave.core.session import cut_lineage, spread
 from lagweave.operators.series import SERIES, assign_nearest_point, interpolate, lag_pairs, t_norm
 
 # Estimation points, folds, grids, bootstrap size, ridge of the residual precision.
@@ -230,7 +230,7 @@ def select_tv_params(rows: DataFrame, bandwidths: list[float] = BANDWIDTHS, alph
         return pd.DataFrame([{"profile_id": pdf["profile_id"].iloc[0], "bandwidth": bandwidths[best_bw], "alpha": alphas[best_a],
                               "mse_bandwidth": by_bw[best_bw], "mse_alpha": by_alpha[best_a]}])
 
-    return rows.select("profile_id", "i", "n_obs", "t", "codes", "y", "z").groupBy("profile_id").applyInPandas(
+    return spread(rows.select("profile_id", "i", "n_obs", "t", "codes", "y", "z"), "profile_id").groupBy("profile_id").applyInPandas(
         solve, "profile_id string, bandwidth double, alpha double, mse_bandwidth double, mse_alpha double")
 
 
@@ -327,7 +327,7 @@ def bootstrap_ci(rows: DataFrame, params: DataFrame, draws: int = DRAWS, block:
         return pd.DataFrame([(profile, q, d, s, stack[:, q, k, j]) for q in range(POINTS) for k, d in enumerate(codes) for j, s in enumerate(codes)],
                             columns=["profile_id", "time_index", "dst", "src", "b"])
 
-    drawn = dealt.groupBy("profile_id", "part").applyInPandas(solve, "profile_id string, time_index int, dst string, src string, b array<double>")
+    drawn = spread(dealt, "profile_id", "part").groupBy("profile_id", "part").applyInPandas(solve, "profile_id string, time_index int, dst string, src string, b array<double>")
     return drawn.select("profile_id", "time_index", "dst", "src", F.explode("b").alias("b")).groupBy("profile_id", "time_index", "dst", "src").agg(
         F.percentile("b", CI_LOW).alias("ci_low"), F.percentile("b", CI_HIGH).alias("ci_high"), F.count(F.lit(1)).alias("n_draws"))
 

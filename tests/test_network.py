@@ -265,3 +265,12 @@ def test_fill_leaves_profiles_without_name_or_with_unnamed_codes(spark):
     line = lambda t: ((t - 1) ** 2 + (t + 1) ** 2) / 2
     assert len(got) == 18
     assert all((r.filled == pytest.approx(line(r.t_index))) == (r.profile_id != "b") for r in got)
+
+
+def test_power_rounds_derive_a_vector_once(spark):
+    """A round's vector is bound before it is scaled, so the expression does not hold it several times."""
+    from lagweave.operators import graph as G
+
+    text = spark.range(1).select(G._norm2(F.transform(F.array(F.lit(3.0), F.col("id") + 4.0), lambda v: v * 2)).alias("x"))
+    assert text.first()["x"] == pytest.approx([0.6, 0.8])
+    assert text._jdf.queryExecution().analyzed().toString().count("* cast(2") + text._jdf.queryExecution().analyzed().toString().count("* 2") <= 1
