@@ -199,3 +199,44 @@ def test_vector_lists_hold_few_scores_at_a_time():
     assert len(parts) > 1 and all(p.size <= X.HELD_SCORES for p in parts) and np.allclose(np.concatenate(parts), q @ v.T)
     # What a cell gives: the list of each of its queries.
     assert X.QUERY_ROWS * min(X.POOL, X.VECTOR_ROWS) <= 2 ** 22
+
+
+def test_short_lists_split_each_text_once_and_give_k_rows_a_cell(spark, texts, monkeypatch):
+    """Several cells of documents and queries; ids that are null, repeat, or stand for two texts."""
+    monkeypatch.setattr(L, "CELL_DOCS", 100)
+    monkeypatch.setattr(L, "CELL_QUERIES", 5)
+    docs = [*texts[0], (7, ["t1", "t3"]), (7, ["t1", "t3"]), (8, ["t2"] * 9), (None, ["t1", "t9"])]
+    queries = [*texts[1], (None, ["t1"])]
+    split = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def tokens(t):
+        split.add(1)
+        return t.split()
+
+    q = spark.createDataFrame(queries, "query_id string, tokens array<string>")
+    d = spark.createDataFrame([(v, " ".join(t)) for v, t in docs], "vec_id int, text string").repartition(3).select("vec_id", tokens("text").alias("tokens"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["bm25"]) for r in L.bm25(q, d, 6).collect()}
+    assert split.value == len(docs)
+
+    n, avgdl = len(docs), np.mean([len(t) for _, t in docs])
+    postings = Counter((v, len(t), w) for v, t in docs for w in t)
+    df = Counter(w for _, _, w in postings)
+    want = {}
+    for name, qt in queries[:-1]:
+        score = Counter()
+        for (v, dl, w), tf in postings.items():
+            if w in qt and v is not None:
+                score[v] += qt.count(w) * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))
+        want |= {(name, i + 1): (v, -s) for i, (s, v) in enumerate(sorted((-round(s, 9), v) for v, s in score.items())[:6])}
+    assert {x: v for x, (v, _) in got.items()} == {x: v for x, (v, _) in want.items()}
+    assert all(got[x][1] == pytest.approx(want[x][1], abs=1e-8) for x in got)
+
+
+def test_a_cell_gives_its_best_documents_only():
+    import pandas as pd
+
+    q = pd.DataFrame({"query_id": ["a", "a", "b", "c"], "term": [1, 2, 2, 9], "weight": [1.0, 2.0, 1.0, 1.0]})
+    v = pd.DataFrame({"vec_id": [5, 3, 4, 3, 6], "term": [1, 1, 2, 2, 2], "value": [2.0, 1.0, 1.0, 0.5, 1.0]})
+    got = L._cell_lists(q, v, 2)
+    assert got.values.tolist() == [["a", 3, 2.0], ["a", 4, 2.0], ["b", 4, 1.0], ["b", 6, 1.0]]
