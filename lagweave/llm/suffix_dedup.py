@@ -41,7 +41,7 @@ from lagweave.llm import kernels as K
 from lagweave.llm.common import scratch
 
 SIZE, GRAM = 50, 20
-BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES, HEAVY_BLOCKS = 4 << 20, 2 << 20, 1 << 20, 4096
+BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES, HEAVY_BLOCKS = 4 << 20, 2 << 20, 1 << 18, 4096
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -103,6 +103,8 @@ def anchor_sender(block_column: str, text: str, size: int, gram: int, buckets: i
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _, _ in found], pa.int32()), pa.array([block] * len(found), pa.int32()), pa.array([h[x:y].tobytes() for _, x, y in found], pa.binary())],
                 names=["bucket", "block", "hashes"])
+        held.clear()
+        K.release_memory()
 
     return run
 
@@ -356,7 +358,8 @@ def _cover_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def _sort_bucket(messages: list[tuple[int, int, bytes]], size: int) -> list[tuple[int, bytes]]:
     made, texts, blocks, extra, extra_blocks = [], [], [], [], []
-    for block, kind, body in messages:
+    while messages:
+        block, kind, body = messages.pop()
         x, text = _unpack(body)
         if kind == 2:
             extra.append(x)
@@ -366,6 +369,7 @@ def _sort_bucket(messages: list[tuple[int, int, bytes]], size: int) -> list[tupl
         texts.append(text)
         blocks.append(np.full(len(x), block))
     data = np.concatenate(texts)
+    del texts, text
     made, block = np.concatenate([*made, *extra]), np.concatenate([*blocks, *extra_blocks])
     width = made["windows"].astype(np.int64) + size - 1
     bare = np.zeros(len(made), bool)
@@ -396,6 +400,7 @@ def _sort_bucket(messages: list[tuple[int, int, bytes]], size: int) -> list[tupl
     alone[:-1] &= group[1:] != group[:-1]
     group, context, j = group[~alone], context[~alone], j[~alone]
     if len(group):
+        data, has = _needed(data, has, many + size - 1, np.unique(context))
         cls = equal_windows(data, has[context] + j, group, size)
         low = np.full(int(cls.max()) + 1, NO_ID)
         np.minimum.at(low, cls, m["id"][context])
@@ -418,6 +423,17 @@ def _sort_bucket(messages: list[tuple[int, int, bytes]], size: int) -> list[tupl
     return out
 
 
+def _needed(data: np.ndarray, begin: np.ndarray, width: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the chosen contexts only, and where each of these begins."""
+    w = width[chosen]
+    place = np.cumsum(w) - w
+    out = np.full(len(begin), -1)
+    out[chosen] = place
+    at = np.arange(w.sum())
+    at += np.repeat(begin[chosen] - place, w)
+    return data[at], out
+
+
 def _by_block(block: np.ndarray, made: np.ndarray, chosen: np.ndarray, size: int) -> list[tuple[int, bytes]]:
     block, made = block[chosen], made[chosen]
     order = np.argsort(block, kind="stable")
