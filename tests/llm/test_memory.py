@@ -38,3 +38,15 @@ def test_sorter_reads_only_contexts_that_are_compared():
     data = np.frombuffer(b"aaabbbbccddddd", np.uint8)
     got, begin = S._needed(data, np.array([0, 3, 7, 9]), np.array([3, 4, 2, 5]), np.array([1, 3]))
     assert got.tobytes() == b"bbbbddddd" and begin.tolist() == [-1, 0, -1, 4]
+
+
+def test_join_gives_back_what_the_driver_no_longer_needs(spark, monkeypatch):
+    """A driver whose heap has grown past its share is collected at the join's lineage cuts."""
+    from lagweave.llm import common
+
+    monkeypatch.setattr(common, "HEAP_SHARE", 0)
+    jvm = spark.sparkContext._jvm
+    left = jvm.java.lang.ref.WeakReference(jvm.java.util.ArrayList())
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.ngram_components(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert left.get() is None
