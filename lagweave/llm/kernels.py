@@ -92,6 +92,20 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
 
 
+def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of all spans of this width."""
+    n = len(sums) - width
+    return (sums[width:] - sums[:n]) * powers(len(sums))[1][:n]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by a sort: far faster on many different hashes than a table of them."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and n + 1 offsets of each text's words. `inside`: which bytes belong to words."""
     if not len(data):

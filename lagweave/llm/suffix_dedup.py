@@ -10,10 +10,10 @@ block or not. Blocks then send the context (all windows of the run) of repeated
 content, with the smallest document that has it; other documents of the block with the same content are settled there.
 
 Sort. A bucket first merges equal contexts of different blocks. The windows of the others are suffixes of the bucket's
-bytes: prefix polynomial hashes give the hash of any span, and a binary search over lengths gives the common extension
-of two suffixes, so that a comparison takes a logarithmic number of steps. A merge sort whose merges are binary searches
-orders the suffixes of each anchor and place; neighbours with a common extension of `size` bytes are one class once
-their bytes agree (else the bucket is sorted by its bytes). A window is removed where its class has a smaller document.
+bytes: a radix sort by words of eight bytes orders the suffixes of each anchor and place, so that a frequent anchor costs
+little more for each suffix than a rare one. Prefix polynomial hashes give the hash of any span, and a binary search over
+lengths the common extension of two neighbours; those with one of `size` bytes are one class once their bytes agree (else
+the bucket is sorted by its bytes). A window is removed where its class has a smaller document.
 
 Scale. A copy group sends one context for each block and content, whatever its size. An anchor that stands in more than
 `HEAVY_BLOCKS` blocks is dealt by the hash of each single window instead, so that it is spread over all buckets.
@@ -53,7 +53,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[
         return none, none, none, none, np.zeros(0, np.uint64)
     sums = K.prefix_hashes(data)
     at = np.arange(n - gram + 1)
-    h = K.mixed(K.span_hashes(sums, at, at + gram))
+    h = K.mixed(K.window_hashes(sums, gram))
     key = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     low, have = key, 1
     while 2 * have <= reach:
@@ -96,9 +96,9 @@ def anchor_sender(block_column: str, text: str, size: int, gram: int, buckets: i
                 doc, _, _, _, h = _runs(data, offsets, size, gram)
                 block = rows.column(rows.schema.get_field_index(block_column)).to_numpy()[doc]
                 for b in np.unique(block).tolist():
-                    held.setdefault(b, []).append(np.unique(h[block == b]))
+                    held.setdefault(b, []).append(K.distinct(h[block == b]))
         for block, parts in held.items():
-            h = np.unique(np.concatenate(parts))
+            h = K.distinct(np.concatenate(parts))
             found = list(_split(h, buckets))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _, _ in found], pa.int32()), pa.array([block] * len(found), pa.int32()), pa.array([h[x:y].tobytes() for _, x, y in found], pa.binary())],
@@ -193,7 +193,7 @@ def context_sender(ids: str, text: str, size: int, gram: int, buckets: int) -> C
             content = K.mixed(K.span_hashes(K.prefix_hashes(part), start, start + many + size - 1) + many.astype(np.uint64))
             parts.append((doc + a, start + offsets[a], many, place + offsets[a], h, content))
         doc, start, many, place, h, content = (np.concatenate(x) for x in zip(*parts))
-        seen = np.unique(h)
+        seen = K.distinct(h)
         flags = {b: (r, v) for b, r, v in zip(*(answers.column(c).to_pylist() for c in ("bucket", "repeated", "heavy")))}
         repeated, heavy = np.zeros(len(seen), bool), np.zeros(len(seen), bool)
         for b, x, y in _split(seen, buckets):
@@ -269,46 +269,31 @@ def common_extension(sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: int)
     return low
 
 
-def _before(data: np.ndarray, sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """-1, 0, 1: how the suffix at a compares with that at b over `most` bytes."""
-    n = common_extension(sums, a, b, most)
-    at = np.minimum(n, most - 1)
-    return np.where(n >= most, 0, np.where(data[a + at] < data[b + at], -1, 1))
+def _words(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The `width` bytes (eight at most) at each place as one number that orders as they do."""
+    out = np.zeros((len(at), 8), np.uint8)
+    out[:, :width] = np.lib.stride_tricks.sliding_window_view(data, width)[at]
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
 def suffix_sort(data: np.ndarray, sums: np.ndarray, at: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
-    """Order of the suffixes inside each group (groups are contiguous and ascending): a bottom-up merge sort; both sides
-    of a merge find their place in the other by binary search, all merges of a level at once."""
-    n = len(at)
-    order = np.arange(n)
-    first = np.searchsorted(group, group, "left")
-    last = np.searchsorted(group, group, "right")
-    longest = int((last - first).max()) if n else 0
-    width = 1
-    place = np.arange(n)
-    while width < longest:
-        inside = place - first
-        run = inside // width
-        own = first + run * width
-        right = run % 2 == 1
-        low = np.where(right, own - width, np.minimum(own + width, last))
-        high = np.where(right, own, np.minimum(own + 2 * width, last))
-        origin = low.copy()
-        live = np.flatnonzero(low < high)
-        suffix = at[order]
-        while len(live):
-            middle = (low[live] + high[live]) >> 1
-            c = _before(data, sums, suffix[middle], suffix[live], most)
-            up = (c < 0) | ((c == 0) & right[live])
-            low[live] = np.where(up, middle + 1, low[live])
-            high[live] = np.where(up, high[live], middle)
-            live = live[low[live] < high[live]]
-        base = np.where(right, own - width, own)
-        target = base + (place - own) + (low - origin)
-        merged = np.empty(n, np.int64)
-        merged[target] = order
-        order = merged
-        width *= 2
+    """Order of the suffixes inside each group (groups are contiguous and ascending) by their first `most` bytes: a radix
+    sort by words of eight bytes, first words first, of those suffixes only that are not alone with the words so far."""
+    order, live, part = np.arange(len(at)), np.arange(len(at)), group
+    width = min(8, most)
+    for skip in (0, *range(width, most - width, width), most - width) if most > width else (0,):
+        new = np.ones(len(live) + 1, bool)
+        new[1:-1] = part[1:] != part[:-1]
+        several = ~(new[:-1] & new[1:])
+        live, part = live[several], np.cumsum(new[:-1])[several]
+        if not len(live):
+            break
+        rows = order[live]
+        word = _words(data, at[rows] + skip, width)
+        by = np.lexsort((word, part))
+        order[live], word = rows[by], word[by]
+        # A new part begins with each new word; parts stay where they are, so `part` needs no reordering.
+        part = part + np.cumsum(np.concatenate(([False], word[1:] != word[:-1])))
     return order
 
 

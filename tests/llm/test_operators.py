@@ -168,6 +168,29 @@ def test_suffix_sort_orders_by_bytes():
     assert [len(np.flatnonzero(np.cumprod(data[x:x + 50] == data[y:y + 50]))) for x, y in zip(a, b)] == suffix_dedup.common_extension(sums, a, b, 50).tolist()
 
 
+def test_suffixes_of_a_frequent_anchor_are_compared_once(monkeypatch):
+    """4000 windows of one group: neighbours in order are compared, not each suffix with many others."""
+    rng = np.random.default_rng(2)
+    data = np.concatenate([np.concatenate((rng.integers(97, 99, 6), np.full(44, 120))) for _ in range(4000)]).astype(np.uint8)
+    at = np.arange(4000) * 50
+    compared, extend = [], suffix_dedup.common_extension
+    monkeypatch.setattr(suffix_dedup, "common_extension", lambda sums, a, b, most: compared.append(len(a)) or extend(sums, a, b, most))
+    got = suffix_dedup.equal_windows(data, at, np.zeros(4000, np.int64), 50)
+    assert sum(compared) < 4000
+    raw = [data[x:x + 50].tobytes() for x in at]
+    assert len(set(got.tolist())) == len(set(raw)) == len(set(zip(got.tolist(), raw)))
+
+
+@pytest.mark.parametrize("most", [1, 3, 7, 8, 9, 16, 17, 50])
+def test_suffix_sort_of_any_length_keeps_the_order_of_equals(most):
+    rng = np.random.default_rng(most)
+    data = rng.choice([0, 97, 255], 300).astype(np.uint8)
+    at, group = rng.integers(0, 301 - most, 200), np.sort(rng.integers(0, 3, 200))
+    order = suffix_dedup.suffix_sort(data, kernels.prefix_hashes(data), at, group, most)
+    raw = data.tobytes()
+    assert order.tolist() == sorted(range(200), key=lambda i: (group[i], raw[at[i]:at[i] + most], i))
+
+
 # 5 packing
 
 def test_odd_spaces_and_clashing_columns(spark):
