@@ -42,9 +42,9 @@ def test_sorter_reads_only_contexts_that_are_compared():
 
 def test_join_gives_back_what_the_driver_no_longer_needs(spark, monkeypatch):
     """A driver whose heap has grown past its share is collected at the join's lineage cuts."""
-    from lagweave.llm import common
+    from lagweave.core import session
 
-    monkeypatch.setattr(common, "HEAP_SHARE", 0)
+    monkeypatch.setattr(session, "HEAP_SHARE", 0)
     jvm = spark.sparkContext._jvm
     left = jvm.java.lang.ref.WeakReference(jvm.java.util.ArrayList())
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")

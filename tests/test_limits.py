@@ -129,6 +129,30 @@ def test_clique_cover_folds_the_candidates_of_a_seed(spark, monkeypatch, folded)
     assert folded == 2 or len(cuts) <= 1 + 3 * 2
 
 
+def test_clique_cover_writes_each_link_once(spark, monkeypatch):
+    """Sixteen bytes a link, written anew only where over half are gone; ids of any kind, repeated links, null ids."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lagweave.operators import cover
+
+    written, keep = [], cover.stored
+    monkeypatch.setattr(cover, "stored", lambda df, *how: written.append(keep(df, *how)) or written[-1])
+    rng = random.Random(8)
+    score = {(a, b): rng.random() for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.3}
+    rows = [(f"n{a:02d}", f"n{b:02d}", s) for (a, b), s in score.items()]
+    ids = spark.createDataFrame([(f"n{i:02d}",) for i in range(60)] * 2 + [(None,)], "id string")
+    out = {r.id: r.group for r in graph.clique_cover(spark.createDataFrame(rows, "a string, b string, score double"), ids).collect()}
+    assert set(out) == {f"n{i:02d}" for i in range(60)} | {None} and out.pop(None) is None
+    linked = {frozenset(r[:2]) for r in rows}
+    assert all(x == y or out[x] != out[y] or frozenset((x, y)) in linked for x in out for y in out) and len(set(out.values())) < 40
+    sizes = [w.agg(F.sum(F.octet_length("a") + F.octet_length("b") + F.octet_length("score"))).first()[0] for w in written]
+    assert sizes[0] == 16 * len(rows) and all(2 * y < x for x, y in zip(sizes, sizes[1:]))
+    numbers = spark.createDataFrame([(1, 2, 0.5), (1, 2, 0.5), (2, 3, 0.9), (3, 9, 1.0), (4, 4, 1.0)], "a int, b int, score double")
+    assert {r.id: r.group for r in graph.clique_cover(numbers, spark.range(1, 5)).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
 def test_slots_without_a_variable_give_no_lag_row(spark):
     from lagweave.operators.network import lag_rows
 
