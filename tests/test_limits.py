@@ -129,7 +129,8 @@ def test_clique_cover_folds_the_candidates_of_a_seed(spark, monkeypatch, folded)
     assert folded == 2 or len(cuts) <= 1 + 3 * 2
 
 
-def test_clique_cover_writes_each_link_once(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 200, 1 << 22])
+def test_clique_cover_writes_each_link_once(spark, monkeypatch, few):
     """Sixteen bytes a link, written anew only where over half are gone; ids of any kind, repeated links, null ids."""
     import random
 
@@ -137,6 +138,7 @@ def test_clique_cover_writes_each_link_once(spark, monkeypatch):
 
     from lagweave.operators import cover
 
+    monkeypatch.setattr(cover, "FEW_LINKS", few)
     written, keep = [], cover.stored
     monkeypatch.setattr(cover, "stored", lambda df, *how: written.append(keep(df, *how)) or written[-1])
     rng = random.Random(8)
